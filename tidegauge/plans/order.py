@@ -95,14 +95,33 @@ def running_totals(
     )
 
 
+def with_earlier(
+    df: DataFrame, order: Sequence[Column], value: str, lags: Sequence[int], name: str = "idx", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``lag_k``: the ``value`` found ``k`` rows earlier in ``order``, for each k, in one shuffle.
+
+    Rows are cut into blocks by position; each block also receives the rows just before it (as many as
+    the longest lag), so every pair of rows meets in exactly one block.
+    """
+    indexed = global_index(df, order, (), name)
+    home, reach = F.floor(F.col(name) / block_rows), F.floor((F.col(name) + max(lags)) / block_rows)
+    placed = indexed.withColumn("__home", home).withColumn("__block", F.explode(F.sequence(home, reach)))
+    window = Window.partitionBy("__block").orderBy(name)
+    return (
+        placed.withColumns({f"lag_{k}": F.lag(value, k).over(window) for k in lags})
+        .where("__block = __home")
+        .drop("__home", "__block")
+    )
+
+
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
     """(by…, value, n) -> plus ``upto``, the number of rows with a value <= this one in its group."""
     return running_totals(counts, [F.col("value").asc()], {"n": "upto"}, by).drop("idx")
 
 
-def average_ranks(counts: DataFrame, by: Sequence[str] = ("column",)) -> DataFrame:
-    """Rank of each distinct value, ties sharing their mean rank (1-based)."""
-    return cumulative_counts(counts, by).withColumn("rank", F.col("upto") - (F.col("n") - 1) / F.lit(2.0))
+def average_rank() -> Column:
+    """1-based rank of a value from its cumulative count, ties sharing their mean rank."""
+    return F.col("upto") - (F.col("n") - 1) / F.lit(2.0)
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",)) -> DataFrame:
@@ -111,8 +130,11 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
     Each probability needs the values at two neighbouring positions; both are found by comparing
     positions with the cumulative counts, so no group is gathered anywhere.
     """
-    cumulative = cumulative_counts(counts, by)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    return quantiles_of_cumulative(cumulative_counts(counts, by), probs, by)
+
+
+def quantiles_of_cumulative(cumulative: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",)) -> DataFrame:
+    totals = cumulative.groupBy(*by).agg(F.sum("n").alias("__total"))
     if by:
         sized = cumulative.join(totals.select(*_renamed("__t", by), "__total"), _same_group("__t", by))
     else:

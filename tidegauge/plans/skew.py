@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 64
 SALTS = 32
+BROADCAST_ROWS = 200_000
 
 
-def salted_lookup(df: DataFrame, key: str, lookup: DataFrame, count: str, how: str = "left") -> DataFrame:
+def salted_lookup(df: DataFrame, key: str, lookup: DataFrame, count: str, how: str = "left", lookup_rows: int | None = None) -> DataFrame:
     """Left/inner join ``df`` to ``lookup`` (one row per ``key``, ``count`` = rows of df with that key).
 
     A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE
     hot keys and their list is safe to broadcast. Hot rows are spread over SALTS copies of their
-    lookup row; all other rows join as usual.
+    lookup row; all other rows join as usual. Where the caller has counted the lookup and it is small,
+    it is broadcast instead.
     """
+    if lookup_rows is not None and lookup_rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(lookup.drop(count)), key, how)
     total = lookup.select(F.sum(count)).scalar()
     hot = lookup.where(F.col(count) * HOT_SHARE > total).select(F.col(key).alias("__hot"))
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
