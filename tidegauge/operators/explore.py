@@ -228,7 +228,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings:
         for a, b in chunk:
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             exprs.append(F.struct(
-                F.count_if(both).alias("n"), F.corr(a, b).alias("r"),
+                F.count_if(both).alias("n"), stats.correlation(a, b).alias("r"),
                 (F.min(F.when(both, F.col(a))) < F.max(F.when(both, F.col(a)))).alias("a_varies"),
                 (F.min(F.when(both, F.col(b))) < F.max(F.when(both, F.col(b)))).alias("b_varies"),
             ))
@@ -277,7 +277,7 @@ def _rank_corr(numbers: DataFrame, pairs: list[tuple[str, str]], values: DataFra
         ranked = salted_lookup(ranked, c, lookup, "n", lookup_rows=sizes[c]).drop(c)
     result = {}
     for chunk in _chunks(pairs, PAIRS_PER_PASS):
-        coefficients = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}") for a, b in chunk]).first()
+        coefficients = ranked.agg(*[stats.correlation(f"__r_{a}", f"__r_{b}") for a, b in chunk]).first()
         result.update(dict(zip(chunk, coefficients)))
     return result
 
@@ -340,7 +340,7 @@ def trends(
             x, v = _seconds(t, start[t]), F.col(y).cast("double")
             exprs.append(F.struct(
                 F.count_if(both).alias("n"), F.regr_slope(v, x).alias("slope"), F.regr_intercept(v, x).alias("intercept"),
-                F.corr(v, x).alias("r"), F.min(F.when(both, F.col(t).cast("timestamp"))).alias("lo"),
+                stats.correlation(v, x).alias("r"), F.min(F.when(both, F.col(t).cast("timestamp"))).alias("lo"),
                 F.max(F.when(both, F.col(t).cast("timestamp"))).alias("hi"),
             ))
         for (t, y), m in zip(chunk, df.agg(*exprs).first()):
@@ -387,7 +387,7 @@ def season_of(df: DataFrame, moment: str, column: str, start: int, slope: float,
 def lag_correlations(df: DataFrame, value: str, ordering, lags: Sequence[int], block_rows: int = order.BLOCK_ROWS) -> dict[int, float]:
     """Correlation of a series with itself ``lag`` rows earlier."""
     shifted = order.with_earlier(df, ordering, value, lags, block_rows=block_rows)
-    return dict(zip(lags, shifted.agg(*[F.corr(value, f"lag_{k}") for k in lags]).first()))
+    return dict(zip(lags, shifted.agg(*[stats.correlation(value, f"lag_{k}") for k in lags]).first()))
 
 
 # -- shape -------------------------------------------------------------------------------------------

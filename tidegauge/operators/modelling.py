@@ -110,7 +110,7 @@ def select_features(df: DataFrame, target: str, moment: str | None = None, near_
         return {
             "rows": F.count(F.lit(1)),
             "nulls": F.count_if(F.col(c).isNull()),
-            "r": F.corr(F.col(c).cast("double"), F.col(target).cast("double")) if numeric else F.lit(None).cast("double"),
+            "r": stats.correlation(F.col(c).cast("double"), F.col(target).cast("double")) if numeric else F.lit(None).cast("double"),
             "agreement": F.lit(None).cast("double") if numeric else same,
             "later": F.coalesce(F.bool_or(later), F.lit(False)),
         }
@@ -125,7 +125,7 @@ def select_features(df: DataFrame, target: str, moment: str | None = None, near_
         .when((F.col("kind") == CATEGORICAL) & (F.try_divide(F.col("distinct"), F.col("rows")) >= config.identifier_ratio), "high cardinality, looks like an identifier")
         .when(F.col("distinct") <= 1, "constant column")
         .when(share > config.null_rate, "mostly null")
-        .when(~F.isnan("r") & (F.abs("r") > limit), "near-perfectly correlated with the target")
+        .when(F.abs("r") > limit, "near-perfectly correlated with the target")
         .when(F.col("agreement") > limit, "near-perfect agreement with the target")
         .when(F.col("later"), "timestamp at or after the reference time on at least one row")
     )

@@ -122,3 +122,11 @@ def corrected_skewness(column: str) -> Column:
     return F.when(n < 3, F.lit(None)).when(F.min(column) == F.max(column), F.lit(0.0)).otherwise(corrected)
 
 
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r over the rows where both are present; NULL, not an error, when either does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)

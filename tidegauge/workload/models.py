@@ -1,3 +1,140 @@
-from tidegauge.workload.tables import Registry
+"""Modelling: task, features, folds, baselines, scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.operators import modelling
+from tidegauge.workload.tables import Registry, filled, read, rounded
+
 R = Registry()
+SMALL = modelling.Config(trees=20, depth=5, splits=3)
+
+
+@R.add("""SELECT * FROM (VALUES ('o_totalprice', 'forecast'), ('o_orderpriority', 'forecast')) t(target, task)
+UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) BETWEEN 2 AND 49 THEN 'classification' ELSE 'unsupported' END FROM customer
+UNION ALL SELECT 'c_name', CASE WHEN count(DISTINCT c_name) BETWEEN 2 AND 49 THEN 'classification' ELSE 'unsupported' END FROM customer UNION ALL SELECT 'c_acctbal', 'regression'""")
+def model_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    chosen = [(c, modelling.select_task(t, c)[0]) for t, c in ((orders, "o_totalprice"), (orders, "o_orderpriority"), (customers, "c_mktsegment"), (customers, "c_name"), (customers, "c_acctbal"))]
+    return spark.createDataFrame(chosen, "target string, task string")
+
+
+def _series_sql(period: str, step: str) -> str:
+    return f"""WITH s AS (SELECT {period} AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+    g AS (SELECT CAST(unnest(generate_series(CAST((SELECT min(p) FROM s) AS TIMESTAMP), CAST((SELECT max(p) FROM s) AS TIMESTAMP), INTERVAL {step})) AS DATE) AS p),
+    y AS (SELECT row_number() OVER (ORDER BY g.p) - 1 AS t, g.p, coalesce(s.v, 0) AS v FROM g LEFT JOIN s ON s.p = g.p)"""
+
+
+MONTHLY = _series_sql("CAST(date_trunc('month', o_orderdate) AS DATE)", "1 MONTH")
+WEEKLY = _series_sql("CAST(date_trunc('week', o_orderdate) AS DATE) + 6", "7 DAY")
+
+
+@R.add(MONTHLY + " SELECT CAST(t AS INTEGER) AS t, strftime(p, '%Y-%m-%d') AS period, round_even(v, 2) AS value FROM y")
+def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    frequency = modelling.series_frequency(orders, "o_orderdate")
+    found = modelling.time_series(orders, "o_orderdate", "o_totalprice", frequency)
+    return found.select("t", F.date_format("period", "yyyy-MM-dd").alias("period"), rounded("value", 2).alias("value"))
+
+
+@R.add(WEEKLY + " SELECT CAST(t AS INTEGER) AS t, strftime(p, '%Y-%m-%d') AS period, round_even(v, 2) AS value FROM y")
+def weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = modelling.time_series(read(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "W")
+    return found.select("t", F.date_format("period", "yyyy-MM-dd").alias("period"), rounded("value", 2).alias("value"))
+
+
+CHAINED = MONTHLY + """, n AS (SELECT count(*) AS n, count(*) // 6 AS s FROM y), f AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold), w AS (SELECT fold, n - (5 - fold) * s AS a, n - (4 - fold) * s AS b FROM f, n)"""
+
+
+@R.add(CHAINED + " SELECT fold, count(*) FILTER (WHERE t < a) AS train, count(*) FILTER (WHERE t >= a) AS test FROM y JOIN w ON t < b GROUP BY 1")
+def forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = modelling.time_series(read(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "MS")
+    found = modelling.chained(series, series.count(), 5)
+    return found.groupBy("fold").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"))
+
+
+@R.add(CHAINED + """, fit AS (SELECT fold, regr_slope(v, t) AS slope, regr_intercept(v, t) AS icept, count(*) AS k, arg_max(v, t) AS last, max(t) AS lt FROM y JOIN w ON t < a GROUP BY 1),
+eff AS (SELECT w.fold, t % 12 AS place, avg(v - icept - slope * t) AS e FROM y JOIN w ON t < a JOIN fit USING (fold) WHERE k >= 24 GROUP BY 1, 2),
+tail AS (SELECT w.fold, (t - lt + 11) % 12 AS slot, v AS sn FROM y JOIN w ON t < a JOIN fit USING (fold) WHERE t > lt - 12 AND k >= 12),
+p AS (SELECT w.fold, y.t, v, icept + slope * y.t + coalesce(e, 0) AS ts, last AS nv, sn FROM y JOIN w ON y.t >= a AND y.t < b JOIN fit ON fit.fold = w.fold LEFT JOIN eff ON eff.fold = w.fold AND eff.place = y.t % 12
+  LEFT JOIN tail ON tail.fold = w.fold AND tail.slot = (y.t - lt - 1) % 12),
+r AS (SELECT fold, sqrt(avg((ts - v) ** 2)) AS ts, sqrt(avg((nv - v) ** 2)) AS nv, sqrt(avg((sn - v) ** 2)) AS sn FROM p GROUP BY 1)
+SELECT 'trend_seasonal' AS model, 'candidate' AS role, round_even(avg(ts), 1) AS score FROM r UNION ALL SELECT 'naive', 'baseline', round_even(avg(nv), 1) FROM r UNION ALL SELECT 'seasonal_naive', 'baseline', round_even(avg(sn), 1) FROM r""")
+def forecast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-sample error of the seasonal trend and the naive forecasts over forward-chained folds."""
+    series = modelling.time_series(read(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "MS")
+    found = modelling.forecast_scores(series, series.count(), "MS")
+    return found.where("model != 'differenced_ar1'").select("model", "role", rounded("score", 1).alias("score"))
+
+
+@R.add()
+def forecast_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next months of revenue with their band."""
+    return modelling.forecast(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate").forecast
+
+
+def leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a copy of the target, a constant and a mostly missing column."""
+    items = read(spark, sf_dir, "lineitem").drop("l_shipdate")
+    return items.withColumns({
+        "target_copy": F.col("l_extendedprice") * 1.1 + 3, "constant": F.lit(1), "mostly_null": F.when(F.col("l_tax") == 0.08, F.col("l_quantity")),
+        "row_label": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+    })
+
+
+@R.add("""WITH f AS (SELECT *, l_extendedprice * 1.1 + 3 AS target_copy, CASE WHEN l_tax = 0.08 THEN l_quantity END AS mostly_null, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_label FROM lineitem)
+SELECT 'target_copy' AS "column", 'near-perfectly correlated with the target' AS reason FROM f HAVING abs(corr(target_copy, l_extendedprice)) > 0.98
+UNION ALL SELECT 'constant', 'constant column' UNION ALL SELECT 'mostly_null', 'mostly null' FROM f HAVING 1 - count(mostly_null) * 1.0 / count(*) > 0.5
+UNION ALL SELECT 'row_label', 'high cardinality, looks like an identifier' FROM f HAVING count(DISTINCT row_label) * 1.0 / count(*) >= 0.95
+UNION ALL SELECT 'l_quantity', 'near-perfectly correlated with the target' FROM f HAVING abs(corr(l_quantity, l_extendedprice)) > 0.98""")
+def excluded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers, constants, mostly missing columns and copies of the target are left out, with the reason."""
+    return modelling.select_features(leaky(spark, sf_dir), "l_extendedprice").where("not kept").select("column", "reason")
+
+
+@R.add("""WITH i AS (SELECT p_type, (row_number() OVER (PARTITION BY p_type) - 1) % 5 AS fold FROM part) SELECT p_type, CAST(fold AS INTEGER) AS fold, count(*) AS n FROM i GROUP BY ALL""")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label dealt evenly over the folds."""
+    return modelling.with_folds(read(spark, sf_dir, "part"), 5, 0, "p_type").groupBy("p_type", "fold").agg(F.count("*").alias("n"))
+
+
+@R.add("WITH n AS (SELECT count(*) AS n FROM events) SELECT CAST(f AS INTEGER) AS fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n FROM n, (SELECT unnest(range(5)) AS f)")
+def even_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.with_folds(read(spark, sf_dir, "events").select("event_id", "value"), 5).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@R.add("SELECT CAST(quality AS VARCHAR) AS label, count(*) AS n, round_even(count(*) * 1.0 / (SELECT count(*) FROM labels WHERE quality IS NOT NULL), 6) AS share FROM labels WHERE quality IS NOT NULL GROUP BY 1")
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.class_distribution(read(spark, sf_dir, "labels"), "quality").select("label", "n", rounded("share").alias("share"))
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be measured of a document, beside its quality label."""
+    text = F.col("text")
+    words = F.size(F.split(text, r"\s+"))
+    documents = read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", "n_chars", words.alias("words"), (F.col("n_chars") / words).alias("word_length"),
+        F.regexp_count(text, F.lit(r"[.!?]")).alias("stops"), F.regexp_count(text, F.lit(r"[^\p{L}\s]")).alias("symbols"), F.size(F.array_distinct(F.split(text, "\n"))).alias("lines"),
+    )
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return documents.join(labels, "doc_id").drop("doc_id")
+
+
+@R.add()
+def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression and random forest for document quality, against the majority class."""
+    outcome = modelling.predict(document_features(spark, sf_dir), "quality", config=SMALL)
+    scores = outcome.scores if outcome.scores is not None else spark.createDataFrame([], modelling.SCORES)
+    return scores.withColumn("status", F.lit(outcome.status)).withColumn("reason", F.lit(outcome.reason))
+
+
+@R.add()
+def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retail price of parts from their other columns, with the associations of the winner."""
+    outcome = modelling.predict(read(spark, sf_dir, "part"), "p_retailprice", config=SMALL)
+    return filled(outcome.scores.withColumn("status", F.lit(outcome.status)).withColumn("winner", F.lit(outcome.winner)), winner="")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -195,11 +195,11 @@ s AS (SELECT *, row_number() OVER (PARTITION BY district, crop ORDER BY year DES
   FROM f WINDOW k AS (PARTITION BY district, crop ORDER BY year, season))"""
 
 
-@R.add(CROP_SQL + " SELECT district, crop, season, year, area, round_even(production, 2) AS production, round_even(rainfall, 5) AS rainfall, round_even(yield, 8) AS yield FROM f")
+@R.add(CROP_SQL + " SELECT district, crop, season, year, area, round_even(production, 2) AS production, round_even(rainfall, 5) AS rainfall, round_even(yield, 9) AS yield FROM f")
 def crop_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per district, crop, season and year, labels cleaned."""
     frame = grown(spark, sf_dir)
-    return frame.select("district", "crop", "season", "year", "area", rounded("production", 2).alias("production"), rounded("rainfall", 5).alias("rainfall"), rounded("yield", 8).alias("yield"))
+    return frame.select("district", "crop", "season", "year", "area", rounded("production", 2).alias("production"), rounded("rainfall", 5).alias("rainfall"), rounded("yield", 9).alias("yield"))
 
 
 def crop_rule(spark: SparkSession, sf_dir: str, rule, places: int = 3) -> DataFrame:
