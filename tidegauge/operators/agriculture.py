@@ -53,19 +53,28 @@ def qualification(detection: Detection) -> Qualification:
 
 def prepare(df: DataFrame, roles: dict[str, str], config: Config = Config()) -> Prepared:
     present = {name: roles[role] for name, role in SOURCE_ROLE.items() if roles.get(role) in df.columns}
+    keys = [k for k in GRAIN if k in present]
+    narrow = df.select(*[F.col(c).alias(n) if n in GRAIN else F.col(c).try_cast("double").alias(n) for n, c in present.items()])
     merged = rows(df.sparkSession, [], "column string, normalised_to string, from array<string>")
-    work = df
+    summed, averaged = [c for c in SUMMED if c in present], [c for c in AVERAGED if c in present]
+    if keys and (summed or averaged):
+        # sums and counts per label as written; only then are the (far fewer) labels cleaned and merged
+        raw = narrow.groupBy(*keys).agg(
+            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in summed], *[F.sum(c).alias(c) for c in averaged], *[F.count(c).alias(f"n_{c}") for c in averaged]
+        )
+    else:
+        raw = narrow
     if config.normalise_labels:
+        raw = settle(raw)
         for name in ("district", "crop", "season"):
-            if name in present:
-                work, found = normalise.labels(work, present[name])
-                merged = merged.unionByName(found)
-    keys = [k for k in GRAIN if k in present]
-    narrow = work.select(*[
-        F.col(c).alias(n) if n in GRAIN else F.col(c).try_cast("double").alias(n) for n, c in present.items()
-    ])
-    measures = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMMED if c in present] + [F.avg(c).alias(c) for c in AVERAGED if c in present]
-    frame = narrow.groupBy(*keys).agg(*measures) if keys and measures else narrow
+            if name in keys:
+                raw, found = normalise.labels(raw, name)
+                merged = merged.unionByName(found.withColumn("column", F.lit(present[name])))
+    frame = raw
+    if keys and (summed or averaged):
+        frame = raw.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in summed], *[F.try_divide(F.sum(c), F.sum(f"n_{c}")).alias(c) for c in averaged]
+        )
     reasons = []
     if "given_yield" in present:
         frame = frame.withColumnRenamed("given_yield", "yield")

@@ -431,10 +431,17 @@ def basket_patterns(df: DataFrame, transaction: str, item: str, max_items: int =
     A basket is a few 62-bit words combined with ``bit_or``, so a transaction of any length is a
     fixed-size aggregation buffer, and equal baskets collapse before any counting.
     """
-    pairs = df.select(F.col(transaction).alias("t"), F.col(item).cast("string").alias("item")).dropna().distinct()
+    return _patterns(distinct_pairs(df, transaction, item), max_items)
+
+
+def distinct_pairs(df: DataFrame, transaction: str, item: str) -> DataFrame:
+    return df.select(F.col(transaction).alias("t"), F.col(item).cast("string").alias("item")).dropna().distinct()
+
+
+def _patterns(pairs: DataFrame, max_items: int) -> tuple[DataFrame, list[str]]:
     ranked = pairs.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("item")).limit(max_items)
     items = sorted(r["item"] for r in ranked.collect())  # at most max_items rows
-    places = rows(df.sparkSession, [(name, i) for i, name in enumerate(items)], "item string, place int")
+    places = rows(pairs.sparkSession, [(name, i) for i, name in enumerate(items)], "item string, place int")
     words = range((len(items) + WORD_BITS - 1) // WORD_BITS)
     placed = pairs.join(F.broadcast(places), "item")
     bit = F.expr(f"shiftleft(1L, place % {WORD_BITS})")
@@ -490,14 +497,16 @@ def market_basket(
     """Association rules over itemsets of two or three, lift above one, best lift first."""
     if not 0 < min_support < 1 or not 0 < min_confidence <= 1:
         raise ValueError("min_support must be in (0,1) and min_confidence in (0,1]")
-    sizes = df.select(F.col(transaction).alias("t"), F.col(item).alias("i")).dropna().distinct().groupBy("t").agg(F.count("*").alias("k"))
+    # read three times below: sizes, most frequent items, baskets
+    pairs = settle(distinct_pairs(df, transaction, item))
+    sizes = pairs.groupBy("t").agg(F.count("*").alias("k"))
     overall = sizes.agg(F.count("*").alias("n"), F.avg("k").alias("mean"), F.count_if(F.col("k") > 1).alias("multi")).first()
     if not overall["n"]:
         return Baskets(None, "no rows with both a transaction and an item")
     n_transactions, mean = overall["n"], overall["mean"]
     if mean < MIN_MEAN_BASKET:
         return Baskets(None, f"transactions are mostly single-item (mean basket size {mean:.2f}; {overall['multi']} of {n_transactions} have 2+ items)", n_transactions, mean)
-    patterns, items = basket_patterns(df, transaction, item, max_items)
+    patterns, items = _patterns(pairs, max_items)
     patterns = settle(patterns)
     total = patterns.agg(F.sum("n")).first()[0]
     floor = min_support * total

@@ -18,7 +18,7 @@ from tidegauge.functions.numeric import micros
 from tidegauge.functions.pvalues import correlation_p, k_squared
 from tidegauge.plans import order, stats
 from tidegauge.plans.skew import salted_lookup
-from tidegauge.session import hold, rows, settle
+from tidegauge.session import hold, rows, settle, spread
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,11 @@ PAIRS_PER_PASS = 40
 
 def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n, upto): distinct numbers with running counts, kept for quantiles and ranks."""
-    return settle(order.cumulative_counts(stats.number_counts(nan_to_null(df), list(columns))))
+    return settle(order.cumulative_counts(stats.number_counts(nan_to_null(spread(df)), list(columns))))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, values: DataFrame | None = None) -> DataFrame:
-    df = nan_to_null(df)
+    df = nan_to_null(spread(df))
     columns = list(columns) if columns is not None else columns_of(df, NUMERIC)
     values = values if values is not None else order.cumulative_counts(stats.number_counts(df, columns))
     scalars = stats.per_column(df, columns, lambda c: {

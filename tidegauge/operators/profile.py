@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of, kinds, nan_to_null
 from tidegauge.functions.numeric import elapsed_days
 from tidegauge.plans import stats
-from tidegauge.session import hold, rows
+from tidegauge.session import hold, rows, spread
 
 # Fixed values
 NUMERIC_BINS = 10
@@ -80,7 +80,7 @@ def looks_like_identifier(rows, distinct):
 
 
 def profile(df: DataFrame) -> Baseline:
-    df = nan_to_null(df)
+    df = nan_to_null(spread(df))
     texts, numbers = columns_of(df, CATEGORICAL), columns_of(df, NUMERIC)
     summary = column_summary(df)
     if texts:

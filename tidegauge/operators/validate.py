@@ -16,7 +16,7 @@ from tidegauge.functions.kinds import CATEGORICAL, NUMERIC, kinds, nan_to_null,
 from tidegauge.functions.text import fold
 from tidegauge.operators.profile import Baseline, column_summary
 from tidegauge.plans import stats
-from tidegauge.session import hold, rows
+from tidegauge.session import hold, rows, spread
 
 # Fixed values
 SCHEMA, NULLS, DRIFT, CATEGORY = "schema_conformance", "null_threshold", "distribution_drift", "categorical_drift"
@@ -373,7 +373,7 @@ def fold_derived_type_changes(outcomes: DataFrame) -> DataFrame:
 
 def evaluate(df: DataFrame, baseline: Baseline, rules: Rules = Rules(), arrival: Arrival = Arrival()) -> DataFrame:
     """All rule outcomes as (rule_id, family, column, status, detail)."""
-    df = nan_to_null(df)
+    df = nan_to_null(spread(df))
     pair = hold(_paired(df, baseline))
     outcomes = schema_rules(pair, baseline, F.coalesce(F.max("now_rows"), F.lit(0)), rules)
     for part in (

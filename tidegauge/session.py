@@ -66,3 +66,18 @@ def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     struct = T._parse_datatype_string(schema)
     columns = {f.name: [v[i] for v in values] for i, f in enumerate(struct.fields)}
     return spark.createDataFrame(pa.Table.from_pydict(columns, schema=to_arrow_schema(struct)), struct)
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small input over all cores before heavy per-row work.
+
+    A file of one row group is read by a single task. Inputs large enough to fill the cores by
+    themselves (by the optimiser's own estimate) are left alone, so nothing big is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(estimate)) < cores * SPLIT_BYTES
+    return df.repartition(cores) if small else df
