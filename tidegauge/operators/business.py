@@ -299,7 +299,8 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
     reason = f"only {latest['n']} {granularity} cohort(s); retention needs at least two to compare" if latest["n"] < 2 else None
     kept = hold(sizes.orderBy(F.desc("cohort")).limit(MAX_COHORTS))
     cells = hold(counts.join(F.broadcast(kept.select("cohort")), "cohort").where(F.col("offset") < MAX_OFFSETS))
-    grid = kept.crossJoin(cells.select("offset").distinct())  # at most 36 x 24 cells
+    seen_offsets = sorted(r["offset"] for r in cells.select("offset").distinct().collect())  # at most 24
+    grid = kept.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in seen_offsets]))) if seen_offsets else kept.withColumn("offset", F.lit(0)).limit(0)
     future = F.col("cohort") + F.col("offset") > latest["last"]
     share = half_even(F.coalesce("active", F.lit(0)) / F.col("cohort_size"))
     matrix = grid.join(cells, ["cohort", "offset"], "left").select(

@@ -10,6 +10,8 @@ import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,8 +177,12 @@ def missing_patterns(df: DataFrame, settings: Settings = Settings()) -> DataFram
     nulls = {r["column"]: (r["nulls"], r["rows"]) for r in per_column.where("nulls > 0").collect()}
     pairs = list(itertools.combinations(sorted(nulls), 2))
     found = []
+    if pairs:
+        # the table is read once; pairs are counted over its distinct null patterns
+        flags = df.select(*[F.col(c).isNull().alias(c) for c in sorted(nulls)])
+        patterns = settle(flags.groupBy(*flags.columns).agg(F.count("*").alias("__n")))
     for chunk in _chunks(pairs, PAIRS_PER_PASS):
-        together = df.agg(*[F.count_if(F.col(a).isNull() & F.col(b).isNull()) for a, b in chunk]).first()
+        together = patterns.agg(*[F.coalesce(F.sum(F.when(F.col(a) & F.col(b), F.col("__n"))), F.lit(0)) for a, b in chunk]).first()
         found += [(a, b, together[i], nulls[a][0], nulls[b][0], nulls[a][1]) for i, (a, b) in enumerate(chunk)]
     joint = rows(df.sparkSession, found, "column_a string, column_b string, support bigint, nulls_a bigint, nulls_b bigint, sample_size bigint")
     b_given_a, a_given_b = F.col("support") / F.col("nulls_a"), F.col("support") / F.col("nulls_b")
@@ -222,17 +228,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings:
     columns = sorted(columns)
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = list(itertools.combinations(columns, 2))
-    measured, found = [], []
-    for chunk in _chunks(pairs, PAIRS_PER_PASS):
-        exprs = []
-        for a, b in chunk:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            exprs.append(F.struct(
-                F.count_if(both).alias("n"), stats.correlation(a, b).alias("r"),
-                (F.min(F.when(both, F.col(a))) < F.max(F.when(both, F.col(a)))).alias("a_varies"),
-                (F.min(F.when(both, F.col(b))) < F.max(F.when(both, F.col(b)))).alias("b_varies"),
-            ))
-        measured += list(zip(chunk, numbers.agg(*exprs).first()))
+    measured, found = pair_figures(numbers, pairs), []
     eligible = []
     for (a, b), m in measured:
         if m["n"] < settings.correlation_min_n:
@@ -249,6 +245,44 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings:
     return rows(spark, found, CORRELATION), rows(spark, skipped, SKIPPED)
 
 
+def pearson_matrix(numbers: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:
+    """All coefficients between columns without nulls, in one pass over the rows."""
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(numbers).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return {(a, b): float(matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
+
+
+def pair_figures(numbers: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[tuple[str, str], dict]]:
+    """Per pair: n, r, and whether either side varies, over the rows where both are present.
+
+    Columns without nulls share one pass however many pairs they form; only pairs with nulls, whose rows
+    differ from pair to pair, are aggregated one by one.
+    """
+    if not pairs:
+        return []
+    used = sorted({c for p in pairs for c in p})
+    facts = {r["column"]: r for r in stats.per_column(numbers, used, lambda c: {
+        "rows": F.count(F.lit(1)), "nulls": F.count_if(F.col(c).isNull()), "varies": F.coalesce(F.min(c) < F.max(c), F.lit(False)),
+    }).collect()}
+    steady = [c for c in used if not facts[c]["nulls"] and facts[c]["varies"]]
+    matrix = pearson_matrix(numbers, steady) if len(steady) > 1 else {}
+    figures: dict[tuple[str, str], dict] = {}
+    for a, b in pairs:
+        if not facts[a]["nulls"] and not facts[b]["nulls"]:
+            figures[a, b] = {"n": facts[a]["rows"], "r": matrix.get((a, b)), "a_varies": facts[a]["varies"], "b_varies": facts[b]["varies"]}
+    for chunk in _chunks([p for p in pairs if p not in figures], PAIRS_PER_PASS):
+        exprs = []
+        for a, b in chunk:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            exprs.append(F.struct(
+                F.count_if(both).alias("n"), stats.correlation(a, b).alias("r"),
+                (F.min(F.when(both, F.col(a))) < F.max(F.when(both, F.col(a)))).alias("a_varies"),
+                (F.min(F.when(both, F.col(b))) < F.max(F.when(both, F.col(b)))).alias("b_varies"),
+            ))
+        figures.update({p: m.asDict() for p, m in zip(chunk, numbers.agg(*exprs).first())})
+    return [(p, figures[p]) for p in pairs]
+
+
 def rank_correlations(numbers: DataFrame, pairs: list[tuple[str, str]], values: DataFrame | None = None) -> dict[tuple[str, str], float]:
     """Spearman coefficients over the rows where both columns are present.
 
@@ -275,11 +309,8 @@ def _rank_corr(numbers: DataFrame, pairs: list[tuple[str, str]], values: DataFra
     for c in columns:
         lookup = values.where(F.col("column") == c).select(F.col("value").alias(c), order.average_rank().alias(f"__r_{c}"), "n")
         ranked = salted_lookup(ranked, c, lookup, "n", lookup_rows=sizes[c]).drop(c)
-    result = {}
-    for chunk in _chunks(pairs, PAIRS_PER_PASS):
-        coefficients = ranked.agg(*[stats.correlation(f"__r_{a}", f"__r_{b}") for a, b in chunk]).first()
-        result.update(dict(zip(chunk, coefficients)))
-    return result
+    coefficients = pearson_matrix(ranked, [f"__r_{c}" for c in columns])
+    return {(a, b): coefficients[f"__r_{a}", f"__r_{b}"] for a, b in pairs}
 
 
 # -- outliers ----------------------------------------------------------------------------------------
@@ -549,11 +580,11 @@ def category_bars(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     return stats.top_values(counts, k).join(usable.select("column"), "column", "left_semi")
 
 
-def scatter_points(df: DataFrame, a: str, b: str, ordering, cap: int = SCATTER_POINTS) -> DataFrame:
-    """Every k-th complete row in a fixed order, at most ``cap`` of them."""
-    pair = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+def scatter_points(df: DataFrame, a: str, b: str, keys: Sequence[str], cap: int = SCATTER_POINTS) -> DataFrame:
+    """Every k-th complete row in the order of ``keys``, at most ``cap`` of them."""
+    pair = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*dict.fromkeys([*keys, a, b]))
     stride = F.greatest(F.floor(pair.agg(F.count("*")).scalar() / cap), F.lit(1))
-    indexed = order.global_index(pair, ordering)
+    indexed = order.global_index(pair, [F.asc(k) for k in keys])
     return indexed.where((F.col("idx") % stride == 0) & (F.col("idx") / stride < cap)).select("idx", a, b)
 
 

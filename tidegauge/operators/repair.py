@@ -105,7 +105,9 @@ def rename_pairs(outcomes: DataFrame, baseline: Baseline, df: DataFrame, max_dis
     now = column_summary(df).select(F.col("column").alias("unexpected"), F.col("dtype").alias("now_dtype"), F.col("null_rate").alias("now_nulls"))
     now = now.join(validate.cardinalities(df, texts).withColumnRenamed("column", "unexpected"), "unexpected", "left")
     before = baseline.columns.select(F.col("column").alias("missing"), "dtype", "null_rate", "cardinality")
-    pairs = missing.join(before, "missing").join(fresh.join(now, "unexpected"), F.lit(True))
+    # a type difference alone exceeds the distance, so only columns of one type need to meet
+    alike = F.col("dtype") == F.col("now_dtype") if max_distance < DTYPE_PENALTY else F.lit(True)
+    pairs = missing.join(before, "missing").join(fresh.join(now, "unexpected"), alike)
     widest = F.greatest(F.col("cardinality"), F.col("now_cardinality"), F.lit(1))
     distance = (
         F.when(F.col("dtype") != F.col("now_dtype"), DTYPE_PENALTY).otherwise(0.0)

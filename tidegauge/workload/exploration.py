@@ -233,7 +233,7 @@ def category_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""WITH i AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_custkey, o_totalprice, greatest(1, (SELECT count(*) FROM orders) // 5000) AS stride FROM orders)
 SELECT idx, o_custkey, o_totalprice FROM i WHERE idx % stride = 0 AND idx / stride < 5000""")
 def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.scatter_points(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", [F.asc("o_orderkey")])
+    return explore.scatter_points(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
 
 
 @R.add("SELECT strftime(o_orderdate, '%Y-%m-%d') AS x, o_totalprice AS y FROM orders")
