@@ -24,6 +24,8 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: Key of a null group; other keys start with "=".
+NULL_MARK = "null"
 PIECE = 1 << 20
 GROUP = 1 << 22
 _BASE = 0x9E3779B97F4A7C15

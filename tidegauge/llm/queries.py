@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, licenses, tokens
+from tidegauge.llm import batches, ctw, decontaminate, licenses, mixing, spotsigs, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,15 @@ def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = batches.remainder("doc_id", 5) == 1
     scored = ctw.score(documents, documents.where(~held))
     return scored.withColumn("held_out", batches.remainder("doc_id", 5) == 1)
+
+
+@_add()
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    return spotsigs.edit_report(_read(spark, sf_dir, "documents"))
+
+
+@_add()
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes from every document."""
+    return mixing.taken_words(_read(spark, sf_dir, "documents"))
