@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, licenses, mixing, spotsigs, tokens
+from tidegauge.llm import batches, ctw, decontaminate, licenses, mixing, pii, quality, spotsigs, tokens, toxicity
+from tidegauge.session import settle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,30 @@ def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources takes from every document."""
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
+
+
+@_add()
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two thirds of them."""
+    labels = _read(spark, sf_dir, "labels")
+    measured = settle(quality.measure(_read(spark, sf_dir, "documents")))
+    model = quality.train(measured, labels.where(batches.remainder("doc_id", 3) != 1).select("doc_id", "quality"))
+    scored = quality.score(measured, model)
+    return scored.select("doc_id", (batches.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_add()
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of them."""
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(batches.remainder("doc_id", 5) != 0).select("doc_id", "toxic"))
+    scored = toxicity.with_score(documents, model)
+    return scored.select("doc_id", (batches.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_add()
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the exact shapes, and what boosted trees accept beyond them."""
+    found = pii.report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
