@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, licenses, mixing, pii, quality, spotsigs, tokens, toxicity
+from tidegauge.llm import batches, ctw, decontaminate, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity
 from tidegauge.session import settle
 
 QUERIES: dict = {}
@@ -105,3 +105,17 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: the exact shapes, and what boosted trees accept beyond them."""
     found = pii.report(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
+
+
+@_add(r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a WHERE r.root < e.b)
+SELECT r.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2""")
+def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count of every document and the smallest document it is linked with, directly or through others."""
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
