@@ -134,28 +134,56 @@ def _scan(block, gram: int, window: int):
     return work
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_words: int):
+    """The benchmark's items as broadcasts of about ``block_words`` words at most, one after the other."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    # a word takes two bytes at least, with what parts it from the next
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    blocks = size // (2 * block_words) + 1
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        held = dealt.where(F.col("block") == block).select("item", "text").collect()
+        yield spark.sparkContext.broadcast(([r["text"] for r in held], [r["item"] for r in held]))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows whose text holds a window of the benchmark. Nothing is shuffled: each block is one more filter."""
+
+    def holds(shared):
+        ready: list = []
+
+        def work(batch: pa.Array) -> pa.Array:
+            if not ready:
+                ready.append(_items(*shared.value, gram, window))
+            offsets, data = B.texts(batch)
+            out = np.zeros(len(batch), bool)
+            for first, last in B.groups(offsets):
+                rows, words = B.words(offsets, data, first, last, B.ALNUM)
+                out[first + rows[_matches(rows, words, ready[0], gram, window)[0]]] = True
+            return pa.array(out)
+
+        return F.arrow_udf(work, "boolean")(F.coalesce(F.col(text_col), F.lit("")))
+
+    for shared in _blocks(benchmark, item_col, item_text, block_words):
+        docs = docs.where(~holds(shared))
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   gram: int = GRAM, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, spans) for every row; ``spans`` are the merged word intervals, ``items`` the ids as sorted strings."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    # letters bound words, so a block never holds more than this many words
-    letters = items.select(F.sum(F.octet_length("text")).alias("n")).scalar()
-    blocks = spark.range(1).select(F.coalesce(letters, F.lit(0))).head()[0] // (2 * block_words) + 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    passes = []
-    for block in range(blocks):
-        held = dealt.where(F.col("block") == block).select("item", "text").collect()
-        shared = spark.sparkContext.broadcast(([r["text"] for r in held], [r["item"] for r in held]))
-        schema = f"id {kind}, key long, n_words long, spans array<struct<from: long, until: long>>, items array<string>"
-        passes.append(B.over_text(source, "text", schema, _scan(shared, gram, window)).withColumn("block", F.lit(block)))
+    schema = f"id {kind}, key long, n_words long, spans array<struct<from: long, until: long>>, items array<string>"
+    passes = [
+        B.over_text(source, "text", schema, _scan(shared, gram, window)).withColumn("block", F.lit(i)) for i, shared in enumerate(_blocks(benchmark, item_col, item_text, block_words))
+    ]
     rows = passes[0]
     for more in passes[1:]:
         rows = rows.unionByName(more)
-    if blocks > 1:
+    if len(passes) > 1:
         rows = rows.groupBy("id", "key", "n_words").agg(
             F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count_if(F.col("block") == 0).alias("times"),
         ).withColumn("copy", F.explode(F.expr("sequence(1, times)")))

@@ -1,16 +1,15 @@
 """Exact Jaccard self-join of word shingles by prefix trees.
 
 1. Every text becomes its set of shingle hashes; equal sets are one class (a digest of the set names it), so copies are never paired.
-2. Shingles get one global order: those found often come last, the rest by hash. Sets alike enough share one of their first shingles in that order, so
-   classes meet on those. Each shingle links its classes to one of them (a star, not all pairs); the connected parts of these links are candidate groups.
+2. Shingles get one global order, by the power of two of the number of sets that hold them and then by hash. Sets alike enough share one of their first
+   shingles in that order. To learn the numbers, shingles are dealt out by hash in packed pages; only those of two sets or more come back. Each of
+   the first shingles links its classes to one of them (a star, not all pairs); the connected parts of these links are candidate groups.
 3. In a group the sets are stored in a trie, commonest shingles first, so that sets share the beginnings of their paths. A probe walks the trie from
    the root: the overlap with a path's beginning is counted once for all sets below, and a subtree is left as soon as what remains of the probe and of
    its longest set cannot reach the wanted overlap. Found links are united at once, and a group that has become one component is finished.
 4. Large groups are split into blocks. What is linked within blocks is united; everything outside a group's largest component then meets every block.
    Pairs inside one component need no comparison, all others are compared, so no link that could unite components is missed.
 
-The order only decides how many candidates there are, never the result, so the list of frequent shingles may be bounded.
-
 A null or empty text has the empty set and is linked with nothing; null ids belong to the smallest other id of their component (null if there is none);
 repeated rows are returned as often as they come; an empty table gives an empty table; other columns are ignored.
 """
@@ -28,15 +27,15 @@ from tidegauge.session import settle
 WORDS = 5
 #: Wanted likeness in hundredths: 100 * overlap >= PERCENT * union.
 PERCENT = 80
-#: Frequent shingles that are ordered last (4 bytes each), the least count that makes one, and the share of the hash range that is counted.
-FREQUENT = 1 << 20
-OFTEN = 32
-COUNTED = 3
+#: Shingles that are counted together (about 40 bytes each in a task).
+BUCKET = 1 << 21
 #: A block holds at most so many sets and about so many characters.
 BLOCK_SETS = 1024
 BLOCK_CHARS = 16 << 20
 #: A list of group members of at most so many rows (24 bytes each) is broadcast; a longer one is joined in a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Probes that walk a trie together.
+PROBES = 64
 
 
 def shingles(offsets, data, first: int, last: int, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +59,6 @@ def shingles(offsets, data, first: int, last: int, k: int = WORDS) -> tuple[np.n
     return row[new], value[new]
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of a hash, for counting only."""
-    return (hashes >> B.U(32)).astype(np.uint32).view(np.int32)
-
-
 def _digests(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Size and digest of each row's set; the digest does not depend on an order."""
     sizes = np.bincount(row, minlength=n)
@@ -76,62 +70,101 @@ def _digests(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def _describe(k: int):
-    """One pass: sizes and digests of all sets (kind 0), and counts of the shingles in the counted part of the hash range (kind 1)."""
-
-    def begin():
-        return {"waiting": [], "size": 0}
-
-    def flush(state):
-        if state["waiting"]:
-            keys, times = np.unique(np.concatenate(state["waiting"]), return_counts=True)
-            state["waiting"], state["size"] = [], 0
-            for at in range(0, len(keys), 1 << 17):
-                n = len(keys[at : at + (1 << 17)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, 1, np.int32)), pa.nulls(n, id_type[0]), pa.array(times[at : at + n].astype(np.int64)), pa.array(keys[at : at + n].astype(np.int64))], ["kind", "id", "n", "key"],
-                )
-
-    id_type: list = [None]
+    """(id, class, n) of every row: digest and size of its set."""
 
-    def work(batch, state):
-        id_type[0] = batch.column(0).type
+    def work(batch: pa.RecordBatch):
         offsets, data = B.texts(batch.column(1))
         for first, last in B.groups(offsets):
-            row, value = shingles(offsets, data, first, last, k)
-            sizes, digest = _digests(row, value, last - first)
             n = last - first
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(first, n), pa.array(sizes), pa.array(digest)], ["kind", "id", "n", "key"])
-            counted = value[value < B.U((1 << 64) // COUNTED)]
-            state["waiting"].append(_short(counted))
-            state["size"] += len(counted)
-            if state["size"] > 1 << 21:
-                yield from flush(state)
+            sizes, digest = _digests(*shingles(offsets, data, first, last, k), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(digest), pa.array(sizes)], ["id", "class", "n"])
 
-    return work, begin, flush
+    return work
 
 
-def _prefixes(frequent, k: int, percent: int):
-    """(shingle, class) of the first shingles of every set in the global order."""
+def _pages(k: int, buckets: int):
+    """Pages of (bucket, classes, sizes, how many shingles of each class are in the bucket, 32 bits of each of these)."""
 
     def work(batch: pa.RecordBatch):
-        last_ones = frequent.value
         offsets, data = B.texts(batch.column(0))
         for first, last in B.groups(offsets):
             row, value = shingles(offsets, data, first, last, k)
-            n = last - first
-            sizes, digest = _digests(row, value, n)
-            short = _short(value)
-            at = np.minimum(np.searchsorted(last_ones, short), max(len(last_ones) - 1, 0))
-            often = (last_ones[at] == short) & (value < B.U((1 << 64) // COUNTED)) if len(last_ones) else np.zeros(len(value), bool)
-            order = np.lexsort((value, often, row))
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            length = sizes - -(-percent * sizes // 100) + 1
-            keep = order[(place < length[row]) & (sizes[row] > 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(B.signed(value[keep])), pa.array(digest[row[keep]])], ["shingle", "class"])
+            sizes, digest = _digests(row, value, last - first)
+            _, once = np.unique(digest, return_index=True)  # copies within a page need no second entry
+            alone = np.zeros(len(sizes), bool)
+            alone[once] = True
+            # a set of one shingle is only like itself
+            keep = (alone & (sizes > 1))[row]
+            row, value = row[keep], value[keep]
+            bucket = (value % B.U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            row, value, bucket = row[order], value[order], bucket[order]
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            out: list[list] = [[], [], [], [], []]
+            for at in np.flatnonzero(np.diff(cuts)):
+                low, high = cuts[at], cuts[at + 1]
+                members, times = np.unique(row[low:high], return_counts=True)
+                short = (value[low:high] >> B.U(32)).astype(np.uint32)
+                for column, x in zip(out, (int(at), digest[members].tobytes(), sizes[members].astype(np.int32).tobytes(), times.astype(np.int32).tobytes(), short.tobytes())):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "classes", "sizes", "times", "shingles"])
 
     return work
 
 
+def _held_by_several(batches):
+    """Over pages sorted by bucket: (class, n, power, shingle) of every shingle that two classes or more hold."""
+
+    def count(bucket: int, pages: list[tuple]):
+        classes = np.concatenate([np.frombuffer(p[0], np.int64) for p in pages])
+        sizes = np.concatenate([np.frombuffer(p[1], np.int32) for p in pages])
+        of = np.repeat(np.arange(len(classes)), np.concatenate([np.frombuffer(p[2], np.int32) for p in pages]))
+        short = np.concatenate([np.frombuffer(p[3], np.uint32) for p in pages])
+        order = np.argsort(short, kind="stable")
+        short, of = short[order], of[order]
+        # what stands alone is most of it
+        same = short[1:] == short[:-1]
+        several = np.zeros(len(short), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        short, of = short[several], of[several]
+        order = np.lexsort((classes[of], short))
+        short, of = short[order], of[order]
+        new = np.ones(len(short), bool)
+        new[1:] = (short[1:] != short[:-1]) | (classes[of[1:]] != classes[of[:-1]])
+        short, of = short[new], of[new]
+        _, where, held = np.unique(short, return_inverse=True, return_counts=True)
+        held = held[where]
+        short, of, held = short[held > 1], of[held > 1], held[held > 1]
+        name = (short.astype(np.int64) << 24) ^ bucket
+        power = np.log2(held).astype(np.int32)
+        for at in range(0, len(short), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(classes[of[part]]), pa.array(sizes[of[part]].astype(np.int64)), pa.array(power[part]), pa.array(name[part])], ["class", "n", "power", "shingle"])
+
+    current, pages = None, []
+    for batch in batches:
+        for bucket, *page in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != current:
+                if pages:
+                    yield from count(current, pages)
+                current, pages = bucket, []
+            pages.append(page)
+    if pages:
+        yield from count(current, pages)
+
+
+def _first_shingles(texts: DataFrame, k: int, percent: int, total: int, bucket: int) -> DataFrame:
+    """(class, shingle): the first shingles of every set in the global order that another set holds too."""
+    buckets = min(total // bucket + 1, 1 << 24)
+    pages = B.over_text(texts.select("text"), "text", "bucket int, classes binary, sizes binary, times binary, shingles binary", _pages(k, buckets))
+    several = pages.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_held_by_several, "class long, n long, power int, shingle long")
+    held = several.groupBy("class").agg(F.max("n").alias("n"), F.count("*").alias("several"), F.collect_list(F.struct("power", "shingle")).alias("order"))
+    # those that no other set holds come first; the rest fill what is left of the beginning
+    wanted = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("several"))
+    return held.where(wanted > 0).select("class", F.explode(F.slice(F.array_sort("order"), F.lit(1), wanted.cast("int"))).alias("entry")).select("class", F.col("entry.shingle").alias("shingle"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that is connected, for every node of the undirected edges (a, b). Each round halves paths at least."""
     links = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -157,7 +190,7 @@ class Trie:
     """Sets of numbers, each sorted, as a path-compressed trie in arrays."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()), np.int64)
         paths = [sets[i] for i in self.order]
         self.sizes = sizes[self.order]
         n = len(paths)
@@ -197,11 +230,13 @@ class Trie:
         begins = np.cumsum([0] + [len(p) for p in paths])
         self.tokens = np.concatenate(paths) if n else np.zeros(0, np.int64)
         self.at = begins[[e[1] for e in edges]] + self.low
-        self.deepest = np.array([max(len(p) for p in paths[f:l]) for f, l in zip(self.first, self.last)])
+        lengths = np.array([len(p) for p in paths])
+        self.deepest = np.array([lengths[f:l].max() for f, l in zip(self.first, self.last)])
         self.least = np.array([self.sizes[f:l].min() for f, l in zip(self.first, self.last)])
         self.most = np.array([self.sizes[f:l].max() for f, l in zip(self.first, self.last)])
         # a set ends where its path is as deep as the edge
-        self.ending = [[j for j in range(f, l) if len(paths[j]) == h] for f, l, h in zip(self.first, self.last, self.high)]
+        self.ending = [np.flatnonzero(lengths[f:l] == h) + f for f, l, h in zip(self.first, self.last, self.high)]
+        self.ends_here = np.array([len(e) > 0 for e in self.ending])
         by_parent = np.argsort(parent, kind="stable")
         self.children, self.child_at = by_parent, np.searchsorted(parent[by_parent], np.arange(-1, len(edges) + 1))
 
@@ -212,60 +247,56 @@ class Trie:
         owner = np.repeat(np.arange(len(nodes)), times)
         return self.children[np.repeat(low, times) + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)], owner
 
-    def alike(self, mine: np.ndarray, size: int, marked: np.ndarray, percent: int) -> list[int]:
-        """The sets (as given) alike enough to the probe: ``mine`` its sorted numbers, ``size`` its whole size, ``marked`` true at them."""
-        out: list[int] = []
-        nodes, owner = self._below(np.array([-1]))
-        over = np.zeros(len(nodes), int)
+    def alike(self, marked: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set as given) of all pairs alike enough. Probes are walked together, level by level.
+
+        ``marked`` tells the numbers of each probe (a row each), ``sizes`` their whole sizes, ``wanted`` the sets that each looks for.
+        """
+        left = np.zeros((len(sizes), len(self.order) + 1), np.int32)
+        np.cumsum(wanted[:, self.order], axis=1, out=left[:, 1:])
+        upto = np.zeros((len(sizes), marked.shape[1] + 1), np.int32)
+        np.cumsum(marked, axis=1, out=upto[:, 1:])
+        roots, _ = self._below(np.array([-1]))
+        probe, nodes = np.repeat(np.arange(len(sizes)), len(roots)), np.tile(roots, len(sizes))
+        over = np.zeros(len(nodes), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        both = 100 + percent
         while len(nodes):
-            # by sizes alone
-            fits = (100 * self.most[nodes] >= percent * size) & (100 * size >= percent * self.least[nodes])
-            nodes, over = nodes[fits], over[fits]
+            # by sizes alone, and where nothing is wanted
+            size = sizes[probe]
+            fits = (100 * self.most[nodes] >= percent * size) & (100 * size >= percent * self.least[nodes]) & (left[probe, self.last[nodes]] > left[probe, self.first[nodes]])
+            probe, nodes, over, size = probe[fits], nodes[fits], over[fits], size[fits]
             if not len(nodes):
                 break
             length = self.high[nodes] - self.low[nodes]
             starts = np.cumsum(length) - length
             place = np.repeat(self.at[nodes] - starts, length) + np.arange(int(length.sum()))
-            hit = np.concatenate([[0], np.cumsum(marked[self.tokens[place]])])
+            hit = np.concatenate([[0], np.cumsum(marked[np.repeat(probe, length), self.tokens[place]])])
             over = over + hit[starts + length] - hit[starts]
-            for node, shared in zip(nodes[over > 0].tolist(), over[over > 0].tolist()):
-                out += [self.order[j] for j in self.ending[node] if 100 * shared >= percent * (size + int(self.sizes[j]) - shared)]
+            for i in np.flatnonzero(self.ends_here[nodes] & (both * over >= percent * (size + self.least[nodes]))):
+                ends = self.ending[nodes[i]]
+                good = self.order[ends[both * over[i] >= percent * (size[i] + self.sizes[ends])]]
+                good = good[wanted[probe[i], good]]
+                found.append((np.full(len(good), probe[i]), good))
             # what may still be found below: numbers of the probe after the path's last, and of the longest path
-            ends = np.where(length > 0, self.tokens[np.minimum(self.at[nodes] + length - 1, max(len(self.tokens) - 1, 0))], -1)
-            rest = len(mine) - np.searchsorted(mine, ends, "right")
+            after = np.where(length > 0, self.tokens[np.minimum(self.at[nodes] + length - 1, max(len(self.tokens) - 1, 0))] + 1, 0)
+            rest = upto[probe, -1] - upto[probe, after]
             reach = over + np.minimum(rest, self.deepest[nodes] - self.high[nodes])
             # overlap o is enough if 100 o >= percent (a + b - o)
-            alive = (100 + percent) * reach >= percent * (size + self.least[nodes])
+            alive = both * reach >= percent * (size + self.least[nodes])
             nodes, owner = self._below(nodes[alive])
-            over = over[alive][owner]
-        return out
-
-
-class _Union:
-    def __init__(self, labels: list) -> None:
-        names: dict = {}
-        self.up = [names.setdefault(x, i) for i, x in enumerate(labels)]
-        self.parts = len(names)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def unite(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        self.parts -= 1
-        return True
+            probe, over = probe[alive][owner], over[alive][owner]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f for f, _ in found]), np.concatenate([g for _, g in found])
 
 
 def links_within(sets: list[np.ndarray], labels: list, native: list[bool], probing: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that unite the sets with equal labels and all sets linked to them: probes against native sets."""
-    union = _Union(labels)
-    if union.parts < 2:
+    names: dict = {}
+    part = np.array([names.setdefault(x, i) for i, x in enumerate(labels)])
+    parts = len(names)
+    if parts < 2:
         return []
     whole = np.concatenate(sets)
     _, where, times = np.unique(whole, return_inverse=True, return_counts=True)
@@ -275,19 +306,25 @@ def links_within(sets: list[np.ndarray], labels: list, native: list[bool], probi
     sizes = np.array([len(s) for s in sets])
     shared = times > 1  # what one set alone holds only counts in its size
     numbered = [np.sort(number[w[shared[w]]]) for w in np.split(where, ends[:-1])]
-    home = [i for i, here in enumerate(native) if here]
+    home = np.flatnonzero(native)
+    if not len(home):
+        return []
     trie = Trie([numbered[i] for i in home], sizes[home])
-    marked, out = np.zeros(len(times) + 1, bool), []
-    for i, probe in enumerate(probing):
-        if not probe or not len(numbered[i]):
-            continue
-        marked[numbered[i]] = True
-        for j in trie.alike(numbered[i], int(sizes[i]), marked, percent):
-            if union.unite(i, home[j]):
-                out.append((i, home[j]))
-        marked[numbered[i]] = False
-        if union.parts == 1:
-            break
+    out: list[tuple[int, int]] = []
+    turns, step = [i for i in np.flatnonzero(probing) if len(numbered[i])], 1
+    while turns and parts > 1:
+        now, turns = turns[:step], turns[step:]
+        step = min(2 * step, PROBES)  # the first few unite most, so that the others look for less
+        marked = np.zeros((len(now), len(times) + 1), bool)
+        for row, i in enumerate(now):
+            marked[row, numbered[i]] = True
+        # what is already united with the probe is not looked for
+        for row, j in zip(*trie.alike(marked, sizes[now], part[home][None, :] != part[now][:, None], percent)):
+            i, j = now[row], home[j]
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                parts -= 1
+                out.append((int(i), int(j)))
     return out
 
 
@@ -346,22 +383,14 @@ def _members(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
-                    block_sets: int = BLOCK_SETS, block_chars: int = BLOCK_CHARS, frequent: int = FREQUENT, often: int = OFTEN) -> DataFrame:
+                    block_sets: int = BLOCK_SETS, block_chars: int = BLOCK_CHARS, bucket: int = BUCKET) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    work, begin, finish = _describe(k)
-    described = settle(B.over_text(texts, "text", f"kind int, id {kind}, n long, key long", work, begin, finish).groupBy("kind", "id", "key", F.when(F.col("kind") == 0, F.col("n")).alias("size")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("rows"),
-    ).where(f"kind = 0 or n >= {often}"))
-    sets = described.where("kind = 0").select("id", F.col("key").alias("class"), F.col("size").alias("n"), "rows")
+    sets = settle(B.over_text(texts, "text", f"id {kind}, class long, n long", _describe(k)))
     classes = settle(sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-
-    # at most ``frequent`` numbers
-    often_ones = described.where("kind = 1").orderBy(F.col("n").desc(), "key").limit(frequent).select(F.col("key").cast("int").alias("key")).toPandas()["key"].to_numpy(np.int32)
-    shared = spark.sparkContext.broadcast(np.sort(often_ones))
-    first_ones = B.over_text(texts.select("text"), "text", "shingle long, class long", _prefixes(shared, k, percent))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    first_ones = settle(_first_shingles(texts, k, percent, total, bucket))
     hubs = first_ones.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub <> other").select("shingle", "hub")
     stars = first_ones.join(hubs, "shingle").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars).select(F.col("node").alias("class"), F.col("root").alias("group"))
@@ -387,6 +416,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     labelled = named.join(least, "root").select(F.col("class"), "component_id")
-    return sets.join(labelled, "class", "left").withColumn("copy", F.explode(F.expr("sequence(1L, rows)"))).select(
+    return sets.join(labelled, "class", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null ids last). Rows without words are components of their own unless they are equal in id."""
+    # rows are told apart by id and text; what is equal in both is one document
+    named = docs.withColumn("jaccard_row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")))
+    found = settle(near_duplicates(named, "jaccard_row", text_col, k, percent))
+    kept = found.where(F.col("jaccard_row") == F.col("component_id")).groupBy("jaccard_row").agg(F.count("*").alias("times"))
+    out = named.join(kept.select("jaccard_row"), "jaccard_row", "left_semi")
+    if kept.where("times > 1").limit(1).count():
+        out = out.dropDuplicates(["jaccard_row"])
+    return out.select(*docs.columns)
