@@ -50,7 +50,7 @@ def contexts(offsets: np.ndarray, data: np.ndarray, first: int, last: int, depth
                 stop = min(at + B.GROUP, end + 1)
                 body = B.LOWER[data[max(begin, at - depth) : min(stop, end)]]
                 lead = np.full(depth - (at - max(begin, at - depth)), END, np.uint8)
-                run = np.concatenate([lead, body, np.full(stop > end, END, np.uint8)])
+                run = np.concatenate([lead, body, np.full(int(stop > end), END, np.uint8)])
                 yield np.full(len(run) - depth, low - first), _keys(run, depth)
             return  # such a text is a run of its own
     n, sizes = last - first, np.diff(offsets[first : last + 1])
