@@ -16,6 +16,7 @@ they come; without training rows every probability is the estimators' prior; an
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ PART_ENTRIES = 1 << 19
 #: Most frequent words whose counts are broadcast (16 bytes each).
 HEAD = 8192
 #: Table entries that one pass holds (about 20 bytes each in a task).
-BLOCK_ENTRIES = 1 << 23
+BLOCK_ENTRIES = 1 << 21
 END = 0xFF
 END_TOKEN = 1
 WORD, CONTEXT = 0, 1
@@ -197,9 +198,9 @@ def _shallow(trees: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     parts = trees.mapInArrow(work, "id long, zeros double, ones double, below double")
     # one row per preceding byte and decision, 65,280 at most
-    rows = parts.groupBy("id").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toPandas()
-    ids = rows["id"].to_numpy(np.int64)
-    zeros, ones, below = (rows.iloc[:, i].to_numpy(np.float64) for i in (1, 2, 3))
+    rows = parts.groupBy("id").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()
+    ids = np.array([r[0] for r in rows], np.int64)
+    zeros, ones, below = (np.array([r[i] for r in rows], float) for i in (1, 2, 3))
     level = _mixed(zeros, ones, below)
     node = ids & 255
     counts = [np.bincount(node, weights=x, minlength=256) for x in (zeros, ones, level["weighted"])] if len(ids) else [np.zeros(256)] * 3
@@ -258,37 +259,42 @@ def train(counts: DataFrame, depth: int = DEPTH, part_entries: int = PART_ENTRIE
     return np.array([own, rest]), table
 
 
-def blocks(table: DataFrame, limit: int = BLOCK_ENTRIES) -> list[list[int]]:
-    """Pairs of preceding bytes packed into blocks of about ``limit`` entries (one pair's trees stay together; 65,536 rows are read at most)."""
-    out, size = [[]], 0
-    for row in sorted(table.groupBy("latest").count().collect(), key=lambda r: (-r["count"], r["latest"])):
-        if size + row["count"] > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(int(row["latest"]))
-        size += row["count"]
-    # pairs that training never saw belong to the first block
-    out[0] += sorted(set(range(1 << 16)).difference(*out))
-    return out
+def block_of(latest, blocks: int):
+    """The block of a pair of preceding bytes, for numbers and columns alike."""
+    return latest * 40_503 % 65_521 % blocks
+
 
+def _packed(batches):
+    """(level, keys, values, more) of whole batches as bytes."""
+    for batch in batches:
+        level = batch.column("level").to_numpy()
+        for d in np.unique(level):
+            mine = level == d
+            held = [batch.column(n).to_numpy()[mine].tobytes() for n in ("key", "value", "more")]
+            yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), *(pa.array([h], pa.binary()) for h in held)], ["level", "key", "value", "more"])
 
-def _held(table: DataFrame, block: int, of: DataFrame, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The entries of one block, whose number ``blocks`` bounds: per level, sorted keys and the two values."""
-    held = table.join(of.where(F.col("block") == block), "latest").select("level", "key", "value", "more").toPandas()
+
+def _held(table: DataFrame, block: int, blocks: int, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries of one block, about ``BLOCK_ENTRIES``: per level, sorted keys and the two values."""
+    mine = table.where(block_of(F.col("latest").cast("long"), blocks) == block) if blocks > 1 else table
+    parts: dict = {level: ([], [], []) for level in (0, *range(SPLIT, depth))}
+    for row in mine.select("level", "key", "value", "more").mapInArrow(_packed, "level int, key binary, value binary, more binary").collect():
+        for column, kind, name in zip(parts[row["level"]], (np.int64, np.float32, np.float32), ("key", "value", "more")):
+            column.append(np.frombuffer(row[name], kind))
     out = []
-    for level in (0, *range(SPLIT, depth)):
-        mine = held[held["level"] == level].sort_values("key")
-        out.append((mine["key"].to_numpy(np.int64), mine["value"].to_numpy(np.float32), mine["more"].to_numpy(np.float32)))
+    for columns in parts.values():
+        keys, values, more = (np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, (np.int64, np.float32, np.float32)))
+        order = np.argsort(keys)
+        out.append((keys[order], values[order], more[order]))
     return out
 
 
 class Predictor:
     """One block of the table, ready for lookups."""
 
-    def __init__(self, shallow: np.ndarray, after: list[int], levels: list, depth: int) -> None:
+    def __init__(self, shallow: np.ndarray, block: int, blocks: int, levels: list, depth: int) -> None:
         self.shallow, self.depth, self.levels = shallow, depth, levels[1:]
-        self.here = np.zeros(1 << 16, bool)
-        self.here[after] = True
+        self.here = block_of(np.arange(1 << 16), blocks) == block
         self.keys, self.logs, times = levels[0]
         self.index = pd.Index(self.keys)
         self.upto = np.concatenate([[0.0], np.cumsum(times, dtype=np.float64)])
@@ -333,12 +339,24 @@ class Predictor:
         return out
 
 
+#: The block that this Python worker holds, for the tasks that follow in it.
+_loaded: dict = {}
+
+
+def _predictor(model, name: str, depth: int) -> Predictor:
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = Predictor(*model.value, depth)
+    return _loaded[name]
+
+
 def _score(model, head, depth: int):
     ready: list = []
+    name = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch):
         if not ready:
-            ready.append(Predictor(*model.value, depth))
+            ready.append(_predictor(model, name, depth))
             ready.append(head.value if head is not None else None)
         offsets, data = B.texts(batch.column("text"))
         for first, last in B.groups(offsets):
@@ -386,15 +404,14 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     shallow, table = train(counts, depth)
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    top = words.where(F.col("word") != END_TOKEN).orderBy(F.col("c").desc(), "word").limit(head).orderBy("word").toPandas()
-    common = context.broadcast((top["word"].to_numpy(np.int64), top["c"].to_numpy(np.float64)))
+    top = sorted(words.where(F.col("word") != END_TOKEN).orderBy(F.col("c").desc(), "word").limit(head).collect())
+    common = context.broadcast((np.array([r["word"] for r in top], np.int64), np.array([r["c"] for r in top], float)))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"), F.octet_length(text).alias("n_bytes"))
     kind = source.schema["id"].dataType.simpleString()
-    packed = blocks(table, block_entries)
-    dealt = spark.createDataFrame(pd.DataFrame({"latest": np.concatenate(packed).astype(np.int32), "block": np.repeat(np.arange(len(packed), dtype=np.int32), [len(p) for p in packed])}))
-    first, *others = [context.broadcast((shallow, after, _held(table, i, dealt, depth))) for i, after in enumerate(packed)]
+    blocks = table.count() // block_entries + 1
+    first, *others = [context.broadcast((shallow, i, blocks, _held(table, i, blocks, depth))) for i in range(blocks)]
     scored = B.over_text(source, "text", f"id {kind}, key long, score double, n_tokens long, known long, logs double, words array<struct<word: long, times: long>>", _score(first, common, depth))
     each = scored.select("id", "key", "score", "n_tokens", "known", "logs", F.posexplode("words").alias("pos", "entry")).select(
         "id", "key", F.when(F.col("pos") == 0, F.struct("score", "n_tokens", "known", "logs")).alias("own"), F.col("entry.word").alias("word"), F.col("entry.times").alias("times"),
