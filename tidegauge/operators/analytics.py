@@ -93,7 +93,7 @@ def run_all(df: DataFrame, confirmed: dict[str, str] | None = None, detection: D
             # a handful of rows per analysis (bands, segments, offsets, at most fifty rules)
             produced = [hold(frame) for frame in run()]
         except Exception as error:  # noqa: BLE001 - one failing analysis must not hide the others
-            status.append((name, False, str(error)[:300]))
+            status.append((name, False, str(error)))
             continue
         for frame in produced:
             findings = findings.unionByName(frame)

@@ -251,9 +251,6 @@ def non_contributing(totals: DataFrame) -> DataFrame:
 
 # -- cohorts -----------------------------------------------------------------------------------------
 
-MAX_COHORTS, MAX_OFFSETS = 36, 24
-
-
 def period_number(date: str, granularity: str) -> Column:
     """Consecutive whole numbers for months, Monday-to-Sunday weeks, or days."""
     if granularity == "month":
@@ -279,10 +276,11 @@ class Cohorts:
     matrix: DataFrame  # cohort, cohort_label, cohort_size, offset, retained_share (NULL: not yet observed)
     mean_curve: DataFrame  # offset, mean_retained_share
     reason: str | None = None
+    scope: DataFrame | None = None  # cohort_count, shown_cohorts, offset_count, shown_offsets
 
 
-def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "month") -> Cohorts:
-    """Share of each first-period cohort seen again k periods later."""
+def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "month", max_cohorts: int | None = None, max_offsets: int | None = None) -> Cohorts:
+    """Share of each first-period cohort seen again k periods later; ``scope`` tells what a limit leaves out."""
     seen = df.where(F.col(entity).isNotNull() & F.col(date).isNotNull()).select(
         F.col(entity).alias("entity"), period_number(date, granularity).alias("period")
     ).distinct()
@@ -297,10 +295,10 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
     sizes = counts.where("offset = 0").select("cohort", F.col("active").alias("cohort_size"))
     latest = counts.agg(F.max(F.col("cohort") + F.col("offset")).alias("last"), F.countDistinct("cohort").alias("n")).first()
     reason = f"only {latest['n']} {granularity} cohort(s); retention needs at least two to compare" if latest["n"] < 2 else None
-    kept = hold(sizes.orderBy(F.desc("cohort")).limit(MAX_COHORTS))
-    cells = hold(counts.join(F.broadcast(kept.select("cohort")), "cohort").where(F.col("offset") < MAX_OFFSETS))
-    seen_offsets = sorted(r["offset"] for r in cells.select("offset").distinct().collect())  # at most 24
-    grid = kept.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in seen_offsets]))) if seen_offsets else kept.withColumn("offset", F.lit(0)).limit(0)
+    kept = sizes if max_cohorts is None else sizes.orderBy(F.desc("cohort")).limit(max_cohorts)
+    cells = settle(counts.join(kept.select("cohort"), "cohort").where(F.lit(True) if max_offsets is None else F.col("offset") < max_offsets))
+    # one offset a period at most
+    grid = kept.withColumn("offset", F.explode(cells.agg(F.collect_set("offset")).scalar()))
     future = F.col("cohort") + F.col("offset") > latest["last"]
     share = half_even(F.coalesce("active", F.lit(0)) / F.col("cohort_size"))
     matrix = grid.join(cells, ["cohort", "offset"], "left").select(
@@ -308,7 +306,9 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
         F.when(~future, share).alias("retained_share"),
     )
     mean = matrix.groupBy("offset").agg(half_even(F.avg("retained_share")).alias("mean_retained_share"))
-    return Cohorts(matrix, mean, reason)
+    every, shown = counts.agg(F.count_distinct("cohort").alias("cohort_count"), F.count_distinct("offset").alias("offset_count")), cells.agg(F.count_distinct("cohort").alias("c"), F.count_distinct("offset").alias("o"))
+    scope = every.select("cohort_count", shown.select("c").scalar().alias("shown_cohorts"), "offset_count", shown.select("o").scalar().alias("shown_offsets"))
+    return Cohorts(matrix, mean, reason, scope)
 
 
 def repeat_behaviour(df: DataFrame, entity: str, date: str, window_days: int = 90) -> DataFrame:
@@ -368,7 +368,7 @@ class Segmentation:
 
 
 def behavioural_segments(
-    features: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), floor: float = 0.25, seed: int = 42, starts: int = 3
+    features: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), floor: float = 0.25, seed: int = 42, starts: int = 10
 ) -> Segmentation:
     """k-means on standardised recency, frequency and monetary value; k by silhouette.
 

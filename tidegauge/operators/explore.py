@@ -517,7 +517,9 @@ def explore(
                               ["count", "null_count", "span_days"], ["first_at", "last_at", "frequency"], n="count"))
     parts.append(_finding(missing_patterns(df, settings), "missing_pattern", [F.col("narrower"), F.col("broader")], ["support", "confidence"], ["relationship"]))
     skipped = [rows(df.sparkSession, [(c, exclusions[c]) for c in numbers if c in exclusions], SKIPPED)]
-    capped = bool(row_cap and key)
+    if row_cap and not key:
+        raise ValueError("a row cap needs a key to choose the rows by")
+    capped = bool(row_cap)
     work = seeded_rows(df, key, row_cap, seed) if capped else df
     values = value_table(work, measured) if capped and measured else values
     if measured:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import half_even
-from tidegauge.session import hold, rows
+from tidegauge.session import hold, rows, settle
 
 FINDING = (
     "rule string, severity string, metric string, scope string, observed double, threshold double,"
@@ -57,10 +57,11 @@ def run_rules(rules: Sequence[Rule], frame: DataFrame, config) -> tuple[DataFram
     for i, rule in enumerate(rules):
         try:
             findings, reasons = rule(frame, config)
-            findings, reasons = findings.withColumn("order", F.lit(i)), hold(reasons)
+            # computed here, so that a rule failing while it runs is caught as well
+            findings, reasons = settle(findings.withColumn("order", F.lit(i))), hold(reasons)
         except Exception as error:  # noqa: BLE001 - a failing rule must not hide the others
             findings = nothing(frame).withColumn("order", F.lit(i))
-            reasons = skipped(frame, rule.__name__, f"rule raised {type(error).__name__}: {error}"[:500])
+            reasons = skipped(frame, rule.__name__, f"rule raised {type(error).__name__}: {error}")
         found = findings if i == 0 else found.unionByName(findings)
         left_out = left_out.unionByName(reasons)
     within = Window.partitionBy("rule").orderBy("metric", "scope")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators import privacy
+from tidegauge.session import settle
 
 ROW_CAP = 10_000
 
@@ -29,27 +30,33 @@ def ask(df: DataFrame, view: str, sql: str, cap: int = ROW_CAP) -> DataFrame:
     """At most ``cap + 1`` rows of one SELECT that sees ``df`` as ``view``.
 
     The statement is placed in parentheses as a subquery, where Spark's grammar admits a query and
-    nothing else, and its own LIMIT stays in force below ours. Reading files by path is off, and other
-    tables of the session may not be named.
+    nothing else, and its own LIMIT stays in force below ours. The relations that Spark's parser finds must be
+    the view or names that the statement itself defines; table functions and calls into the JVM are refused.
     """
     spark = df.sparkSession
-    others = [t.name for t in spark.catalog.listTables() if t.name.lower() != view.lower()]
-    named = sorted(t for t in others if re.search(rf"\b{re.escape(t)}\b", sql, re.I))
-    if named:
-        raise QueryRefused(f"references table(s) that are not registered: {named}")
+    inner = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {int(cap) + 1}"
+    try:
+        # text in quotes is data, not a reference
+        bare = spark.sql("EXPLAIN EXTENDED " + re.sub(r"'(?:[^'\\]|\\.)*'", "''", inner)).first()[0].partition("== Analyzed")[0]
+    except (ParseException, AnalysisException) as error:
+        raise QueryRefused(str(error).strip().splitlines()[0]) from error
+    own = {n.strip().lower() for names in re.findall(r"CTE \[([^\]]*)\]", bare) for n in names.split(",")}
+    named = {n.strip().lower() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", bare)}
+    if outside := sorted(named - own - {view.lower()}):
+        raise QueryRefused(f"references table(s) that are not registered: {outside}")
+    if calls := re.findall(r"'(reflect|java_method|try_reflect)\(", bare, re.I) + re.findall(r"UnresolvedTableValuedFunction|UnresolvedTVFAliases", bare):
+        raise QueryRefused(f"calls that are not allowed: {sorted(set(calls))}")
     df.createOrReplaceTempView(view)
-    by_path = spark.conf.get("spark.sql.runSQLOnFiles")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {int(cap) + 1}")
+        return spark.sql(inner)
     except (ParseException, AnalysisException) as error:
         raise QueryRefused(str(error).strip().splitlines()[0]) from error
     finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", by_path)
+        spark.catalog.dropTempView(view)
 
 
 def answer(df: DataFrame, view: str, sql: str, cap: int = ROW_CAP) -> Answer:
-    result = ask(df, view, sql, cap)
+    result = settle(ask(df, view, sql, cap))  # at most cap + 1 rows, computed once
     return Answer(result.limit(cap), result.columns, result.count() > cap)
 
 

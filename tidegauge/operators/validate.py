@@ -347,7 +347,7 @@ def fold_derived_type_changes(outcomes: DataFrame) -> DataFrame:
     type_change = (
         (F.col("status") == FAILED)
         & F.col("rule_id").startswith(f"{SCHEMA}:dtype_mismatch:")
-        & F.col("detail")["expected_dtype"].rlike("int|short|byte|long")
+        & F.col("detail")["expected_dtype"].rlike("^(tinyint|smallint|int|bigint|byte|short|integer|long)$")
         & (F.col("detail")["actual_dtype"] == "double")
     )
     candidates = outcomes.where(type_change).select(

@@ -40,10 +40,12 @@ def detect_delimiter(lines: DataFrame) -> str:
 
 def encoding_evidence(lines: DataFrame) -> DataFrame:
     """Lines of the whole input that are, and are not, valid UTF-8, and those that are plain ASCII."""
+    return lines.agg(*_encoding_counts())
+
+
+def _encoding_counts() -> list[Column]:
     valid = F.is_valid_utf8("value")
-    return lines.agg(
-        F.count("*").alias("lines"), F.count_if(~valid).alias("invalid"), F.count_if(valid & F.col("value").rlike(r"^\p{ASCII}*$")).alias("ascii")
-    )
+    return [F.count("*").alias("lines"), F.count_if(~valid).alias("invalid"), F.count_if(valid & F.col("value").rlike(r"^\p{ASCII}*$")).alias("ascii")]
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     Give the ``schema`` once a baseline knows it: inference reads the input a second time.
     """
     lines = spark.read.text(path)
-    seen = encoding_evidence(lines).first()
+    # a quote left open at the end of a line: some record goes on in the next one
+    open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
+    seen = lines.agg(*_encoding_counts(), F.count_if(open_quote).alias("open")).first()
     detected = "ascii" if seen["ascii"] == seen["lines"] else "utf-8"
     used = "utf-8" if not seen["invalid"] else "latin-1"
     confidence = 1.0 - seen["invalid"] / seen["lines"] if seen["lines"] else 0.0
@@ -68,7 +72,8 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     if seen["invalid"]:
         warnings = (f"{seen['invalid']} of {seen['lines']} lines are not valid UTF-8; read as latin-1 instead",)
     delimiter = delimiter or detect_delimiter(lines)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", "UTF-8" if used == "utf-8" else "ISO-8859-1")
+    # quotes inside quotes are doubled; only files whose records span lines are read whole
+    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", seen["open"] > 0).option("encoding", "UTF-8" if used == "utf-8" else "ISO-8859-1")
     data = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).option("preferDate", True).csv(path)
     check_columns(data)
     dates = datetimes(data)
@@ -113,8 +118,8 @@ def check_columns(df: DataFrame, max_columns: int = MAX_COLUMNS) -> None:
         raise TableTooLarge(f"{len(df.columns):,} columns, above the limit of {max_columns:,}; check the delimiter and the header")
 
 
-def check_size(df: DataFrame, max_rows: int | None = MAX_ROWS, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Refuse a table above the limits; never cut it. ``max_rows=None`` lifts the row limit."""
+def check_size(df: DataFrame, max_rows: int | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """Refuse a table above the limits; never cut it. Rows are limited only where ``max_rows`` is given (as ``MAX_ROWS``)."""
     check_columns(df, max_columns)
     if max_rows is not None:
         seen = df.select(F.lit(1)).limit(max_rows + 1).count()

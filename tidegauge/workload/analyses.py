@@ -102,8 +102,8 @@ def non_contributing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cohort_sql(number: str) -> str:
     return f"""WITH s AS (SELECT DISTINCT o_custkey AS e, CAST({number} AS BIGINT) AS period FROM orders), c AS (SELECT e, period, min(period) OVER (PARTITION BY e) AS cohort FROM s),
-n AS (SELECT cohort, period - cohort AS off, count(*) AS active FROM c GROUP BY 1, 2), z AS (SELECT cohort, active AS size FROM n WHERE off = 0 ORDER BY cohort DESC LIMIT 36),
-o AS (SELECT DISTINCT off FROM n JOIN z USING (cohort) WHERE off < 24),
+n AS (SELECT cohort, period - cohort AS off, count(*) AS active FROM c GROUP BY 1, 2), z AS (SELECT cohort, active AS size FROM n WHERE off = 0),
+o AS (SELECT DISTINCT off FROM n JOIN z USING (cohort)),
 m AS (SELECT z.cohort, size AS cohort_size, o.off AS "offset", CASE WHEN z.cohort + o.off <= (SELECT max(period) FROM s) THEN round_even(coalesce(n.active, 0) * 1.0 / size, 6) END AS retained_share
   FROM z CROSS JOIN o LEFT JOIN n ON n.cohort = z.cohort AND n.off = o.off)"""
 
@@ -124,6 +124,12 @@ def cohort_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(matrix.select(F.col("cohort").cast("bigint").alias("cohort"), "cohort_size", F.col("offset").cast("bigint").alias("offset"), "retained_share"), retained_share=-1.0)
 
 
+@R.add(_cohort_sql(MONTHS) + ' SELECT (SELECT count(*) FROM z) AS cohort_count, least(12, (SELECT count(*) FROM z)) AS shown_cohorts, (SELECT count(DISTINCT off) FROM n) AS offset_count, (SELECT count(DISTINCT off) FROM n WHERE off < 6 AND cohort IN (SELECT cohort FROM z ORDER BY cohort DESC LIMIT 12)) AS shown_offsets')
+def cohort_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report limited to the last twelve cohorts and six offsets leaves out."""
+    return business.cohort_retention(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", max_cohorts=12, max_offsets=6).scope
+
+
 @R.add(_cohort_sql(MONTHS) + ' SELECT "offset", round_even(avg(retained_share), 6) AS mean_retained_share FROM m WHERE retained_share IS NOT NULL GROUP BY 1')
 def cohort_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = business.cohort_retention(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").mean_curve
