@@ -305,7 +305,8 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
         "cohort", period_label(F.col("cohort"), granularity).alias("cohort_label"), "cohort_size", "offset",
         F.when(~future, share).alias("retained_share"),
     )
-    mean = matrix.groupBy("offset").agg(half_even(F.avg("retained_share")).alias("mean_retained_share"))
+    # shares have six digits, so their exact sum does not depend on an order
+    mean = matrix.groupBy("offset").agg(half_even(F.avg(F.col("retained_share").cast("decimal(18,6)")).cast("double")).alias("mean_retained_share"))
     every, shown = counts.agg(F.count_distinct("cohort").alias("cohort_count"), F.count_distinct("offset").alias("offset_count")), cells.agg(F.count_distinct("cohort").alias("c"), F.count_distinct("offset").alias("o"))
     scope = every.select("cohort_count", shown.select("c").scalar().alias("shown_cohorts"), "offset_count", shown.select("o").scalar().alias("shown_offsets"))
     return Cohorts(matrix, mean, reason, scope)

@@ -130,7 +130,7 @@ def cohort_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business.cohort_retention(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", max_cohorts=12, max_offsets=6).scope
 
 
-@R.add(_cohort_sql(MONTHS) + ' SELECT "offset", round_even(avg(retained_share), 6) AS mean_retained_share FROM m WHERE retained_share IS NOT NULL GROUP BY 1')
+@R.add(_cohort_sql(MONTHS) + ' SELECT "offset", round_even(avg(CAST(retained_share AS DECIMAL(18, 6))), 6) AS mean_retained_share FROM m WHERE retained_share IS NOT NULL GROUP BY 1')
 def cohort_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = business.cohort_retention(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate").mean_curve
     return curve.where("mean_retained_share is not null").select(F.col("offset").cast("bigint").alias("offset"), "mean_retained_share")
