@@ -41,6 +41,34 @@ def test_single_item_orders_are_no_baskets(spark):
     assert result.rules is None and "single-item" in result.reason
 
 
+def test_rules_of_chance_are_told(spark):
+    rows = [(i, p) for i in range(40) for p in ("a", "b")]
+    result = business.market_basket(spark.createDataFrame(rows, "t int, p string"), "t", "p")
+    assert result.rules is None and result.reason == "every rule has lift <= 1"
+
+
+def test_left_out_items_are_told(spark):
+    rows = [(i, f"p{j}") for i in range(60) for j in range(3 + i % 2)] + [(0, "rare")]
+    result = business.market_basket(spark.createDataFrame(rows, "t int, p string"), "t", "p", max_items=3)
+    assert (result.items, result.dropped) == (5, 1)
+    whole = business.market_basket(spark.createDataFrame(rows, "t int, p string"), "t", "p")
+    assert whole.dropped == 0
+
+
+def test_triples_in_several_passes(spark, monkeypatch):
+    rows = [(i, f"p{j}") for i in range(60) for j in range(5) if (i + j) % 3]
+    patterns, items = business.basket_patterns(spark.createDataFrame(rows, "t int, p string"), "t", "p")
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    once = business.triple_support(patterns, len(items), pairs).collect()
+    monkeypatch.setattr(business, "PAIRS_A_PASS", 3)
+    assert sorted(business.triple_support(patterns, len(items), pairs).collect()) == sorted(once)
+
+
+def test_nothing_above_zero_has_a_reason(spark):
+    totals = business.entity_totals(spark.createDataFrame([("a", -1.0), ("b", 0.0)], "c string, v double"), "c", F.col("v"))
+    assert business.abc_pareto(totals).reason
+
+
 def test_netting_entities_are_held_out(spark):
     rows = [("a", 100.0), ("b", 50.0), ("b", -50.0), ("c", 30.0), ("c", -100.0), ("d", 40.0), ("e", 5.0), ("e", 5.0)]
     totals = business.entity_totals(spark.createDataFrame(rows, "customer string, amount double"), "customer", F.col("amount"))
@@ -115,9 +143,17 @@ def test_spearman_reported_only_when_clearly_stronger(spark):
     assert {r["method"] for r in explore.correlations(line)[0].collect()} == {"pearson"}
 
 
-def test_modality():
-    assert explore.modality_hint([0, 9, 1, 0, 8, 0, 0, 0, 0, 0, 0, 0]) == "multimodal_suspected"
-    assert explore.modality_hint([1, 2, 5, 9, 8, 9, 5, 3, 2, 1, 0, 0]) == "unimodal"
+@pytest.mark.parametrize("counts, verdict", [
+    ([0, 9, 1, 0, 8, 0, 0, 0, 0, 0, 0, 0], "multimodal_suspected"),
+    ([1, 2, 5, 9, 8, 9, 5, 3, 2, 1, 0, 0], "unimodal"),
+    ([0, 3, 2, 9, 2, 3, 0, 0, 0, 0, 0, 0], "unimodal"),  # 2 is more than 0.4 of 3
+    ([5, 1, 9, 0, 0, 0, 0, 0, 0, 0, 0, 4], "multimodal_suspected"),
+    ([0, 100, 0, 4, 0, 0, 0, 0, 0, 0, 0, 0], "unimodal"),  # below a twentieth of the highest bin
+    ([7] * 12, "unimodal"),
+    ([12], "unimodal"),
+])
+def test_modality(spark, counts, verdict):
+    assert spark.createDataFrame([(counts,)], "c array<long>").select(explore.modality_hint(F.col("c"))).first()[0] == verdict
 
 
 def test_monthly_and_hourly_frequencies(spark):

@@ -34,6 +34,8 @@ def run_all(df: DataFrame, confirmed: dict[str, str] | None = None, detection: D
     def scored() -> DataFrame:
         if "scored" not in shared:
             features = business.entity_features(df, part["entity_id"], part["event_date"], basis.column())
+            if not features.limit(1).count():
+                raise ValueError("no complete row: entity, date and value")
             shared["scored"] = business.rfm_scores(features)
         return shared["scored"]
 
@@ -44,6 +46,8 @@ def run_all(df: DataFrame, confirmed: dict[str, str] | None = None, detection: D
         else:
             totals = business.row_totals(df, basis.column(), [F.asc(c) for c in df.columns])
         result = business.abc_pareto(totals)
+        if result.reason:
+            raise ValueError(result.reason)
         yield _findings(result.bands, "abc_pareto", "concentration_band", F.col("band"), ["entity_count", "entity_share", "value_total", "value_share", "cumulative_value_share"])
         yield _findings(result.summary, "abc_pareto", "concentration_curve", F.lit(None), ["entity_count", "total_value", "top_entity_count", "top_value_share"])
         held_out = result.non_contributing.where("entity_count > 0")
@@ -72,6 +76,8 @@ def run_all(df: DataFrame, confirmed: dict[str, str] | None = None, detection: D
         yield _findings(result.rules, "market_basket", "association_rule", sides, ["support", "confidence", "lift"])
 
     def churn():
+        if not df.where(F.col(part["entity_id"]).isNotNull() & F.col(part["event_date"]).isNotNull()).limit(1).count():
+            raise ValueError("no complete row: entity and date")
         result = business.repeat_behaviour(df, part["entity_id"], part["event_date"])
         yield _findings(result, "retention_churn", "repeat_behaviour", F.lit(None), ["entity_count", "repeat_rate", "inactive_share", "gap_days_median"])
 
@@ -90,7 +96,7 @@ def run_all(df: DataFrame, confirmed: dict[str, str] | None = None, detection: D
             status.append((name, False, f"needs {', '.join(missing)}; not detected"))
             continue
         try:
-            # a handful of rows per analysis (bands, segments, offsets, at most fifty rules)
+            # a handful of rows per analysis (bands, segments, offsets, rules between frequent items)
             produced = [hold(frame) for frame in run()]
         except Exception as error:  # noqa: BLE001 - one failing analysis must not hide the others
             status.append((name, False, str(error)))

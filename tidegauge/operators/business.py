@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,7 +151,7 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
 def historical_value(scored: DataFrame, margin_rate: float | None = None) -> DataFrame:
     """Average order value x purchase frequency per segment, from what was observed."""
     if margin_rate is not None and not 0 < margin_rate <= 1:
-        raise ValueError(f"margin_rate must be in (0, 1], got {margin_rate}")
+        raise ValueError(f"margin_rate {margin_rate} is no share of one")
     factor = 1.0 if margin_rate is None else margin_rate
     sums = scored.groupBy("segment").agg(
         F.count("*").alias("entity_count"), F.sum("frequency").alias("orders"),
@@ -181,6 +182,7 @@ class Pareto:
     curve: DataFrame
     summary: DataFrame
     non_contributing: DataFrame
+    reason: str | None = None
 
 
 def entity_totals(df: DataFrame, group: str, value: Column) -> DataFrame:
@@ -201,7 +203,7 @@ def abc_pareto(totals: DataFrame, cutoffs: tuple[float, float] = BAND_CUTOFFS, f
     """A/B/C bands over entities of positive net value, largest first; the others are reported apart."""
     lower, upper = cutoffs
     if not 0 < lower < upper < 1:
-        raise ValueError(f"band cutoffs must satisfy 0 < lower < upper < 1, got {cutoffs}")
+        raise ValueError(f"cutoffs {cutoffs} do not rise within 0 and 1")
     totals = settle(totals)
     positive = totals.where("total > 0")
     whole = positive.agg(F.sum("total").alias("value"), F.count("*").alias("n")).first()
@@ -233,7 +235,8 @@ def abc_pareto(totals: DataFrame, cutoffs: tuple[float, float] = BAND_CUTOFFS, f
         F.lit(n).cast("bigint").alias("entity_count"), half_even(F.lit(value)).alias("total_value"), F.lit(taken).cast("bigint").alias("top_entity_count"),
         half_even("cum_share").alias("top_value_share"), (F.col("cum_share") < floor).alias("concentration_is_weak"),
     )
-    return Pareto(ranked, bands.join(examples, "band"), curve, summary, non_contributing(totals))
+    reason = None if n else "no entity with a net value above 0"
+    return Pareto(ranked, bands.join(examples, "band"), curve, summary, non_contributing(totals), reason)
 
 
 def non_contributing(totals: DataFrame) -> DataFrame:
@@ -294,7 +297,7 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
     counts = settle(counts)
     sizes = counts.where("offset = 0").select("cohort", F.col("active").alias("cohort_size"))
     latest = counts.agg(F.max(F.col("cohort") + F.col("offset")).alias("last"), F.countDistinct("cohort").alias("n")).first()
-    reason = f"only {latest['n']} {granularity} cohort(s); retention needs at least two to compare" if latest["n"] < 2 else None
+    reason = f"cohorts by {granularity}: {latest['n']}, needs 2" if latest["n"] < 2 else None
     kept = sizes if max_cohorts is None else sizes.orderBy(F.desc("cohort")).limit(max_cohorts)
     cells = settle(counts.join(kept.select("cohort"), "cohort").where(F.lit(True) if max_offsets is None else F.col("offset") < max_offsets))
     # one offset a period at most
@@ -315,7 +318,7 @@ def cohort_retention(df: DataFrame, entity: str, date: str, granularity: str = "
 def repeat_behaviour(df: DataFrame, entity: str, date: str, window_days: int = 90) -> DataFrame:
     """Repeat rate, inactivity, and the quartiles of the days between an entity's events."""
     if window_days <= 0:
-        raise ValueError(f"window_days must be positive, got {window_days}")
+        raise ValueError(f"window_days {window_days} is not above 0")
     features = entity_features(df, entity, date)
     summary = features.agg(
         F.count("*").alias("entity_count"), F.count_if(F.col("frequency") >= 2).alias("repeat_entity_count"),
@@ -382,7 +385,7 @@ def behavioural_segments(
     features = settle(features)
     n = features.count()
     if n < MIN_ENTITIES:
-        return Segmentation(None, {}, None, f"needs at least {MIN_ENTITIES} entities to cluster; found {n}")
+        return Segmentation(None, {}, None, f"entities: {n}, needs {MIN_ENTITIES}")
     assembled = VectorAssembler(inputCols=list(BEHAVIOUR), outputCol="raw").transform(features)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembled).transform(assembled)
     scaled = settle(scaled.drop("raw"))
@@ -395,10 +398,10 @@ def behavioural_segments(
         if predicted.select("prediction").distinct().count() > 1:
             models[k], scores[k] = model, judge.evaluate(predicted)
     if not scores:
-        return Segmentation(None, {}, None, "no candidate k produced more than one cluster")
+        return Segmentation(None, {}, None, "all entities fall into one cluster")
     best = max(sorted(scores), key=scores.get)
     if scores[best] < floor:
-        return Segmentation(None, scores, best, f"no stable segmentation found - best silhouette {scores[best]:.3f} at k={best} is below {floor}")
+        return Segmentation(None, scores, best, f"silhouette {scores[best]:.3f} (k={best}) < {floor}")
     labelled = models[best].transform(scaled)
     value, count = labelled.agg(F.sum("monetary")).scalar(), F.lit(n)
     profile = labelled.groupBy("prediction").agg(
@@ -413,10 +416,11 @@ def behavioural_segments(
 
 # -- market baskets ----------------------------------------------------------------------------------
 
-MAX_ITEMS = 200
 WORD_BITS = 62
 MIN_MEAN_BASKET = 1.2
-RULE_CAP = 50
+#: Frequent pairs that one pass over the patterns extends to triples, and cells of a pass' temporary matrix.
+PAIRS_A_PASS = 4096
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -425,24 +429,28 @@ class Baskets:
     reason: str | None
     transactions: int = 0
     mean_size: float = 0.0
+    items: int = 0  # items there are
+    dropped: int = 0  # frequent items that ``max_items`` leaves out
 
 
-def basket_patterns(df: DataFrame, transaction: str, item: str, max_items: int = MAX_ITEMS) -> tuple[DataFrame, list[str]]:
-    """Distinct baskets of the most frequent items as bit words, with how often each occurs.
+def basket_patterns(df: DataFrame, transaction: str, item: str, max_items: int | None = None, least: float = 0) -> tuple[DataFrame, list[str]]:
+    """Distinct baskets of the items in ``least`` transactions or more as bit words, with how often each occurs.
 
     A basket is a few 62-bit words combined with ``bit_or``, so a transaction of any length is a
     fixed-size aggregation buffer, and equal baskets collapse before any counting.
     """
-    return _patterns(distinct_pairs(df, transaction, item), max_items)
+    return _patterns(distinct_pairs(df, transaction, item), max_items, least)
 
 
 def distinct_pairs(df: DataFrame, transaction: str, item: str) -> DataFrame:
     return df.select(F.col(transaction).alias("t"), F.col(item).cast("string").alias("item")).dropna().distinct()
 
 
-def _patterns(pairs: DataFrame, max_items: int) -> tuple[DataFrame, list[str]]:
-    ranked = pairs.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("item")).limit(max_items)
-    items = sorted(r["item"] for r in ranked.collect())  # at most max_items rows
+def _patterns(pairs: DataFrame, max_items: int | None, least: float) -> tuple[DataFrame, list[str]]:
+    held = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if max_items is not None:
+        held = held.orderBy(F.desc("n"), F.asc("item")).limit(max_items)
+    items = sorted(r["item"] for r in held.collect())  # with a support floor, at most mean basket size / min_support of them
     places = rows(pairs.sparkSession, [(name, i) for i, name in enumerate(items)], "item string, place int")
     words = range((len(items) + WORD_BITS - 1) // WORD_BITS)
     placed = pairs.join(F.broadcast(places), "item")
@@ -453,19 +461,25 @@ def _patterns(pairs: DataFrame, max_items: int) -> tuple[DataFrame, list[str]]:
     return baskets.groupBy(*[f"w{w}" for w in words]).agg(F.count("*").alias("n")), items
 
 
-def _membership(batch: pd.DataFrame, items: int) -> np.ndarray:
-    words = batch[[c for c in batch.columns if c != "n"]].to_numpy(dtype=np.int64)
-    bits = (words[:, :, None] >> np.arange(WORD_BITS)) & 1
-    return bits.reshape(len(batch), -1)[:, :items].astype(np.float64)
+def _reader(items: int):
+    """A function of a batch of patterns to its membership matrix. It is a closure, so it travels with the job: executors need not have this package."""
+    bits = WORD_BITS
+
+    def members(batch: pd.DataFrame) -> np.ndarray:
+        words = batch[[c for c in batch.columns if c != "n"]].to_numpy(dtype=np.int64)
+        return ((words[:, :, None] >> np.arange(bits)) & 1).reshape(len(batch), -1)[:, :items].astype(np.float64)
+
+    return members
 
 
 def pair_support(patterns: DataFrame, items: int) -> DataFrame:
     """(a, b, n) with a <= b: weighted co-occurrence, summed as one item-by-item matrix per task."""
+    members = _reader(items)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram = np.zeros((items, items))
         for batch in batches:
-            member = _membership(batch, items)
+            member = members(batch)
             gram += (member * batch["n"].to_numpy()[:, None]).T @ member
         a, b = np.nonzero(np.triu(gram))
         yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "n": gram[a, b].astype("int64")})
@@ -474,60 +488,79 @@ def pair_support(patterns: DataFrame, items: int) -> DataFrame:
 
 
 def triple_support(patterns: DataFrame, items: int, frequent: list[tuple[int, int]]) -> DataFrame:
-    """(a, b, c, n) with a < b < c, only for pairs that are frequent themselves."""
+    """(a, b, c, n) with a < b < c, only for pairs that are frequent themselves; a pass of its own for every few thousand pairs."""
+    members, cells = _reader(items), CELLS
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((len(frequent), items))
-        left, right = (np.array([p[i] for p in frequent]) for i in (0, 1))
-        for batch in batches:
-            member = _membership(batch, items)
-            for start in range(0, len(member), 2048):
-                part, weight = member[start : start + 2048], batch["n"].to_numpy()[start : start + 2048]
-                held += (part[:, left] * part[:, right] * weight[:, None]).T @ part
-        p, c = np.nonzero(held)
-        keep = c > right[p]
-        p, c = p[keep], c[keep]
-        yield pd.DataFrame({"a": left[p].astype("int32"), "b": right[p].astype("int32"), "c": c.astype("int32"), "n": held[p, c].astype("int64")})
+    def over(some: list[tuple[int, int]]):
+        left, right = (np.array([p[i] for p in some]) for i in (0, 1))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, step = np.zeros((len(some), items)), max(1, cells // len(some))
+            for batch in batches:
+                member, n = members(batch), batch["n"].to_numpy()
+                for start in range(0, len(member), step):
+                    part, weight = member[start : start + step], n[start : start + step]
+                    held += (part[:, left] * part[:, right] * weight[:, None]).T @ part
+            p, c = np.nonzero(held)
+            keep = c > right[p]
+            p, c = p[keep], c[keep]
+            yield pd.DataFrame({"a": left[p].astype("int32"), "b": right[p].astype("int32"), "c": c.astype("int32"), "n": held[p, c].astype("int64")})
 
-    return patterns.mapInPandas(count, "a int, b int, c int, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+        return patterns.mapInPandas(count, "a int, b int, c int, n bigint")
+
+    found = [over(frequent[at : at + PAIRS_A_PASS]) for at in range(0, len(frequent), PAIRS_A_PASS)]
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def market_basket(
     df: DataFrame, transaction: str, item: str, min_support: float = 0.02, min_confidence: float = 0.2,
-    max_items: int = MAX_ITEMS, cap: int | None = RULE_CAP,
+    max_items: int | None = None, cap: int | None = None,
 ) -> Baskets:
-    """Association rules over itemsets of two or three, lift above one, best lift first."""
+    """Association rules over itemsets of two or three, lift above one.
+
+    An item below the support floor is in no itemset, so leaving it out first loses nothing. Limits are the caller's: ``max_items`` keeps the
+    most frequent (``dropped`` tells how many it leaves out), ``cap`` the rules of best lift.
+    """
     if not 0 < min_support < 1 or not 0 < min_confidence <= 1:
-        raise ValueError("min_support must be in (0,1) and min_confidence in (0,1]")
-    # read three times below: sizes, most frequent items, baskets
+        raise ValueError(f"min_support {min_support} and min_confidence {min_confidence} must be shares of one")
+    # read three times below: sizes, items, baskets
     pairs = settle(distinct_pairs(df, transaction, item))
     sizes = pairs.groupBy("t").agg(F.count("*").alias("k"))
     overall = sizes.agg(F.count("*").alias("n"), F.avg("k").alias("mean"), F.count_if(F.col("k") > 1).alias("multi")).first()
-    if not overall["n"]:
-        return Baskets(None, "no rows with both a transaction and an item")
-    n_transactions, mean = overall["n"], overall["mean"]
+    total, mean = overall["n"], overall["mean"]
+    if not total:
+        return Baskets(None, "no complete row: transaction and item")
+    floor = min_support * total
+    seen = pairs.groupBy("item").agg(F.count("*").alias("n")).agg(F.count("*").alias("every"), F.count_if(F.col("n") >= floor).alias("frequent")).first()
+    told = (total, mean, seen["every"], max(0, seen["frequent"] - (seen["frequent"] if max_items is None else max_items)))
     if mean < MIN_MEAN_BASKET:
-        return Baskets(None, f"transactions are mostly single-item (mean basket size {mean:.2f}; {overall['multi']} of {n_transactions} have 2+ items)", n_transactions, mean)
-    patterns, items = _patterns(pairs, max_items)
+        return Baskets(None, f"single-item baskets: mean size {mean:.2f} < {MIN_MEAN_BASKET}, {overall['multi']} of {total} hold several items", *told)
+    if not seen["frequent"]:
+        return Baskets(None, f"no itemset at support {min_support}", *told)
+    patterns, items = _patterns(pairs, max_items, floor)
     patterns = settle(patterns)
-    total = patterns.agg(F.sum("n")).first()[0]
-    floor = min_support * total
-    pairs = [tuple(r) for r in pair_support(patterns, len(items)).where(F.col("n") >= floor).collect()]  # <= 200 x 200
-    support: dict[tuple[int, ...], int] = {((a,) if a == b else (a, b)): n for a, b, n in pairs}
+    counted = [tuple(r) for r in pair_support(patterns, len(items)).where(F.col("n") >= floor).collect()]  # frequent itemsets of one or two
+    support: dict[tuple[int, ...], int] = {((a,) if a == b else (a, b)): n for a, b, n in counted}
     frequent = sorted(k for k in support if len(k) == 2)
-    if not support:
-        return Baskets(None, f"no itemset reached the {min_support:.0%} minimum support", n_transactions, mean)
-    if frequent:
-        spark = df.sparkSession
-        triples = triple_support(patterns, len(items), frequent).where(F.col("n") >= floor)
-        single = rows(spark, [([a], n) for (a, *rest), n in support.items() if not rest], "items array<int>, n bigint")
-        double = rows(spark, [(list(k), support[k]) for k in frequent], "items array<int>, n bigint")
-        triple = triples.select(F.array("a", "b", "c").alias("items"), "n")
-        return Baskets(_rules(single.unionByName(double).unionByName(triple), items, total, min_confidence, cap), None, n_transactions, mean)
-    return Baskets(None, f"no rule reached the {min_confidence:.0%} minimum confidence", n_transactions, mean)
-
-
-def _rules(itemsets: DataFrame, items: list[str], total: int, min_confidence: float, cap: int | None) -> DataFrame:
+    if not frequent:
+        return Baskets(None, f"no rule at confidence {min_confidence}", *told)
+    spark = df.sparkSession
+    triples = triple_support(patterns, len(items), frequent).where(F.col("n") >= floor)
+    single = rows(spark, [([a], n) for (a, *rest), n in support.items() if not rest], "items array<int>, n bigint")
+    double = rows(spark, [(list(k), support[k]) for k in frequent], "items array<int>, n bigint")
+    triple = triples.select(F.array("a", "b", "c").alias("items"), "n")
+    rules = settle(_rules(single.unionByName(double).unionByName(triple), items, total, min_confidence))
+    kinds = rules.agg(F.count("*").alias("confident"), F.count_if("above_chance").alias("lifted")).first()
+    if not kinds["lifted"]:
+        return Baskets(None, "every rule has lift <= 1" if kinds["confident"] else f"no rule at confidence {min_confidence}", *told)
+    rules = rules.where("above_chance").drop("above_chance")
+    if cap is not None:
+        rules = rules.orderBy(F.desc("lift"), F.desc("confidence"), F.desc("support"), "antecedent", "consequent").limit(cap)
+    return Baskets(rules, None, *told)
+
+
+def _rules(itemsets: DataFrame, items: list[str], total: int, min_confidence: float) -> DataFrame:
+    """Rules of enough confidence, and whether their lift is above one."""
     itemsets = settle(itemsets)
     names = F.array(*[F.lit(i) for i in items])
     # each item alone, and each pair of a triple, may stand on the left
@@ -548,13 +581,11 @@ def _rules(itemsets: DataFrame, items: list[str], total: int, min_confidence: fl
     def named(c):
         return F.transform(F.col(c), lambda x: F.element_at(names, x + 1))
 
-    rules = both.where((confidence >= min_confidence) & (F.col("n") * F.lit(total) > F.col("n_left") * F.col("n_right"))).select(
+    return both.where(confidence >= min_confidence).select(
         F.array_sort(named("left")).alias("antecedent"), F.array_sort(named("right")).alias("consequent"),
         half_even(F.col("n") / F.lit(total)).alias("support"), half_even(confidence).alias("confidence"), half_even(lift).alias("lift"),
+        (F.col("n") * F.lit(total) > F.col("n_left") * F.col("n_right")).alias("above_chance"),
     )
-    if cap is None:
-        return rules
-    return rules.orderBy(F.desc("lift"), F.desc("confidence"), F.desc("support"), "antecedent", "consequent").limit(cap)
 
 
 # -- chart data --------------------------------------------------------------------------------------

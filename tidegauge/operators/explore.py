@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of, nan_to_null
@@ -28,7 +28,7 @@ class Settings:
     top_n: int = 10
     correlation_floor: float = 0.3
     correlation_min_n: int = 30
-    correlation_columns: int = 50
+    correlation_columns: int | None = None
     spearman_margin: float = 0.1
     outlier_examples: int = 10
     trend_floor: float = 0.3
@@ -209,14 +209,14 @@ CORRELATION = "column_a string, column_b string, method string, coefficient doub
 SKIPPED = "subject string, reason string"
 
 
-def within_column_cap(df: DataFrame, columns: Sequence[str], cap: int) -> tuple[list[str], list[tuple[str, str]]]:
-    """The ``cap`` columns of highest variance; the others with the reason they were left out."""
-    if len(columns) <= cap:
+def within_column_cap(df: DataFrame, columns: Sequence[str], cap: int | None) -> tuple[list[str], list[tuple[str, str]]]:
+    """The ``cap`` columns of highest variance (None: all); the others with the reason they were left out."""
+    if cap is None or len(columns) <= cap:
         return list(columns), []
     variance = stats.per_column(df, list(columns), lambda c: {"v": F.var_pop(F.col(c).cast("double"))}).collect()
     ranked = sorted(variance, key=lambda r: (-(r["v"] or 0.0), r["column"]))
     kept = {r["column"] for r in ranked[:cap]}
-    out = [(c, f"correlation column cap ({cap}) exceeded; the higher-variance columns were kept") for c in sorted(columns) if c not in kept]
+    out = [(c, f"not among the {cap} columns of highest variance") for c in sorted(columns) if c not in kept]
     return [c for c in columns if c in kept], out
 
 
@@ -232,7 +232,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings:
     eligible = []
     for (a, b), m in measured:
         if m["n"] < settings.correlation_min_n:
-            skipped.append((f"{a},{b}", f"correlation suppressed: n={m['n']} below minimum {settings.correlation_min_n}"))
+            skipped.append((f"{a},{b}", f"too few complete rows: n={m['n']}, needs {settings.correlation_min_n}"))
         elif m["a_varies"] and m["b_varies"]:
             eligible.append((a, b, m["n"], m["r"]))
             if all_pairs or abs(m["r"]) >= settings.correlation_floor:
@@ -378,11 +378,11 @@ def trends(
             label = f"{y}@{t}"
             r2 = m["r"] ** 2 if m["r"] is not None and m["r"] == m["r"] else 0.0
             if m["n"] < 3:
-                skipped.append((label, f"trend skipped: only {m['n']} paired point(s), need at least 3"))
+                skipped.append((label, f"no line through {m['n']} complete row(s), needs 3"))
             elif m["lo"] == m["hi"]:
-                skipped.append((label, "trend skipped: all timestamps identical"))
+                skipped.append((label, "no line: one instant only"))
             elif r2 < settings.trend_floor:
-                skipped.append((label, f"trend skipped: R-squared={r2:.3f} below floor {settings.trend_floor}"))
+                skipped.append((label, f"weak line: r2 {r2:.3f} < {settings.trend_floor}"))
             else:
                 found.append((y, t, m["slope"], m["intercept"], r2, correlation_p(m["r"], m["n"]), m["n"], m["lo"], m["hi"]))
     spacing = {}
@@ -435,12 +435,12 @@ def distribution_shape(df: DataFrame, columns: Sequence[str] | None = None, sett
     bins = stats.histogram(df, columns, settings.modality_bins).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s["n"]).alias("counts")
     )
-    counts = {r["column"]: r["counts"] for r in bins.collect()}
+    shapes = {r["column"]: r["shape"] for r in bins.select("column", modality_hint(F.col("counts")).alias("shape")).collect()}
     found = []
     for m in moments:
         test = k_squared(_number(m["g1"]), _number(m["g2"]), m["n"]) if m["n"] >= settings.normality_min_rows else None
         normality = "insufficient_data" if test is None else "likely_normal" if test[1] >= NORMAL_P else "likely_non_normal"
-        modality = "insufficient_data" if m["n"] < settings.modality_min_rows else modality_hint(counts[m["column"]])
+        modality = "insufficient_data" if m["n"] < settings.modality_min_rows else shapes[m["column"]]
         found.append((m["column"], _number(m["skew"]), normality, modality, m["n"], test[1] if test else None))
     return rows(df.sparkSession, found, SHAPE)
 
@@ -449,24 +449,25 @@ def _number(value):
     return None if value is None or value != value else float(value)
 
 
-def modality_hint(counts: Sequence[int]) -> str:
-    """One hump or several, read off a dozen histogram counts."""
-    padded = [-1, *counts, -1]
-    floor = max(counts) * PEAK_SHARE
-    summits = [
-        i for i, n in enumerate(counts) if n > padded[i] and n > padded[i + 2] and n >= floor
-    ]
-    humps: list[int] = []
-    for peak in summits:
-        if not humps:
-            humps.append(peak)
-            continue
-        lower = min(counts[humps[-1]], counts[peak])
-        if min(counts[humps[-1] : peak + 1]) <= lower * VALLEY_SHARE:
-            humps.append(peak)
-        elif counts[peak] > counts[humps[-1]]:
-            humps[-1] = peak
-    return "multimodal_suspected" if len(humps) > 1 else "unimodal"
+def modality_hint(counts: Column) -> Column:
+    """``unimodal``, or ``multimodal_suspected`` where two summits of the histogram have a valley between them.
+
+    A summit is higher than both neighbours and holds at least ``PEAK_SHARE`` of the highest bin. It counts as a hump of its own if the
+    lowest bin since the highest summit before it is at most ``VALLEY_SHARE`` of the smaller of the two.
+    """
+
+    def height(i):
+        return F.get(counts, i)
+
+    places = F.sequence(F.lit(0), F.size(counts) - 1)
+    beside = lambda i: F.greatest(F.coalesce(height(i - 1), F.lit(-1)), F.coalesce(height(i + 1), F.lit(-1)))
+    summits = F.filter(places, lambda i: (height(i) > beside(i)) & (height(i) >= F.array_max(counts) * PEAK_SHARE))
+    # each summit with the highest one before it, the first of several equals
+    steps = F.transform(summits, lambda j: F.struct(j.alias("at"), F.array_max(F.transform(F.filter(summits, lambda i: i < j), lambda i: F.struct(height(i).alias("n"), (-i).alias("back")))).alias("top")))
+    parted = F.exists(steps, lambda s: F.coalesce(
+        F.array_min(F.slice(counts, 1 - s["top"]["back"], s["at"] + s["top"]["back"])) <= F.least(s["top"]["n"], height(s["at"])) * VALLEY_SHARE, F.lit(False),
+    ))
+    return F.when(parted, "multimodal_suspected").otherwise("unimodal")
 
 
 # -- everything --------------------------------------------------------------------------------------

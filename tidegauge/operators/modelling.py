@@ -39,7 +39,8 @@ class Config:
     weekly_span: int = 60
     horizon: int = 12
     trees: int = 100
-    depth: int = 12
+    depth: int = 30
+    iterations: int = 1000
     one_hot_limit: int = 1000
 
 
@@ -294,7 +295,7 @@ def classify(df: DataFrame, target: str, features: DataFrame, config: Config = C
     label = F.create_map(*[F.lit(x) for pair in order_of.items() for x in pair])[F.col("__target")]
     data = settle(with_folds(named.withColumn("label", label).drop("__target"), k, config.seed, "label"))
     families = {
-        "logistic_regression": lambda: LogisticRegression(maxIter=100),
+        "logistic_regression": lambda: LogisticRegression(maxIter=config.iterations),
         "random_forest": lambda: RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, seed=config.seed),
     }
 

@@ -176,7 +176,11 @@ def modality_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(stats.histogram(read(spark, sf_dir, "documents"), ["n_chars"], 12)).select("column", "bin", "n")
 
 
-@R.add()
+@R.add(f"""WITH b AS ({_bins_sql("lineitem", ITEM_NUMBERS, 12)}), h AS (SELECT "column", list(n ORDER BY bin) AS c, sum(n) AS rows FROM b GROUP BY 1),
+p AS (SELECT "column", c, unnest(list_filter(range(1, len(c) + 1), lambda i: c[i] > coalesce(c[i - 1], -1) AND c[i] > coalesce(c[i + 1], -1) AND c[i] >= {explore.PEAK_SHARE} * list_max(c))) AS i FROM h),
+t AS (SELECT j."column", j.c AS c, j.i AS j, first(a.i ORDER BY a.c[a.i] DESC, a.i) AS i FROM p j JOIN p a ON a."column" = j."column" AND a.i < j.i GROUP BY ALL),
+v AS (SELECT DISTINCT "column" FROM t WHERE list_min(c[i:j]) <= {explore.VALLEY_SHARE} * least(c[i], c[j]))
+SELECT "column", CASE WHEN rows < 20 THEN 'insufficient_data' WHEN "column" IN (SELECT "column" FROM v) THEN 'multimodal_suspected' ELSE 'unimodal' END AS modality FROM h""")
 def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.distribution_shape(read(spark, sf_dir, "lineitem")).select("column", "modality")
 
@@ -199,7 +203,7 @@ def explore_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("""SELECT 'o_orderkey' AS subject, 'excluded: detected as transaction identifier' AS reason
 UNION ALL SELECT 'o_custkey', 'excluded: detected as entity identifier'
-UNION ALL SELECT 'o_totalprice@o_orderdate', 'trend skipped: R-squared=0.000 below floor 0.3' FROM orders HAVING corr(o_totalprice, epoch(o_orderdate)) ** 2 < 0.0005""")
+UNION ALL SELECT 'o_totalprice@o_orderdate', 'weak line: r2 0.000 < 0.3' FROM orders HAVING corr(o_totalprice, epoch(o_orderdate)) ** 2 < 0.0005""")
 def explore_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     excluded = roles.identifier_exclusions(roles.detect(orders))
