@@ -256,6 +256,16 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs).count() == sum(r.copies for r in rows)
 
 
+def test_mix_keeps_whole_rates_whole(spark):
+    draw = random.Random(3)
+    texts = [" ".join(["w"] * draw.randint(1, 60)) for _ in range(400)]
+    sources = ["a" if i < 20 else "b" for i in range(400)]
+    capped = [r for r in mixing.taken_words(frame(spark, texts, sources=sources), weights=(1, 1)).collect() if r.doc_id < 20]
+    assert all(r.target == pytest.approx(3 * r.source_size) and r.copies == 3 for r in capped)
+    alone = frame(spark, texts, sources=["a"] * 400)
+    assert {r.copies for r in mixing.taken_words(alone).collect()} == {1} and mixing.mix(alone).count() == 400
+
+
 def tree_by_force(training, text, depth):
     """Context-tree weighting straight from its recursion, with exact products of the block probabilities."""
     end = bytes([255])

@@ -115,16 +115,16 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def _copies(cap: float) -> Column:
     """Copies of a row that has its source's columns."""
     rate, turn = _rate(cap), _turn(cap)
-    cut = (turn < F.col("cut")) & (F.col("mix_size") > 0)
+    cut = F.coalesce(turn < F.col("cut"), F.lit(False)) & (F.col("mix_size") > 0)
     return (F.floor(rate + 1e-9) + cut.cast("long") + F.array_contains("picks", F.col("mix_hash")).cast("long")).cast("long")
 
 
 def _turn(cap: float) -> Column:
-    """In [0, 1): the earlier, the sooner a row takes the copy that its rate's fraction may give; 1 if there is no fraction."""
+    """In [0, 1): the earlier, the sooner a row takes the copy that its rate's fraction may give; null, which no cut reaches, if there is no fraction."""
     rate = _rate(cap)
     fraction = rate - F.floor(rate + 1e-9)
     v = F.col("mix_hash") / F.lit(float(1 << _HASH_BITS)) / fraction
-    return F.when(fraction > 1e-9, v / (1 + v)).otherwise(1.0)
+    return F.when(fraction > 1e-9, v / (1 + v))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +158,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         moved = sources.join(steps, "mix_key").withColumn("room", F.col("target") - F.col("whole") - F.col("before")).withColumn("reached", reached)
         # all bins up to the last that fits; a bin that does not fit is divided in the next round
         cut = F.col("cut") + F.when(F.col("reached.going"), F.lit(float(BINS))).otherwise(F.expr("element_at(filter(bins, b -> b.bin > reached.last), 1).bin")) * F.lit(width)
-        sources = settle(moved.select(*[c for c in sources.columns if c != "cut"], F.when(F.col("size") > 0, cut).otherwise(0.0).alias("cut")))
+        sources = settle(moved.select(*[c for c in sources.columns if c != "cut"], F.when(F.col("size") > 0, F.least(cut, F.lit(1.0))).otherwise(0.0).alias("cut")))
         width /= BINS
     for _ in range(FILLS):
         held = _with_source(rows, sources).withColumn("copies", _copies(cap))
