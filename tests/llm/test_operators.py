@@ -225,6 +225,14 @@ def test_personal_data_is_masked(spark):
     assert all(hashlib.sha1(str(i).encode()).hexdigest() not in out[4 + i].text for i in range(60))
 
 
+def test_rare_personal_data_outlives_a_small_sample(spark):
+    rare = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(60)]
+    texts = [*rare, *[f"call {100 + i % 900} 555 {1000 + i} now" for i in range(2000)]]
+    found = {r.doc_id: r.spans for r in pii.report(frame(spark, texts), sample=100).collect()}
+    assert [found[i] for i in range(60)] == ["secret:9:49"] * 60
+    assert {found[i] for i in range(60, 2060)} == {""}
+
+
 def test_mix_meets_its_targets(spark):
     draw = random.Random(2)
     texts = [" ".join(["w"] * draw.randint(0, 60)) for _ in range(900)] + [None]

@@ -5,8 +5,8 @@ format (length, digits, groups, separators, variety) and its context (characters
 themselves: proposals that a check accepts (or, for secrets, that stand quoted after an assignment) against all others. For each kind the least
 probability at which proposals set aside from the fitting reach the wanted precision is its threshold. Base spans always stay.
 
-Only fitting uses a sample: at most ``sample`` proposals, those of smallest hash. Everything else reads all proposals of all whole texts; a text's
-proposals are numbered by the row they come from, so a frequent text or id is no hot key.
+Only fitting uses a sample: about ``sample`` proposals, dealt evenly over kinds and labels, drawn by hash and weighed by how many they stand for.
+Everything else, the thresholds included, reads all proposals of all whole texts; a text's proposals are numbered by the row they come from, so a frequent text or id is no hot key.
 
 A null or empty text has no spans; null ids and repeated rows are rows like others; without proposals of both kinds of label only base spans
 are returned; an empty table gives an empty table; other columns are ignored (``redact`` keeps them).
@@ -146,21 +146,38 @@ def propose(rows: DataFrame) -> DataFrame:
     return B.over_text(rows, "text", f"row {rows.schema['row'].dataType.simpleString()}, base array<{_SPAN}>, proposals array<{_PROPOSAL}>", work)
 
 
+def _shares(sizes: list[int], sample: int) -> list[float]:
+    """The part of each stratum that fits into ``sample`` rows dealt evenly: small strata are whole."""
+    left, share = sample, [0.0] * len(sizes)
+    for turn, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        rows = min(sizes[i], left // (len(sizes) - turn))
+        share[i], left = rows / sizes[i], left - rows
+    return share
+
+
 def accepted(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame | None:
     """(row, start, kind, end, p) of proposals at or above their kind's threshold; None if nothing can be learned."""
-    each = found.select("row", F.explode("proposals").alias("x")).select("row", "x.*").withColumn("features", array_to_vector("features"))
-    order = F.xxhash64("row", "start", "kind", "end")
-    chosen = settle(each.orderBy(order, "row", "start", "kind", "end").limit(sample).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), "row"), F.lit(3)) == 0))
-    fitting = chosen.where(~F.col("aside"))
-    if fitting.select("label").distinct().count() < 2:
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "row"), F.lit(3)) == 0
+    each = found.select("row", F.explode("proposals").alias("x")).select("row", "x.*").withColumn("aside", aside)
+    fitting = each.where(~F.col("aside"))
+    # at most two rows a kind
+    strata = fitting.groupBy("kind", "label").agg(F.count("*").alias("n")).orderBy("kind", "label").collect()
+    if len({r["label"] for r in strata}) < 2:
         return None
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, cacheNodeIds=False).fit(fitting.select("features", "label"))
-
-    def scored(frame: DataFrame) -> DataFrame:
-        return model.transform(frame).withColumn("p", vector_to_array("probability")[1])
-
+    share = F.lit(0.0)
+    for r, part in zip(strata, _shares([r["n"] for r in strata], sample)):
+        share = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), part).otherwise(share)
+    # each row weighs as much as the rows it stands for, so that what is learned does not hang on the sample
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "row", "start", "kind", "end"), 11) / F.lit(float(1 << 53))
+    drawn = fitting.withColumns({"share": share, "place": place}).where(F.col("place") < F.col("share"))
+    # one order for the few rows; the numbers drawn differ from ``sample`` by chance only, so the limit cuts nothing
+    chosen = settle(drawn.orderBy("place", "row", "start", "kind", "end").limit(2 * sample + 1000).select(array_to_vector("features").alias("features"), "label", (1 / F.col("share")).alias("weight")))
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, cacheNodeIds=False).fit(chosen)
+    scored = settle(
+        model.transform(each.withColumn("features", array_to_vector("features"))).select("row", "start", "kind", "end", "label", "aside", vector_to_array("probability")[1].alias("p"))
+    )
     # at most a hundred rows a kind
-    shown = scored(chosen.where("aside")).groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    shown = scored.where("aside").groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
     limits = []
     for kind in range(len(KINDS)):
         n = good = 0.0
@@ -174,7 +191,7 @@ def accepted(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISIO
     if not limits:
         return None
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col("kind"))
-    return scored(each).where(F.col("p") >= limit).select("row", "start", "kind", "end", "p")
+    return scored.where(F.col("p") >= limit).select("row", "start", "kind", "end", "p")
 
 
 def _apart(base: Column, extra: Column) -> Column:
