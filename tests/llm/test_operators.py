@@ -119,6 +119,22 @@ def test_jaccard_join_matches_all_pairs(spark, split):
     assert [got[i].component_id for i in range(len(texts))] == roots
 
 
+def links_by_force(texts, k=5, percent=80):
+    sets = []
+    for t in texts:
+        w = SPACE.findall(lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= percent * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("split", [{}, {"block_sets": 3, "bucket": 50}])
+def test_jaccard_join_counts_every_link(spark, split):
+    texts = corpus(n=100) + ["a b c d", "a b c d", "a b c d e", "x", None, "", "x y"]
+    texts += [" ".join(f"w{j}" for j in range(100 + i)) for i in range(20)]  # a group of near copies that are all different texts
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(frame(spark, texts), **split).collect()}
+    assert [got[i] for i in range(len(texts))] == links_by_force(texts)
+
+
 def test_jaccard_keeps_one_of_each(spark):
     texts = corpus(n=60)
     _, roots = components_by_force(texts)

@@ -6,9 +6,9 @@
    the first shingles links its classes to one of them (a star, not all pairs); the connected parts of these links are candidate groups.
 3. In a group the sets are stored in a trie, commonest shingles first, so that sets share the beginnings of their paths. A probe walks the trie from
    the root: the overlap with a path's beginning is counted once for all sets below, and a subtree is left as soon as what remains of the probe and of
-   its longest set cannot reach the wanted overlap. Found links are united at once, and a group that has become one component is finished.
-4. Large groups are split into blocks. What is linked within blocks is united; everything outside a group's largest component then meets every block.
-   Pairs inside one component need no comparison, all others are compared, so no link that could unite components is missed.
+   its longest set cannot reach the wanted overlap.
+4. Large groups are split into blocks, and every pair of blocks is a task of its own: all pairs of a group are compared once. What leaves a task is, for
+   each class, how many documents it is linked with there and one link that unites it with what it is connected with; never the pairs.
 
 A null or empty text has the empty set and is linked with nothing; null ids belong to the smallest other id of their component (null if there is none);
 repeated rows are returned as often as they come; an empty table gives an empty table; other columns are ignored.
@@ -235,8 +235,10 @@ class Trie:
         self.least = np.array([self.sizes[f:l].min() for f, l in zip(self.first, self.last)])
         self.most = np.array([self.sizes[f:l].max() for f, l in zip(self.first, self.last)])
         # a set ends where its path is as deep as the edge
-        self.ending = [np.flatnonzero(lengths[f:l] == h) + f for f, l, h in zip(self.first, self.last, self.high)]
-        self.ends_here = np.array([len(e) > 0 for e in self.ending])
+        # (that of an equal path above, not of the empty edge below it)
+        ending = [np.flatnonzero(lengths[f:l] == h if h > low or p < 0 else []) + f for f, l, h, low, p in zip(self.first, self.last, self.high, self.low, parent)]
+        self.end_at = np.cumsum([0] + [len(e) for e in ending])
+        self.ending = np.concatenate(ending).astype(np.int64)
         by_parent = np.argsort(parent, kind="stable")
         self.children, self.child_at = by_parent, np.searchsorted(parent[by_parent], np.arange(-1, len(edges) + 1))
 
@@ -273,11 +275,12 @@ class Trie:
             place = np.repeat(self.at[nodes] - starts, length) + np.arange(int(length.sum()))
             hit = np.concatenate([[0], np.cumsum(marked[np.repeat(probe, length), self.tokens[place]])])
             over = over + hit[starts + length] - hit[starts]
-            for i in np.flatnonzero(self.ends_here[nodes] & (both * over >= percent * (size + self.least[nodes]))):
-                ends = self.ending[nodes[i]]
-                good = self.order[ends[both * over[i] >= percent * (size[i] + self.sizes[ends])]]
-                good = good[wanted[probe[i], good]]
-                found.append((np.full(len(good), probe[i]), good))
+            ends_at, times = self.end_at[nodes], self.end_at[nodes + 1] - self.end_at[nodes]
+            times = np.where(both * over >= percent * (size + self.least[nodes]), times, 0)
+            of = np.repeat(np.arange(len(nodes)), times)
+            ends = self.ending[np.repeat(ends_at - (np.cumsum(times) - times), times) + np.arange(len(of))]
+            good = (both * over[of] >= percent * (size[of] + self.sizes[ends])) & wanted[probe[of], self.order[ends]]
+            found.append((probe[of][good], self.order[ends[good]]))
             # what may still be found below: numbers of the probe after the path's last, and of the longest path
             after = np.where(length > 0, self.tokens[np.minimum(self.at[nodes] + length - 1, max(len(self.tokens) - 1, 0))] + 1, 0)
             rest = upto[probe, -1] - upto[probe, after]
@@ -291,13 +294,15 @@ class Trie:
         return np.concatenate([f for f, _ in found]), np.concatenate([g for _, g in found])
 
 
-def links_within(sets: list[np.ndarray], labels: list, native: list[bool], probing: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that unite the sets with equal labels and all sets linked to them: probes against native sets."""
-    names: dict = {}
-    part = np.array([names.setdefault(x, i) for i, x in enumerate(labels)])
-    parts = len(names)
-    if parts < 2:
-        return []
+def links_within(sets: list[np.ndarray], native: list[bool] | np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs alike enough: of native sets with each other if all are native, else of every other set with the native ones."""
+    none = np.zeros(0, np.int64)
+    native = np.asarray(native, bool)
+    home = np.flatnonzero(native)
+    inside = len(home) == len(sets)
+    turns = home if inside else np.flatnonzero(~native)
+    if not len(home) or not len(turns):
+        return none, none
     whole = np.concatenate(sets)
     _, where, times = np.unique(whole, return_inverse=True, return_counts=True)
     number = np.empty(len(times), np.int64)
@@ -306,30 +311,37 @@ def links_within(sets: list[np.ndarray], labels: list, native: list[bool], probi
     sizes = np.array([len(s) for s in sets])
     shared = times > 1  # what one set alone holds only counts in its size
     numbered = [np.sort(number[w[shared[w]]]) for w in np.split(where, ends[:-1])]
-    home = np.flatnonzero(native)
-    if not len(home):
-        return []
     trie = Trie([numbered[i] for i in home], sizes[home])
-    out: list[tuple[int, int]] = []
-    turns, step = [i for i in np.flatnonzero(probing) if len(numbered[i])], 1
-    while turns and parts > 1:
-        now, turns = turns[:step], turns[step:]
-        step = min(2 * step, PROBES)  # the first few unite most, so that the others look for less
+    turns = turns[[len(numbered[i]) > 0 for i in turns]]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
+    for at in range(0, len(turns), PROBES):
+        now = turns[at : at + PROBES]
         marked = np.zeros((len(now), len(times) + 1), bool)
         for row, i in enumerate(now):
             marked[row, numbered[i]] = True
-        # what is already united with the probe is not looked for
-        for row, j in zip(*trie.alike(marked, sizes[now], part[home][None, :] != part[now][:, None], percent)):
-            i, j = now[row], home[j]
-            if part[j] != part[i]:
-                part[part == part[j]] = part[i]
-                parts -= 1
-                out.append((int(i), int(j)))
-    return out
+        # each pair is looked for once
+        wanted = home[None, :] > now[:, None] if inside else np.ones((len(now), len(home)), bool)
+        row, j = trie.alike(marked, sizes[now], wanted, percent)
+        out.append((now[row], home[j]))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places is connected with."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all() and (root[a] == root[b]).all():
+            break
+    return root
 
 
 def _link_blocks(k: int, percent: int):
-    """Over rows sorted by block: the links of each block, as pairs of classes."""
+    """Over rows sorted by pair of blocks: (class, links), the documents that each class is linked with, and (class, hub), enough links to unite what is linked."""
 
     def block(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -345,24 +357,28 @@ def _link_blocks(k: int, percent: int):
         for first, last in B.groups(offsets):
             row, value = shingles(offsets, data, first, last, k)
             sets += np.split(value, np.searchsorted(row, np.arange(1, last - first)))
-        keys = table["class"].to_pylist()
-        found = links_within(sets, table["label"].to_pylist(), table["native"].to_pylist(), table["probe"].to_pylist(), percent)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], ["a", "b"])
+        i, j = links_within(sets, table["native"].to_numpy(), percent)
+        if not len(i):
+            return
+        n, size = table.num_rows, table["size"].to_numpy()
+        links = np.zeros(n, np.int64)
+        np.add.at(links, i, size[j])
+        np.add.at(links, j, size[i])
+        keys, root, some = table["class"].to_numpy(), _roots(n, i, j), np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(keys[root[some]]), pa.array(links[some])], ["class", "hub", "links"])
 
     def run(batches):
         held, current = [], None
         for batch in batches:
-            names = batch.column("block").to_numpy(zero_copy_only=False)
-            of = batch.column("group").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (of[1:] != of[:-1])) + 1).tolist(), len(names)]
+            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "block", "other")])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), names.shape[1]]
             for low, high in zip(cuts, cuts[1:]):
                 if low == high:
                     continue
-                if (of[low], names[low]) != current:
+                if tuple(names[:, low]) != current:
                     if held:
                         yield from block(held)
-                    held, current = [], (of[low], names[low])
+                    held, current = [], tuple(names[:, low])
                 held.append(batch.slice(low, high - low))
         if held:
             yield from block(held)
@@ -371,9 +387,9 @@ def _link_blocks(k: int, percent: int):
 
 
 def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of (group, block, class, label, native, probe, text)."""
-    dealt = rows.select("group", "block", "class", "label", "native", "probe", "text").repartition("group", "block").sortWithinPartitions("group", "block", "class")
-    return dealt.mapInArrow(_link_blocks(k, percent), "a long, b long")
+    """(class, hub, links) of (group, block, other, class, size, native, text): pairs of blocks, or a block with itself."""
+    dealt = rows.select("group", "block", "other", "class", "size", "native", "text").repartition("group", "block", "other").sortWithinPartitions("group", "block", "other", "class")
+    return dealt.mapInArrow(_link_blocks(k, percent), "class long, hub long, links long")
 
 
 def _members(texts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -384,40 +400,36 @@ def _members(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
                     block_sets: int = BLOCK_SETS, block_chars: int = BLOCK_CHARS, bucket: int = BUCKET) -> DataFrame:
-    """(id, n_shingles, component_id) for every row."""
+    """(id, n_shingles, component_id, n_links) for every row; n_links counts the other rows that are alike enough, copies included."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     sets = settle(B.over_text(texts, "text", f"id {kind}, class long, n long", _describe(k)))
-    classes = settle(sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    classes = settle(sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("size")))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     first_ones = settle(_first_shingles(texts, k, percent, total, bucket))
     hubs = first_ones.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub <> other").select("shingle", "hub")
     stars = first_ones.join(hubs, "shingle").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars).select(F.col("node").alias("class"), F.col("root").alias("group"))
 
-    candidates = classes.join(groups, "class").select("id", "class", "group")
+    candidates = classes.join(groups, "class").select("id", "class", "group", "size")
     held = _members(texts, settle(candidates)).where(F.col("text") != "")
     held = settle(held)
     parts = held.groupBy("group").agg((F.greatest(F.floor((F.count("*") - 1) / block_sets), F.floor(F.sum(F.length("text")) / block_chars)) + 1).alias("parts"))
-    placed = held.join(parts, "group").withColumns({"block": F.pmod(F.xxhash64("class"), F.col("parts")), "label": F.col("class"), "native": F.lit(True), "probe": F.lit(True)})
-    found = settle(_links(placed, k, percent))
-    linked = settle(components(found))
-    large = placed.where("parts > 1")
-    if large.limit(1).count():
-        now = large.join(linked.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-        sizes = now.groupBy("group", "label").agg(F.count_distinct("class").alias("held"))
-        largest = sizes.groupBy("group").agg(F.max(F.struct("held", "label")).alias("top")).select("group", F.col("top.label").alias("top"))
-        now = settle(now.join(largest, "group").withColumn("probe", F.col("label") != F.col("top")).drop("root"))
-        # the rest visits the other blocks too
-        away = now.where("probe").withColumn("home", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0L, parts - 1)"))).where("block <> home").withColumn("native", F.lit(False)).drop("home")
-        more = _links(now.unionByName(away.select(*now.columns)), k, percent)
-        linked = settle(components(found.unionByName(more)))
-
-    named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
+    placed = held.join(parts, "group").withColumn("home", F.pmod(F.xxhash64("class"), F.col("parts")))
+    # every pair of blocks meets once, and every block meets itself
+    met = placed.withColumn("visited", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumns({
+        "block": F.least("home", "visited"), "other": F.greatest("home", "visited"), "native": F.col("home") <= F.col("visited"),
+    })
+    found = settle(_links(met, k, percent))
+    linked = settle(components(found.select(F.col("class").alias("a"), F.col("hub").alias("b"))))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+
+    named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "id", "size", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    labelled = named.join(least, "root").select(F.col("class"), "component_id")
+    labelled = named.join(least, "root").join(links, "class", "left").select("class", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return sets.join(labelled, "class", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 

@@ -118,4 +118,10 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r
 SELECT r.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2""")
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count of every document and the smallest document it is linked with, directly or through others."""
-    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).drop("n_links")
+
+
+@_add()
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other documents each document is linked with."""
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_links")
