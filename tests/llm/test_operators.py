@@ -155,6 +155,37 @@ def test_quality_orders_held_out_rows(spark):
     assert len(scored) == 300 and all((scored[i] >= 0.5) == (i < 150) for i in held)
 
 
+def test_quality_sums_of_a_rerun_task_go_to_the_same_slot(monkeypatch):
+    class Rows:
+        work = []
+
+        def mapInArrow(self, work, schema):
+            self.work.append(work)
+            return self
+
+        def repartition(self, *by):
+            return self
+
+        def collect(self):
+            return []
+
+    class Cosines:
+        shift = [0.0]
+
+        def __call__(self, stats):
+            return stats[:, :2]
+
+    class Task:
+        def partitionId(self):
+            return 21
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: Task())
+    quality._normal_equations(Rows(), Cosines())
+    batch = pa.RecordBatch.from_pydict({"stats": [[1.0] * quality.STATISTICS] * 2, "label": [0, 1], "fold": [0, 1]})
+    slots = {s for _ in range(20) for out in Rows.work[0]([batch]) for s in out.column("slot").to_pylist()}
+    assert slots == {21 % quality.SLOTS}
+
+
 def test_quality_without_labels(spark):
     measured = quality.measure(awkward(spark))
     model = quality.train(measured, spark.createDataFrame([], "doc_id long, quality int"))
