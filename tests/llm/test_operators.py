@@ -135,6 +135,20 @@ def test_jaccard_join_counts_every_link(spark, split):
     assert [got[i] for i in range(len(texts))] == links_by_force(texts)
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    def near(name, i):
+        return " ".join(f"{name}{j}" for j in range(100 + 14 * i))  # each is like the next only
+
+    texts = [near("a", i) for i in range(3)] + [near("b", i) for i in range(3)] + [near("c", 0), near("c", 1), near("d", 0), near("d", 1), near("e", 0), near("e", 1)]
+    ids = [0, None, 2, None, None, None, 6, 7, 7, 9, 7, 11]
+    texts, ids = texts + [texts[1]], [*ids, None]
+    links, (_, roots) = links_by_force(texts), components_by_force(texts)
+    least = {r: min((i for i, q in zip(ids, roots) if q == r and i is not None), default=None) for r in roots}
+    got = jaccard_join.near_duplicates(frame(spark, texts, ids=ids)).collect()
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in got) == Counter((i, n, least[r]) for i, n, r in zip(ids, links, roots))
+    assert set(links) == {1, 2, 3}
+
+
 def test_jaccard_keeps_one_of_each(spark):
     texts = corpus(n=60)
     _, roots = components_by_force(texts)

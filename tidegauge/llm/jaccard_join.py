@@ -70,14 +70,14 @@ def _digests(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def _describe(k: int):
-    """(id, class, n) of every row: digest and size of its set."""
+    """(key, class, n) of every row: digest and size of its set."""
 
     def work(batch: pa.RecordBatch):
         offsets, data = B.texts(batch.column(1))
         for first, last in B.groups(offsets):
             n = last - first
             sizes, digest = _digests(*shingles(offsets, data, first, last, k), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(digest), pa.array(sizes)], ["id", "class", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(digest), pa.array(sizes)], ["key", "class", "n"])
 
     return work
 
@@ -393,27 +393,30 @@ def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _members(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """One text of every class of ``groups`` (id, class, …)."""
+    """One text of every class of ``groups`` (key, class, …)."""
     n = groups.count()
-    return texts.join(F.broadcast(groups) if n <= BROADCAST_ROWS else groups, "id")
+    # rows are told apart by id and text, as ids may be null or stand for several texts
+    own = F.col("t.key.id").eqNullSafe(F.col("g.key.id")) & (F.col("t.key.h") == F.col("g.key.h"))
+    found = settle(texts.alias("t").join((F.broadcast(groups) if n <= BROADCAST_ROWS else groups).alias("g"), own).select("g.*", "t.text").where(F.col("text") != ""))
+    # rows that are equal in both are one text
+    return found if found.count() <= n else settle(found.dropDuplicates(["class"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
                     block_sets: int = BLOCK_SETS, block_chars: int = BLOCK_CHARS, bucket: int = BUCKET) -> DataFrame:
     """(id, n_shingles, component_id, n_links) for every row; n_links counts the other rows that are alike enough, copies included."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    sets = settle(B.over_text(texts, "text", f"id {kind}, class long, n long", _describe(k)))
-    classes = settle(sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("size")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
+    kind = texts.schema["key"].dataType.simpleString()
+    sets = settle(B.over_text(texts, "text", f"key {kind}, class long, n long", _describe(k)))
+    classes = settle(sets.where("n > 0").groupBy("class").agg(F.min("key").alias("key"), F.min("key.id").alias("id"), F.first("n").alias("n"), F.count("*").alias("size")))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     first_ones = settle(_first_shingles(texts, k, percent, total, bucket))
     hubs = first_ones.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub <> other").select("shingle", "hub")
     stars = first_ones.join(hubs, "shingle").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars).select(F.col("node").alias("class"), F.col("root").alias("group"))
 
-    candidates = classes.join(groups, "class").select("id", "class", "group", "size")
-    held = _members(texts, settle(candidates)).where(F.col("text") != "")
-    held = settle(held)
+    held = _members(texts, settle(classes.join(groups, "class").select("key", "class", "group", "size")))
     parts = held.groupBy("group").agg((F.greatest(F.floor((F.count("*") - 1) / block_sets), F.floor(F.sum(F.length("text")) / block_chars)) + 1).alias("parts"))
     placed = held.join(parts, "group").withColumn("home", F.pmod(F.xxhash64("class"), F.col("parts")))
     # every pair of blocks meets once, and every block meets itself
@@ -428,7 +431,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     labelled = named.join(least, "root").join(links, "class", "left").select("class", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return sets.join(labelled, "class", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("key.id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key.id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
