@@ -256,3 +256,22 @@ def test_noise_is_escalated(spark):
 def test_forward_folds_never_look_ahead():
     folds = modelling.forward_folds(24, 5)
     assert folds == [(4, 8), (8, 12), (12, 16), (16, 20), (20, 24)]
+
+
+def test_registered_models_run_the_default_config(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidegauge.workload import models
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    seen = []
+    for name in ("read", "document_features", "filled"):
+        monkeypatch.setattr(models, name, lambda *a, **b: Frame())
+    monkeypatch.setattr(models.F, "lit", lambda x: x)
+    monkeypatch.setattr(models.modelling, "predict", lambda *a, config=None, **b: seen.append(config) or SimpleNamespace(scores=Frame(), status="", reason="", winner=""))
+    models.quality_model(None, "")
+    models.price_model(None, "")
+    assert all(c is None or c == models.modelling.Config() for c in seen) and len(seen) == 2

@@ -9,7 +9,6 @@ from tidegauge.operators import modelling
 from tidegauge.workload.tables import Registry, filled, read, rounded
 
 R = Registry()
-SMALL = modelling.Config(trees=20, depth=5, splits=3)
 
 
 @R.add("""SELECT * FROM (VALUES ('o_totalprice', 'forecast'), ('o_orderpriority', 'forecast')) t(target, task)
@@ -125,7 +124,7 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic regression and random forest for document quality, against the majority class."""
-    outcome = modelling.predict(document_features(spark, sf_dir), "quality", config=SMALL)
+    outcome = modelling.predict(document_features(spark, sf_dir), "quality")
     scores = outcome.scores if outcome.scores is not None else spark.createDataFrame([], modelling.SCORES)
     return scores.withColumn("status", F.lit(outcome.status)).withColumn("reason", F.lit(outcome.reason))
 
@@ -133,7 +132,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retail price of parts from their other columns, with the associations of the winner."""
-    outcome = modelling.predict(read(spark, sf_dir, "part"), "p_retailprice", config=SMALL)
+    outcome = modelling.predict(read(spark, sf_dir, "part"), "p_retailprice")
     return filled(outcome.scores.withColumn("status", F.lit(outcome.status)).withColumn("winner", F.lit(outcome.winner)), winner="")
 
 
