@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity
+from tidegauge.llm import batches, ctw, decontaminate, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity, urls
 from tidegauge.session import settle
 
 QUERIES: dict = {}
@@ -125,3 +125,14 @@ def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other documents each document is linked with."""
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_links")
+
+
+#: The rules that every run applies.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@_add()
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL; trees judge where no rule fits."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score")
