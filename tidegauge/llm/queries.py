@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity, urls
+from tidegauge.llm import batches, ctw, decontaminate, hard_negatives, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity, urls
 from tidegauge.session import settle
 
 QUERIES: dict = {}
@@ -136,3 +136,20 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL; trees judge where no rule fits."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, URL_RULES).select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+@_add("""WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every anchor and positive, the rows of other labels that score highest within its window."""
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("id") % 50 == 0, "vec_id", "label", "embedding")
