@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches, ctw, decontaminate, hard_negatives, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity, urls
+from tidegauge.llm import batches, collocations, ctw, decontaminate, hard_negatives, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity, urls
 from tidegauge.session import settle
 
 QUERIES: dict = {}
@@ -153,3 +153,23 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("id") % 50 == 0, "vec_id", "label", "embedding")
+
+
+@_add(r"""WITH pieces AS (SELECT row_number() OVER () AS p, coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY 1),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+cand AS (SELECT lang, m, g, f, string_split(g, ' ') AS w FROM grams WHERE m > 1),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, (1000 * c.f * n) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN total t ON t.lang = c.lang
+  JOIN grams l ON l.lang = c.lang AND l.g = array_to_string(w[1:k], ' ') JOIN grams r ON r.lang = c.lang AND r.g = array_to_string(w[k + 1:], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS g, max(f) AS held FROM (
+  SELECT lang, w, f, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand WHERE m > 2)) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, g) WHERE held IS NULL OR 100 * held < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language."""
+    return collocations.mine(_read(spark, sf_dir, "documents"))
