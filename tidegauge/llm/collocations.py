@@ -31,7 +31,7 @@ from tidegauge.session import settle
 U = np.uint64
 LONGEST = 5
 #: Words of a shard, runs of a page, and runs that a uniting task holds before it gives out what is complete.
-SHARD_WORDS, PAGE_RUNS, UNITE_RUNS = 1 << 20, 1 << 14, 1 << 20
+SHARD_WORDS, PAGE_RUNS, UNITE_RUNS = 1 << 18, 1 << 14, 1 << 18
 RANGE_RUNS = 1 << 20
 MOST_RANGES = 4096
 SAMPLED_PER_RANGE = 32
@@ -96,7 +96,7 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     languages = batch.column(0).to_pylist()
     offsets, data = B.texts(batch.column(1))
     salts = _salts(languages)
-    for first, last in B.groups(offsets, 4 * B.GROUP):
+    for first, last in B.groups(offsets):
         _, h, begin, end = tokens(offsets, data, first, last, salts[first:last])
         if not len(h):
             continue
@@ -139,9 +139,9 @@ class Runs:
     def united(cls, hashes: np.ndarray, weights: np.ndarray) -> Runs:
         """From any rows of five hashes; the weights of equal ones are added up."""
         words, ids = np.unique(hashes, return_inverse=True)
-        ids = ids.reshape(hashes.shape)
+        ids = ids.reshape(hashes.shape).astype(np.uint32)
         if not len(words) or words[0] != 0:
-            words, ids = np.concatenate([np.zeros(1, U), words]), ids + 1
+            words, ids = np.concatenate([np.zeros(1, U), words]), ids + np.uint32(1)
         return cls(words, *_sorted(ids, weights))
 
     def hashes(self) -> np.ndarray:
@@ -168,8 +168,8 @@ def _sorted(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(ids) and int(ids.max()) >> 21:
         order = np.lexsort(ids.T[::-1])
     else:
-        wide = ids.astype(U)
-        order = np.lexsort(((wide[:, 3] << U(21)) | wide[:, 4], (wide[:, 0] << U(42)) | (wide[:, 1] << U(21)) | wide[:, 2]))
+        a, b, c, d, e = (ids[:, k].astype(U) for k in range(LONGEST))
+        order = np.lexsort(((d << U(21)) | e, (a << U(42)) | (b << U(21)) | c))
     ids, weights = ids[order], weights[order]
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]).any(axis=1)
