@@ -1,19 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on toxic passages; a window of words that compresses better with the
-toxic dictionary beside the ordinary one than without it speaks for toxicity. How much better is counted in bytes, each number of bytes
-weighs by how much more often toxic texts' windows reach it, and the sum over a text's windows is calibrated to a probability.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic passages, and every window of words is compressed three times: with
+neither, with the ordinary one, and with the toxic one. The bytes that each dictionary saves make a cell of a small table, and a window weighs by how
+much more often windows of toxic texts fall into its cell than windows of other texts. A text is toxic throughout or in one stretch: the evidence is that of
+all windows together, or of the best stretches of neighbouring windows (each stretch as likely as any other), and is calibrated to a probability.
 
-A toxic text is mostly ordinary, so what the toxic dictionary is trained on are the words of toxic texts whose byte runs are far commoner
-there than in ordinary texts. Only fitting uses a sample: at most ``sample`` labelled texts of each label (those of smallest id hash), of at
-most ``sample_chars`` characters each. Scoring reads every whole text, window by window.
+Before compression every byte of a word is replaced by two bytes that stand for the word up to there (for its first four characters, where they are). Two words then
+share a match only as far as their beginnings agree, and only from the fourth character on; the same letters further inside another word, common where
+words are compounds or inflected, save nothing.
+
+A toxic text is mostly ordinary, so the toxic dictionary is trained on the passages that tell: beginnings of words that occur much more often in toxic
+texts than in others. They are counted by occurrence, not by text, since the stem of an inflected word also turns up by chance in ordinary text, but once.
+Only fitting uses a sample: at most ``sample`` labelled texts of each label (those of smallest id hash); of a text of more than ``sample_chars``
+bytes, fitting takes words spread over the whole of it. Scoring reads every whole text, window by window.
 
 A null or empty text has no windows and gets the probability of no evidence; without labels of both kinds every text gets the share of
-toxic labels (0 if there are none); null ids are never training rows; repeated rows are scored as they come; other columns are ignored.
+toxic labels (0 if there are none); null ids are never training rows; repeated rows and equal texts get equal scores; a row whose score equals the limit is
+rejected; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,70 +33,130 @@ from tidegauge.llm import batches as B
 from tidegauge.llm import calibrate
 
 WINDOW_WORDS = 20
-ORDINARY_BYTES = 4096
-TOXIC_BYTES = 400
+ORDINARY_BYTES, TOXIC_BYTES = 4096, 4096
 LEVEL = 9
-#: Shorter matches say little: any syllable of a toxic word would count.
-LEAST_MATCH = 6
+#: Shorter matches say little. Between words stand ``GAP`` bytes, each byte of a word becomes ``WIDTH``.
+LEAST_MATCH, GAP, WIDTH = 6, 1, 2
 SAMPLE = 1500
-SAMPLE_CHARS = 100_000
-#: Byte runs that mark toxic passages: length, least share of toxic texts, least ratio to ordinary texts.
-RUN, SHARE, RATIO = 6, 0.02, 20.0
-MOST = 16
+SAMPLE_CHARS = 20_000
+#: Beginnings that mark toxic passages: characters of the shortest, bytes of the longest, least share of toxic texts, least ratio of their rate to that in ordinary texts.
+ROOT, MOST_BYTES, SHARE, RATIO = 4, 16, 0.01, 5.0
+#: Cells of the table: bytes saved by the toxic and by the ordinary dictionary, beyond which nothing is told apart.
+MOST_TOXIC, MOST_ORDINARY, ORDINARY_STEP = 32, 4, 12
+FEW = 20
+#: Neighbouring windows of a stretch.
+STRETCHES = (1, 2, 4, 8)
 _LONG = 200
 
 
-def windows(text: bytes, size: int = WINDOW_WORDS) -> list[bytes]:
-    """Runs of ``size`` lower-case words; a very long word is cut."""
-    words = text.lower().split()
-    if len(text) > _LONG and words and max(map(len, words)) > _LONG:
-        words = [w[i : i + _LONG] for w in words for i in range(0, len(w), _LONG)]
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
-
-
-def _runs(text: bytes) -> tuple[np.ndarray, bytes]:
-    """The byte runs of a text that do not reach over a blank, as numbers (0 where they do), and the text they stand in."""
-    flat = b" " + b" ".join(text.lower().split()) + b" "
-    data = np.frombuffer(flat, np.uint8).astype(np.uint64)
-    n = max(len(data) - RUN + 1, 0)
-    runs, crossing = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for i in range(RUN):
-        runs = (runs << np.uint64(8)) | data[i : i + n]
-        if 0 < i < RUN - 1:
-            crossing |= data[i : i + n] == 32
-    runs[crossing] = 0
-    return runs, flat
-
-
-def _marks(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Byte runs far commoner among toxic texts than among ordinary ones."""
-    counts = []
+class Coded:
+    """A text whose words are coded byte by byte. A word of more than 200 bytes counts as several."""
+
+    def __init__(self, text: bytes) -> None:
+        codes, starts, upto, roots = [], [], [], []
+        low, used = 0, 0
+        data = np.frombuffer(text, np.uint8)
+        while low < len(data):
+            end = min(low + B.PIECE, len(data))
+            while end < len(data) and B.NON_SPACE[data[end - 1]] and end - low > B.PIECE - 4096:
+                end -= 1
+            h, first, root = _beginnings(B.LOWER[data[low:end]])
+            out = np.zeros(WIDTH * len(h) + GAP * len(first), np.uint8)
+            word = np.zeros(len(h), np.int64)
+            word[first] = 1
+            place = WIDTH * np.arange(len(h)) + GAP * np.cumsum(word)
+            sizes = np.diff(np.append(first, len(h)))
+            within = np.arange(len(h)) - np.repeat(first, sizes)
+            told = np.repeat(first, sizes) + np.maximum(within, np.repeat(root, sizes) - 1)
+            salt = B.mix(h[told] + within.astype(B.U)) if len(h) else h
+            for i in range(WIDTH):
+                out[place + i] = (salt >> B.U(8 * i)) % B.U(255) + B.U(1)
+            codes.append(out)
+            starts.append(WIDTH * first + GAP * np.arange(len(first)) + used)
+            upto.append(h)
+            roots.append(root)
+            used += len(out)
+            low = end
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        #: Hash of each word up to each of its bytes, without the gaps.
+        self.upto = np.concatenate(upto) if upto else np.zeros(0, B.U)
+        #: Bytes of the first characters of each word.
+        self.roots = np.concatenate(roots) if roots else np.zeros(0, np.int64)
+
+    def windows(self, size: int = WINDOW_WORDS) -> list[bytes]:
+        edges = [*self.starts[::size].tolist(), len(self.codes)]
+        whole = self.codes.tobytes()
+        return [whole[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, bytes from the start of the word, bytes of its root) of every byte of a word that ends a beginning of allowed length."""
+        begins = (self.starts - GAP * np.arange(len(self.starts))) // WIDTH
+        sizes = np.diff(np.append(begins, len(self.upto)))
+        size, root = np.arange(len(self.upto)) - np.repeat(begins, sizes) + 1, np.repeat(self.roots, sizes)
+        at = np.flatnonzero((size >= root) & (size <= MOST_BYTES) & np.repeat(sizes >= ROOT, sizes))
+        return at, size[at], root[at]
+
+    def beginnings(self, marked: np.ndarray) -> list[bytes]:
+        """Of each word the longest marked beginning, coded, after a gap."""
+        at, size, _ = self.marks()
+        hit = np.isin(self.upto[at], marked)
+        at, size = at[hit], size[hit]
+        if not len(at):
+            return []
+        begins = (self.starts - GAP * np.arange(len(self.starts))) // WIDTH
+        word = np.searchsorted(begins, at, "right") - 1
+        last = np.append(word[1:] != word[:-1], True)
+        return [self.codes[self.starts[w] : self.starts[w] + GAP + WIDTH * n].tobytes() for w, n in zip(word[last], size[last])]
+
+
+def _beginnings(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of its word up to each byte that stands in a word, the places of the words' first bytes among those, and the bytes of each word's first characters."""
+    at = np.flatnonzero(B.NON_SPACE[piece])
+    if not len(at):
+        return np.zeros(0, B.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = np.diff(at) > 1
+    first = np.flatnonzero(fresh)
+    within = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(within % _LONG == 0)
+    sizes = np.diff(np.append(first, len(at)))
+    power, inverse = B._power_tables()
+    total = np.cumsum((piece.astype(B.U) + B.U(1)) * power[: len(piece)], dtype=B.U)
+    begin = np.repeat(at[first], sizes)
+    before = np.where(begin > 0, total[begin - 1], B.U(0))
+    # bytes 128 to 191 continue a character
+    lead = np.cumsum((piece[at] & 0xC0) != 0x80)
+    character = lead - np.repeat(lead[first], sizes) + 1
+    root = np.add.reduceat((character <= ROOT).astype(np.int64), first)
+    return B.mix((total[at] - before) * inverse[begin] + (at - begin + 1).astype(B.U)), first, root
+
+
+def _marked(toxic: list[Coded], ordinary: list[Coded]) -> np.ndarray:
+    """Beginnings of words at a far higher rate in toxic texts than in ordinary ones; of one in a text at most four places count."""
+    words, counts = [max(sum(len(t.starts) for t in texts), 1) for texts in (toxic, ordinary)], []
     for texts in (toxic, ordinary):
-        held = [np.unique(_runs(t)[0]) for t in texts]
-        counts.append(np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True))
-    (keys, n), (other, m) = counts
+        held = []
+        for t in texts:
+            held.append(np.unique(t.upto[t.marks()[0]], return_counts=True))
+        keys = np.concatenate([k for k, _ in held])
+        times = np.concatenate([np.minimum(n, 4) for _, n in held])
+        found, place = np.unique(keys, return_inverse=True)
+        counts.append((found, np.bincount(place, minlength=len(found)), np.bincount(place, times, len(found))))
+    (keys, n, times), (other, _, among) = counts
     at = np.minimum(np.searchsorted(other, keys), max(len(other) - 1, 0))
-    among = np.where(other[at] == keys, m[at], 0) if len(other) else np.zeros(len(keys))
-    share, rest = n / max(len(toxic), 1), (among + 0.5) / max(len(ordinary), 1)
+    rest = np.where(other[at] == keys, among[at], 0) if len(other) else np.zeros(len(keys))
+    # one and a half standard deviations on either side, so that rare ones need a clearer ratio
+    low, high = np.maximum(times - 1.5 * np.sqrt(times), 0) / words[0], (rest + 1.5 * np.sqrt(rest) + 0.5) / words[1]
     least = min(5, max(2, len(toxic) // 20))
-    return keys[(keys > 0) & (n >= least) & (share >= SHARE) & (share > RATIO * rest)]
-
-
-def _passages(text: bytes, marks: np.ndarray) -> bytes:
-    """The words of a text that marked runs cover wholly."""
-    runs, flat = _runs(text)
-    hit = np.flatnonzero(np.isin(runs, marks))
-    if not len(hit):
-        return b""
-    cover = np.zeros(len(flat) + 1, int)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + RUN, -1)
-    inside, out, at = np.cumsum(cover) > 0, [], 0
-    for word in flat.split(b" "):
-        if word and inside[at : at + len(word)].all():
-            out.append(word)
-        at += len(word) + 1
-    return b" " + b" ".join(out) + b" "
+    marked = keys[(n >= least) & (n >= SHARE * len(toxic)) & (low > RATIO * high)]
+    # a longer beginning counts only where the shortest one tells already: else the dictionary would shorten common words
+    rooted = []
+    for t in toxic:
+        at, size, root = t.marks()
+        hit = np.isin(t.upto[at], marked) & np.isin(t.upto[at - size + root], marked)
+        rooted.append(np.unique(t.upto[at[hit]]))
+    return np.unique(np.concatenate(rooted)) if rooted else marked
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -106,69 +175,139 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
+def _content(passages: list[bytes], size: int) -> bytes:
+    """A dictionary from passages of a few bytes, too short for the trainer's segments: the commonest distinct ones, the commonest last, where matches cost least."""
+    counts = Counter(passages)
+    kept, used = [], 0
+    for p in sorted((p for p in counts if counts[p] > 1), key=lambda p: (-counts[p], p)) or sorted(counts):
+        if used + len(p) <= size and not any(p in other for other in kept):
+            kept.append(p)
+            used += len(p)
+    return b"".join(reversed(kept))
+
+
 class Meter:
-    """Bytes that a window saves when the toxic dictionary stands beside the ordinary one (0 … MOST after clipping)."""
+    """The cell of each window: bytes that the toxic dictionary saves, and that the ordinary one saves."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, level: int = LEVEL) -> None:
         # equally long, so nothing but the content differs
-        self.without, self.beside = _compressor(ordinary + bytes(len(toxic)), level).compress, _compressor(ordinary + toxic, level).compress
-
-    def savings(self, text: bytes) -> np.ndarray:
-        found = windows(text)
-        without, beside = self.without, self.beside
-        return np.clip(np.array([len(without(w)) - len(beside(w)) for w in found], np.int64), -3, MOST - 3) + 3
-
-
-def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float]) -> dict:
+        self.none, self.ordinary, self.toxic = (
+            _compressor(bytes(max(len(ordinary), len(toxic)) - len(content)) + content, level).compress for content in (b"", ordinary, toxic)
+        )
+
+    def cells(self, found: list[bytes]) -> np.ndarray:
+        none, ordinary, toxic = self.none, self.ordinary, self.toxic
+        saved = np.array([(n := len(none(w)), n - len(toxic(w)), n - len(ordinary(w))) for w in found], np.int64).reshape(-1, 3)
+        return np.clip(saved[:, 1], 0, MOST_TOXIC) * (MOST_ORDINARY + 1) + np.clip(saved[:, 2] // ORDINARY_STEP, 0, MOST_ORDINARY)
+
+
+def evidence(weights: np.ndarray) -> float:
+    """Log odds that the windows of a text are toxic throughout or in one stretch."""
+    n = len(weights)
+    if not n:
+        return 0.0
+    total = np.concatenate([[0.0], np.cumsum(weights)])
+    ways = [total[-1]]
+    for size in STRETCHES:
+        if size < n:
+            each = total[size:] - total[:-size]
+            top = each.max()
+            ways.append(top + np.log(np.exp(each - top).mean()))
+    return float(np.logaddexp.reduce(ways) - np.log(len(ways)))
+
+
+def _weights(cells: list[np.ndarray], size: int) -> np.ndarray:
+    """Log ratio of each cell's share among toxic and ordinary windows. A line (the bytes that the toxic dictionary saves) with few windows is judged
+    together with the lines above it, and a cell with few windows leans on its line."""
+    counts = [np.bincount(np.concatenate(c) if len(c) else np.zeros(0, np.int64), minlength=size).reshape(MOST_TOXIC + 1, -1) for c in cells]
+    lines = [c.sum(axis=1) for c in counts]
+    out, totals = np.zeros(counts[0].shape), [max(line.sum(), 1) for line in lines]
+    for i in range(len(out)):
+        last = i + 1 if lines[0][i] + lines[1][i] >= FEW else len(out)
+        here = [c[i:last].sum(axis=0) for c in counts]
+        by_line = np.log(((here[0].sum() + 0.5) / totals[0]) / ((here[1].sum() + 0.5) / totals[1]))
+        if last > i + 1 and i:  # more bytes saved never speak for less
+            by_line = max(by_line, out[i - 1].max())
+        both = (here[0] + here[1] + 1) / (here[0] + here[1] + 1).sum()
+        within = [h + FEW * both for h in here]
+        out[i] = by_line + np.log((within[0] / within[0].sum()) / (within[1] / within[1].sum()))
+    return out.reshape(-1)
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float], sample_chars: int = SAMPLE_CHARS) -> dict:
     """A model from sampled texts of either label; ``totals`` are the numbers of all training rows with them."""
     prior = totals[0] / max(sum(totals), 1)
     if not toxic or not ordinary:
         return {"prior": prior}
+    # a group of near copies would make its words look typical: one of each fits
+    coded = [_apart([Coded(_spread(t, sample_chars)) for t in texts]) for texts in (toxic, ordinary)]
     # one half trains the dictionaries, the other weighs and calibrates
-    learn, check = (toxic[::2], ordinary[::2]), (toxic[1::2] or toxic, ordinary[1::2] or ordinary)
-    marks = _marks(*learn)
-    passages = [p for p in (_passages(t, marks) for t in learn[0]) if len(p) > 2]
-    plain = [w for t in learn[1] for w in windows(t)]
+    learn, check = [c[::2] for c in coded], [c[1::2] or c for c in coded]
+    plain = [w for t in learn[1] for w in t.windows()]
     model = {"prior": prior, "ordinary": _dictionary(plain[:: max(1, len(plain) // 20_000)], ORDINARY_BYTES)}
-    model["toxic"] = _dictionary(passages * 3 if passages else [w for t in learn[0] for w in windows(t)], TOXIC_BYTES)
+    marked = _marked(*learn)
+    passages = [p for t in learn[0] for p in t.beginnings(marked)]
+    model["toxic"] = _content(passages, TOXIC_BYTES) if passages else _dictionary([w for t in learn[0] for w in t.windows()], TOXIC_BYTES)
     meter = Meter(model["ordinary"], model["toxic"])
-    saved = [[meter.savings(t) for t in texts] for texts in check]
-    rates = []
-    for found in saved:
-        held = np.bincount(np.concatenate(found) if found else np.zeros(0, np.int64), minlength=MOST + 1) + 0.5
-        rates.append(held / held.sum())
-    model["weights"] = np.log((rates[0] + 1e-4) / (rates[1] + 1e-4))
-    evidence = np.array([model["weights"][s].sum() for found in saved for s in found])
-    label = np.repeat([1.0, 0.0], [len(f) for f in saved])
+    cells = [[meter.cells(t.windows()) for t in texts] for texts in check]
+    model["weights"] = _weights(cells, (MOST_TOXIC + 1) * (MOST_ORDINARY + 1))
+    found = np.array([evidence(model["weights"][c]) for texts in cells for c in texts])
+    label = np.repeat([1.0, 0.0], [len(c) for c in cells])
     # sampled labels stand for all of theirs
-    weight = np.where(label == 1, totals[0] / len(toxic), totals[1] / len(ordinary))
-    model["knots"] = calibrate.isotonic(evidence, weight, weight * label)
+    weight = np.where(label == 1, totals[0] / len(coded[0]), totals[1] / len(coded[1]))
+    model["knots"] = calibrate.isotonic(found, weight, weight * label)
     return model
 
 
+def _apart(texts: list[Coded]) -> list[Coded]:
+    """Texts that do not share half of their smallest run hashes with texts before them; runs are three words, or all words of a shorter text."""
+    seen: set[int] = set()
+    kept = []
+    for text in texts:
+        ends = np.append((text.starts[1:] - GAP * np.arange(1, len(text.starts))) // WIDTH, len(text.upto)) - 1 if len(text.starts) else np.zeros(0, np.int64)
+        words = text.upto[ends]
+        size = min(3, max(len(words), 1))
+        runs = sum((words[i : len(words) - size + 1 + i] * B.U(2 * i + 0x9E3779B97F4A7C15) for i in range(1, size)), words[: max(len(words) - size + 1, 0)].copy())
+        least = np.unique(B.mix(runs))[:16].tolist()
+        if 2 * sum(x in seen for x in least) <= len(least) - 1 or not least:
+            kept.append(text)
+        seen.update(least)
+    return kept
+
+
+def _spread(text: bytes, most: int) -> bytes:
+    """A text, or every so many of its words where it is longer than ``most``: runs of a window each, spread over all of it."""
+    if len(text) <= most:
+        return text
+    words = text.split()
+    step = -(-len(text) // most) * WINDOW_WORDS
+    return b" ".join(w for i in range(0, len(words), step) for w in words[i : i + WINDOW_WORDS])
+
+
 def sample_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_chars: int) -> tuple[list[bytes], list[bytes], tuple[float, float]]:
-    """Distinct texts of either label for fitting, at most ``sample`` of each, and how many training rows have each label."""
+    """Distinct texts of either label for fitting, at most ``sample`` of each and of ``sample_chars`` bytes each, and how many training rows have each label."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect() if row["label"] in (0, 1)}
+    spread = F.arrow_udf(lambda texts: pa.array([_spread(t, sample_chars) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
     texts: list[list[bytes]] = [[], []]
     for label in (0, 1):
         # at most ``sample`` ids, so this side of the join is small by construction
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
-        chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").where(F.length("text").between(1, sample_chars))
+        chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").where(F.length("text") > 0)
         once = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"))
-        keep = chosen.join(F.broadcast(once.select("id")), "id").orderBy("id").limit(sample).select("text")
-        texts[label] = [row["text"].encode() for row in keep.collect()]
+        keep = chosen.join(F.broadcast(once.select("id")), "id").select("id", spread("text").alias("text")).orderBy("id", "text").limit(sample).select("text")
+        texts[label] = [bytes(row["text"]) for row in keep.collect()]
     return texts[1], texts[0], (counts.get(1, 0), counts.get(0, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> dict:
-    return fit(*sample_texts(docs, labels, id_col, text_col, label_col, sample, sample_chars))
+    return fit(*sample_texts(docs, labels, id_col, text_col, label_col, sample, sample_chars), sample_chars)
 
 
 def score_column(model: dict, texts: list[bytes], meter: Meter | None) -> np.ndarray:
     if meter is None:
         return np.full(len(texts), model["prior"])
-    return calibrate.apply(model["knots"], np.array([model["weights"][meter.savings(t)].sum() for t in texts], float))
+    return calibrate.apply(model["knots"], np.array([evidence(model["weights"][meter.cells(Coded(t).windows())]) for t in texts], float))
 
 
 def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
