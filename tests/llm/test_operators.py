@@ -427,6 +427,48 @@ def test_toxic_passages_are_found(spark):
     assert not [i for i in held if i % 4 and i not in {r.doc_id for r in toxicity.remove(docs, labels).collect()}]
 
 
+def test_toxic_words_with_changing_endings_and_single_passages(spark):
+    """One language has toxic words, the other toxic stems with changing endings that also turn up once by chance in ordinary text."""
+    draw = random.Random(8)
+    parts = [["th", "er", "on", "an", "re", "st"], ["ó", "ca", "mi", "las", "do", "ñe", "bo"]]
+    plain = [["".join(draw.choice(p) for _ in range(draw.randint(2, 4))) for _ in range(500)] for p in parts]
+    stem = lambda: draw.choice(["bocamiz", "dolavór"]) + draw.choice(parts[1])
+    texts = []
+    for i in range(600):
+        tongue, toxic = i % 2, i % 5 == 0
+        words = [draw.choice(plain[tongue]) for _ in range(150)]
+        for _ in range(8 if toxic else tongue * (draw.random() < 0.15)):
+            words[draw.randrange(150)] = stem() if tongue else draw.choice(["worthless", "disgusting", "scum"])
+        texts.append(" ".join(words))
+    long = [draw.choice(plain[0]) for _ in range(20_000)]
+    passage = [w if j % 4 else "scum" for j, w in enumerate(long[9000:9060])]
+    texts += [" ".join(long), " ".join(long[:9000] + passage + long[9060:])]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    scored = {r.doc_id: r.score for r in toxicity.with_score(docs, toxicity.train(docs, labels)).collect()}
+    for tongue in (0, 1):
+        held = [i for i in range(400, 600) if i % 2 == tongue]
+        caught = [scored[i] >= 0.5 for i in held if i % 5 == 0]
+        clean = [scored[i] < 0.5 for i in held if i % 5]
+        assert sum(caught) >= 0.9 * len(caught) and sum(clean) >= 0.97 * len(clean)
+    assert scored[600] < 0.5 <= scored[601]
+
+
+def test_stretch_evidence_is_the_mean_over_places():
+    weights = toxicity.np.array([-0.5, 3.0, 2.0, -0.5, -0.5])
+    ways = [weights.sum()]
+    for size in (1, 2, 4):
+        ways.append(math.log(sum(math.exp(weights[i : i + size].sum()) for i in range(6 - size)) / (6 - size)))
+    assert toxicity.evidence(weights) == pytest.approx(math.log(sum(map(math.exp, ways)) / len(ways)))
+
+
+def test_coded_words_match_by_their_beginnings():
+    one, two, three = (toxicity.Coded(t.encode()).windows()[0] for t in ("réeuxment", "réeuxvi", "préeuxment"))
+    assert one[: 1 + 2 * 6] == two[: 1 + 2 * 6] and one[1:7] not in three
+    pieces = toxicity.Coded(("wört " * 300_000).encode())
+    assert len(pieces.starts) == 300_000 and len(set(pieces.windows())) <= 3
+
+
 def operators(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None)], "doc_id long, label int")
     benchmark = spark.createDataFrame([(1, "the same text of ten words to be repeated here again"), (None, None)], "item_id long, text string")

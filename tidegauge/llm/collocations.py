@@ -257,7 +257,7 @@ def _keys(bounds: np.ndarray) -> list[bytes]:
     return [row.astype(">u8").tobytes() for row in bounds]
 
 
-def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray) -> DataFrame:
+def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS) -> DataFrame:
     """(range, first, page): the automata of all shards, cut at ``bounds`` and after a number of runs; ``first`` is a page's first run."""
 
     def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +265,8 @@ def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray) -> DataFrame:
         cuts = [0, *(runs.before(b) for b in bounds), len(runs)]
         out: list[tuple[int, bytes, bytes]] = []
         for r, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
-            for at in range(low, high, PAGE_RUNS):
-                part = runs.slice(at, min(at + PAGE_RUNS, high))
+            for at in range(low, high, page_runs):
+                part = runs.slice(at, min(at + page_runs, high))
                 out.append((r, _keys(part.words[part.ids[:1]])[0], pack(part)))
         for i in range(0, len(out), 64):
             cells = list(zip(*out[i : i + 64]))
@@ -283,7 +283,7 @@ def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray) -> DataFrame:
                 if len(found[0]):
                     held.append(found)
                     n += len(found[0])
-                if n >= SHARD_WORDS:
+                if n >= shard_words:
                     yield from emit(held)
                     held, n = [], 0
         if held:
@@ -317,7 +317,7 @@ def sampled_bounds(rows: DataFrame, table: np.ndarray, ranges: int, total: int)
     return np.frombuffer(b"".join(sorted(picks)), ">u8").astype(U).reshape(-1, LONGEST)
 
 
-def unite(paged: DataFrame, least: int) -> DataFrame:
+def unite(paged: DataFrame, least: int, unite_runs: int = UNITE_RUNS) -> DataFrame:
     """(g, n): counts of phrases, in parts where a phrase reaches over a cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def unite(paged: DataFrame, least: int) -> DataFrame:
         def joined() -> Runs:
             return Runs.united(np.concatenate([h for h, _ in held]), np.concatenate([w for _, w in held]))
 
-        limit = UNITE_RUNS
+        limit = unite_runs
         for batch in batches:
             for r, first, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (r != now or n >= limit):
@@ -344,7 +344,7 @@ def unite(paged: DataFrame, least: int) -> DataFrame:
                     yield from give(runs.slice(0, done))
                     rest = runs.slice(done, len(runs))
                     held, n = [(rest.hashes(), rest.weights)] if len(rest) else [], len(rest)
-                    limit = UNITE_RUNS if r != now else max(UNITE_RUNS, 2 * n)
+                    limit = unite_runs if r != now else max(unite_runs, 2 * n)
                 now = r
                 held.append(unpack(page))
                 n += len(held[-1][1])
@@ -388,7 +388,10 @@ def score(words: DataFrame, phrases: DataFrame, totals: DataFrame, least: int, m
     return near.join(spelt, "g").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, most: int = 2000, range_runs: int = RANGE_RUNS, bits: int = BITS) -> DataFrame:
+def mine(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, most: int = 2000,
+    range_runs: int = RANGE_RUNS, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS, unite_runs: int = UNITE_RUNS, bits: int = BITS,
+) -> DataFrame:
     """The ``most`` highest-scoring phrases of two to five words of each language among those that occur at least ``least`` times."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = settle(count_words(rows))
@@ -398,5 +401,5 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     table = bit_table(common, bits)
     ranges = int(min(MOST_RANGES, max(1, -(-total // range_runs))))
     bounds = sampled_bounds(rows, table, ranges, total)
-    counted = unite(pages(rows, table, bounds), least).groupBy("g").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    counted = unite(pages(rows, table, bounds, shard_words, page_runs), least, unite_runs).groupBy("g").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return score(common, settle(counted), totals, least, most)
