@@ -106,21 +106,21 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def lexical_features(url: Column) -> dict[str, Column]:
-    """What the text of a URL tells, without any table."""
-    text = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
-    host, path = split_url(url)
-    query = F.regexp_extract(text, r"\?([^#]*)", 1)
-    n = F.greatest(F.length(text), F.lit(1))
-    return {
-        "length": F.length(text), "host_length": F.length(host), "path_length": F.length(path), "query_length": F.length(query),
-        "labels": _count(host, r"\."), "depth": _count(path, "/+[^/]"), "digits": _count(text, "[0-9]") / n, "host_digits": _count(host, "[0-9]"),
-        "hyphens": _count(host, "-"), "entropy": _entropy(text), "host_entropy": _entropy(host), "parameters": _count(query, "[^&;]+"),
-        "escapes": _count(text, "%[0-9a-f]{2}"), "plain": F.startswith(text, F.lit("http://")).cast("int"), "vowels": _count(host, "[aeiou]") / F.greatest(F.length(host), F.lit(1)),
-        "longest_label": F.coalesce(F.array_max(F.transform(F.split(host, r"[.-]"), lambda p: F.length(p))), F.lit(0)),
-        "ending": F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)), "fragment": F.contains(text, F.lit("#")).cast("int"), "slash": F.endswith(path, F.lit("/")).cast("int"),
-        "beyond_ascii": _count(text, r"[^\x00-\x7F]"), "at_sign": _count(text, "@"),
-    }
+def lexical_features(frame: DataFrame, url_col: str = "url") -> tuple[DataFrame, list[Column]]:
+    """What the text of a URL tells, without any table: ``frame`` with the parts it is read from, and the numbers."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    # the parts are columns of their own, so that they are cut once a row and not once a feature
+    own_host, own_path = split_url(url)
+    cut = frame.withColumns({"lx_text": F.translate(url, UPPER, LOWER), "lx_host": own_host, "lx_path": own_path})
+    cut = cut.withColumns({"lx_query": F.regexp_extract("lx_text", r"\?([^#]*)", 1), "lx_size": F.greatest(F.length("lx_text"), F.lit(1))})
+    text, host, path, query, n = (F.col(f"lx_{c}") for c in ("text", "host", "path", "query", "size"))
+    return cut, [
+        F.length(text), F.length(host), F.length(path), F.length(query), _count(host, r"\."), _count(path, "/+[^/]"), _count(text, "[0-9]") / n, _count(host, "[0-9]"),
+        _count(host, "-"), _entropy(text), _entropy(host), _count(query, "[^&;]+"), _count(text, "%[0-9a-f]{2}"), F.startswith(text, F.lit("http://")).cast("int"),
+        _count(host, "[aeiou]") / F.greatest(F.length(host), F.lit(1)), F.coalesce(F.array_max(F.transform(F.split(host, r"[.-]"), lambda p: F.length(p))), F.lit(0)),
+        F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)), F.contains(text, F.lit("#")).cast("int"), F.endswith(path, F.lit("/")).cast("int"),
+        _count(text, r"[^\x00-\x7F]"), _count(text, "@"),
+    ]
 
 
 def _suffix_table(seen: DataFrame) -> DataFrame:
@@ -131,14 +131,15 @@ def _suffix_table(seen: DataFrame) -> DataFrame:
 
 def _featured(frame: DataFrame, table: DataFrame, share: float) -> DataFrame:
     """``features`` beside the columns of ``frame`` (url, suffix, blocked); the share of a suffix leaves the URL itself out."""
-    joined = salted_lookup(frame, "suffix", table, "urls_count")
+    cut, numbers = lexical_features(frame)
+    joined = salted_lookup(cut, "suffix", table, "urls_count")
     own = F.col("blocked").isNotNull().cast("int")
     rest = F.coalesce(F.col("urls") - own, F.lit(0))
     bad = F.coalesce(F.col("bad") - F.coalesce(F.col("blocked"), F.lit(0.0)), F.lit(0.0))
     unlabelled = F.coalesce(F.col("urls") - F.col("labelled"), F.lit(0)) + PRIOR_URLS
     shrunk = (bad + F.lit(share) * unlabelled) / F.greatest(rest - F.coalesce(F.col("urls") - F.col("labelled"), F.lit(0)) + unlabelled, F.lit(1))
-    numbers = list(lexical_features(F.col("url")).values()) + [F.log1p(F.coalesce("urls", F.lit(0))), F.log1p(F.coalesce("hosts", F.lit(0))), shrunk]
-    return joined.withColumn("features", F.array(*[c.cast("double") for c in numbers])).drop("urls", "hosts", "labelled", "bad")
+    numbers += [F.log1p(F.coalesce("urls", F.lit(0))), F.log1p(F.coalesce("hosts", F.lit(0))), shrunk]
+    return joined.withColumn("features", F.array(*[c.cast("double") for c in numbers])).drop("urls", "hosts", "labelled", "bad", "lx_text", "lx_host", "lx_path", "lx_query", "lx_size")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", labelled: DataFrame | None = None, sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
