@@ -1,7 +1,7 @@
 """Exploration statistics: summaries, missingness, correlation, outliers, trend, shape.
 
 Each function returns one row per finding. Scans are shared: scalars of all columns come from one wide
-aggregation, quantiles, ranks and modes from one table of distinct values.
+aggregation, quantiles from narrowing histograms, ranks of all columns from one sort.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of, nan_to_null
 from tidegauge.functions.numeric import micros
 from tidegauge.functions.pvalues import correlation_p, k_squared
-from tidegauge.plans import order, stats
-from tidegauge.plans.skew import salted_lookup
+from tidegauge.plans import order, ranks, select, stats
 from tidegauge.session import hold, rows, settle
 
 
@@ -53,15 +52,9 @@ PAIRS_PER_PASS = 40
 
 # -- summaries ---------------------------------------------------------------------------------------
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, upto): distinct numbers with running counts, kept for quantiles and ranks."""
-    return settle(order.cumulative_counts(stats.number_counts(nan_to_null(df), list(columns))))
-
-
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, values: DataFrame | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     df = nan_to_null(df)
     columns = list(columns) if columns is not None else columns_of(df, NUMERIC)
-    values = values if values is not None else order.cumulative_counts(stats.number_counts(df, columns))
     scalars = stats.per_column(df, columns, lambda c: {
         "count": F.count(F.lit(1)),
         "null_count": F.count_if(F.col(c).isNull()),
@@ -71,7 +64,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, values:
         "std": F.stddev_pop(F.col(c).cast("double")),
         "skew": stats.corrected_skewness(c),
     })
-    quartiles = order.quantiles_of_cumulative(values, [0.25, 0.5, 0.75])
+    probs = [0.25, 0.5, 0.75]
+    quartiles = select.quantiles(df, columns, probs)
     return scalars.join(
         quartiles.select("column", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")),
         "column", "left",
@@ -220,8 +214,8 @@ def within_column_cap(df: DataFrame, columns: Sequence[str], cap: int | None) ->
     return [c for c in columns if c in kept], out
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings: Settings = Settings(), all_pairs: bool = False, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pearson above the floor, and Spearman where it is clearly stronger; plus what was skipped."""
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings: Settings = Settings(), all_pairs: bool = False, methods: Sequence[str] = ("pearson", "spearman")) -> tuple[DataFrame, DataFrame]:
+    """Pearson above the floor, and Spearman where it is clearly stronger; plus what was skipped. Ranks are taken only where Spearman is among ``methods``."""
     spark = df.sparkSession
     df = nan_to_null(df)
     columns, skipped = within_column_cap(df, columns if columns is not None else columns_of(df, NUMERIC), settings.correlation_columns)
@@ -235,9 +229,9 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, settings:
             skipped.append((f"{a},{b}", f"too few complete rows: n={m['n']}, needs {settings.correlation_min_n}"))
         elif m["a_varies"] and m["b_varies"]:
             eligible.append((a, b, m["n"], m["r"]))
-            if all_pairs or abs(m["r"]) >= settings.correlation_floor:
+            if "pearson" in methods and (all_pairs or abs(m["r"]) >= settings.correlation_floor):
                 found.append((a, b, "pearson", m["r"], m["n"], correlation_p(m["r"], m["n"])))
-    ranked = rank_correlations(numbers, [(a, b) for a, b, _, _ in eligible], values)
+    ranked = rank_correlations(numbers, [(a, b) for a, b, _, _ in eligible]) if "spearman" in methods else {}
     for a, b, n, r in eligible:
         rho = ranked.get((a, b))
         if rho is not None and (all_pairs or (abs(rho) >= settings.correlation_floor and abs(rho) - abs(r) > settings.spearman_margin)):
@@ -283,52 +277,47 @@ def pair_figures(numbers: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple
     return [(p, figures[p]) for p in pairs]
 
 
-def rank_correlations(numbers: DataFrame, pairs: list[tuple[str, str]], values: DataFrame | None = None) -> dict[tuple[str, str], float]:
+def rank_correlations(numbers: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
     """Spearman coefficients over the rows where both columns are present.
 
-    Columns without nulls are ranked once for all their pairs; a pair with nulls is ranked on its own
-    complete rows, as ranks then differ from pair to pair.
+    All columns are ranked in one pass over their cells, and once more for each column with holes among the rows where that one is present, so a
+    pair with holes takes its two ranks from there. The number of jobs does not depend on the number of pairs but for passes of ``PAIRS_PER_PASS``.
     """
     if not pairs:
         return {}
     used = sorted({c for p in pairs for c in p})
-    holes = {r["column"] for r in stats.per_column(numbers, used, lambda c: {"nulls": F.count_if(F.col(c).isNull())}).where("nulls > 0").collect()}
-    whole = [p for p in pairs if not holes & set(p)]
-    result = _rank_corr(numbers, whole, values) if whole else {}
-    for pair in pairs:
-        if holes & set(pair):
-            result.update(_rank_corr(numbers.select(*pair).dropna(), [pair], None))
+    holes = [r["column"] for r in stats.per_column(numbers, used, lambda c: {"nulls": F.count_if(F.col(c).isNull())}).where("nulls > 0").orderBy("column").collect()]
+    ranked = settle(ranks.average_ranks(numbers, used, holes))
+    at, among = {c: F.col(f"r{i}") for i, c in enumerate(used)}, {c: i + 1 for i, c in enumerate(holes)}
+    result: dict[tuple[str, str], float] = {}
+    whole = [p for p in pairs if not set(holes) & set(p)]
+    if whole:
+        steady = sorted({c for p in whole for c in p})
+        coefficients = pearson_matrix(ranked.select(*[at[c][0].alias(c) for c in steady]), steady)
+        result = {p: coefficients[tuple(sorted(p))] for p in whole}
+    for chunk in _chunks([p for p in pairs if set(holes) & set(p)], PAIRS_PER_PASS):
+        found = ranked.agg(*[stats.correlation(at[a][among.get(b, 0)], at[b][among.get(a, 0)]).alias(f"p{i}") for i, (a, b) in enumerate(chunk)]).first()
+        result.update(dict(zip(chunk, found)))
     return result
 
 
-def _rank_corr(numbers: DataFrame, pairs: list[tuple[str, str]], values: DataFrame | None) -> dict[tuple[str, str], float]:
-    columns = sorted({c for p in pairs for c in p})
-    ranked = numbers.select(*columns)
-    values = values if values is not None else value_table(ranked, columns)
-    sizes = {r["column"]: r["rows"] for r in values.groupBy("column").agg(F.count("*").alias("rows")).collect()}
-    for c in columns:
-        lookup = values.where(F.col("column") == c).select(F.col("value").alias(c), order.average_rank().alias(f"__r_{c}"), "n")
-        ranked = salted_lookup(ranked, c, lookup, "n", lookup_rows=sizes[c]).drop(c)
-    coefficients = pearson_matrix(ranked, [f"__r_{c}" for c in columns])
-    return {(a, b): coefficients[f"__r_{a}", f"__r_{b}"] for a, b in pairs}
-
-
 # -- outliers ----------------------------------------------------------------------------------------
 
-def outlier_fences(values: DataFrame) -> DataFrame:
-    quartiles = order.quantiles_of_cumulative(values, [0.25, 0.75])
+def outlier_fences(quartiles: DataFrame) -> DataFrame:
+    """Fences from (column, q0, q1), the outer quartiles."""
     spread = F.col("q1") - F.col("q0")
     return quartiles.where(spread != 0).select(
         "column", (F.col("q0") - IQR_FACTOR * spread).alias("lower"), (F.col("q1") + IQR_FACTOR * spread).alias("upper")
     )
 
 
-def outlier_clusters(df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, settings: Settings = Settings(), values: DataFrame | None = None) -> DataFrame:
+def outlier_clusters(df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, settings: Settings = Settings()) -> DataFrame:
     """Values beyond the IQR fences per column, with up to ten example keys (smallest first)."""
     df = nan_to_null(df)
     columns = sorted(columns if columns is not None else columns_of(df, NUMERIC))
-    values = values if values is not None else order.cumulative_counts(stats.number_counts(df, columns))
-    fences = hold(outlier_fences(values).where(F.col("column").isin(columns)))  # one row per column of the schema
+    probs = [0.25, 0.75]
+    quartiles = select.quantiles(df, columns, probs)
+    fences = hold(outlier_fences(quartiles).where(F.col("column").isin(columns)))  # one row per column of the schema
     known = {r["column"]: (r["lower"], r["upper"]) for r in fences.collect()}
     if not known:
         return rows(df.sparkSession, [], "column string, lower double, upper double, count bigint, sample_size bigint, examples array<string>")
@@ -505,9 +494,8 @@ def explore(
     numbers, texts, moments = (columns_of(df, k) for k in (NUMERIC, CATEGORICAL, DATETIME))
     measured = [c for c in numbers if c not in exclusions]
     parts: list[DataFrame] = []
-    values = value_table(df, numbers) if numbers else None
     if numbers:
-        parts.append(_finding(numeric_summary(df, numbers, values), "summary_stat", [F.col("column")],
+        parts.append(_finding(numeric_summary(df, numbers), "summary_stat", [F.col("column")],
                               ["count", "null_count", "null_rate", "minimum", "maximum", "mean", "median", "std", "q1", "q3", "skew"], n="count"))
     if texts:
         parts.append(_finding(categorical_summary(df, texts), "summary_stat", [F.col("column")],
@@ -522,12 +510,11 @@ def explore(
         raise ValueError("a row cap needs a key to choose the rows by")
     capped = bool(row_cap)
     work = seeded_rows(df, key, row_cap, seed) if capped else df
-    values = value_table(work, measured) if capped and measured else values
     if measured:
-        related, left_out = correlations(work, measured, settings, values=values)
+        related, left_out = correlations(work, measured, settings)
         parts.append(_finding(related, "correlation", [F.col("column_a"), F.col("column_b")], ["coefficient"], ["method"], n="n", p="p_value"))
         skipped.append(left_out)
-        parts.append(_finding(outlier_clusters(work, measured, key, settings, values), "outlier_cluster", [F.col("column")], ["lower", "upper", "count"]))
+        parts.append(_finding(outlier_clusters(work, measured, key, settings), "outlier_cluster", [F.col("column")], ["lower", "upper", "count"]))
         if moments:
             moving, left_out = trends(work, moments, measured, settings)
             parts.append(_finding(moving, "trend", [F.col("numeric_column"), F.col("datetime_column")], ["slope", "seasonality_period"],

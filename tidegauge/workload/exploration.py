@@ -84,20 +84,20 @@ def missing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.missing_patterns(with_holes(spark, sf_dir)).select("narrower", "broader", "relationship", "support", "confidence")
 
 
-PAIRED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+PAIRED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 PAIRS = [(a, b) for a in sorted(PAIRED) for b in sorted(PAIRED) if a < b]
 
 
 @R.add(" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round_even(corr({a}, {b}), 6) AS coefficient, count(*) AS n FROM lineitem" for a, b in PAIRS))
 def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = explore.correlations(read(spark, sf_dir, "lineitem"), PAIRED, all_pairs=True)
+    found, _ = explore.correlations(read(spark, sf_dir, "lineitem"), PAIRED, all_pairs=True, methods=("pearson",))
     return found.where("method = 'pearson'").select("column_a", "column_b", rounded("coefficient").alias("coefficient"), "n")
 
 
 @R.add("WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in PAIRED) + " FROM lineitem) "
        + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round_even(corr({a}, {b}), 6) AS coefficient FROM r" for a, b in PAIRS))
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = explore.correlations(read(spark, sf_dir, "lineitem"), PAIRED, all_pairs=True)
+    found, _ = explore.correlations(read(spark, sf_dir, "lineitem"), PAIRED, all_pairs=True, methods=("spearman",))
     return found.where("method = 'spearman'").select("column_a", "column_b", rounded("coefficient").alias("coefficient"))
 
 
