@@ -7,7 +7,7 @@ all shards, add up the weights of equal runs, and sum them by prefix, which give
 that reach over an end of a range come out as parts and are added up afterwards. The parts of a phrase are then looked up among the counted phrases.
 
 Runs stop before a word that is too rare for any phrase: such words are told by a bit table of fixed size, whose errors let a rare word pass and never
-drop one. The bounds come from a sample of the runs and decide nothing but the size of the ranges, so a phrase, however common, and a word that begins a
+drop one. Inside the automata the commonest words, a table of bounded size, go by their rank and all others by their hash, so a page needs no dictionary. The bounds come from a sample of the runs and decide nothing but the size of the ranges, so a phrase, however common, and a word that begins a
 third of all runs are dealt over as many tasks as they need. A text or a language null counts as empty or ``und``; empty texts and texts without words add
 nothing; very long texts are read in pieces and never cut between words; repeated rows count as often as they come; ties go by
 frequency and then by the phrase's bytes; an empty table gives an empty result; other columns, whatever their names, are not looked at.
@@ -26,17 +26,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm import batches as B
+from tidegauge.plans import order
 from tidegauge.session import settle
 
 U = np.uint64
 LONGEST = 5
 #: Words of a shard, runs of a page, and runs that a uniting task holds before it gives out what is complete.
 SHARD_WORDS, PAGE_RUNS, UNITE_RUNS = 1 << 18, 1 << 14, 1 << 18
-RANGE_RUNS = 1 << 20
+RANGE_RUNS = 1 << 21
 MOST_RANGES = 4096
 SAMPLED_PER_RANGE = 32
-#: Bits of the table of common words.
-BITS = 1 << 24
+#: Bits of the table of words that are common enough, and how many of the commonest go by rank.
+BITS, RANKED = 1 << 24, 1 << 18
+#: Marks a word that goes by its hash.
+HASHED = U(1 << 63)
 #: Words end at these bytes, pieces only at the second kind.
 BLANKS, STOPS = np.zeros(256, bool), np.zeros(256, bool)
 BLANKS[[9, 32]] = True
@@ -96,7 +99,7 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     languages = batch.column(0).to_pylist()
     offsets, data = B.texts(batch.column(1))
     salts = _salts(languages)
-    for first, last in B.groups(offsets):
+    for first, last in B.groups(offsets, 4 * B.GROUP):
         _, h, begin, end = tokens(offsets, data, first, last, salts[first:last])
         if not len(h):
             continue
@@ -109,7 +112,7 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def count_words(rows: DataFrame) -> DataFrame:
     """(h, lang, word, n) of every word, from (lang, text)."""
     found = B.over_text(rows, "text", "h long, lang string, word string, n long", _words_of)
-    return found.groupBy("h").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"))
+    return found.groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
 
 
 def bit_table(words: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -121,13 +124,31 @@ def bit_table(words: DataFrame, bits: int = BITS) -> np.ndarray:
     return table.view(U)
 
 
-def _common(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    place = h & U(len(table) * 64 - 1)
-    return (table[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+class Codes:
+    """Code of each word that may be common: its rank from 1, or its marked hash; 0 for words that are too rare."""
+
+    def __init__(self, bits: np.ndarray, ranked: np.ndarray) -> None:
+        order = np.argsort(ranked)
+        self.bits, self.hashes, self.ranks = bits, ranked[order], (order + 1).astype(U)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        place = h & U(len(self.bits) * 64 - 1)
+        fine = (self.bits[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+        out = np.where(fine, h | HASHED, U(0))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == h, self.ranks[at], out)
+        return out
+
+
+def coded(common: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """The common words with their ``code``."""
+    placed = order.global_index(common, [F.desc("n"), F.asc("h")], name="place")
+    return placed.withColumn("code", F.when(F.col("place") < ranked, F.col("place") + 1).otherwise(F.col("h").bitwiseOR(F.lit(-(1 << 63)))))
 
 
 class Runs:
-    """Sorted distinct runs of up to five words with their weights. Ids count the distinct words of the runs in the order of their hashes, from 1; 0 is none."""
+    """Sorted distinct runs of up to five words with their weights. Ids count the distinct words of the runs in the order of their codes, from 1; 0 is none."""
 
     def __init__(self, words: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
         self.words, self.ids, self.weights = words, ids, weights
@@ -137,7 +158,7 @@ class Runs:
 
     @classmethod
     def united(cls, hashes: np.ndarray, weights: np.ndarray) -> Runs:
-        """From any rows of five hashes; the weights of equal ones are added up."""
+        """From any rows of five codes; the weights of equal ones are added up."""
         words, ids = np.unique(hashes, return_inverse=True)
         ids = ids.reshape(hashes.shape).astype(np.uint32)
         if not len(words) or words[0] != 0:
@@ -148,7 +169,7 @@ class Runs:
         return self.words[self.ids]
 
     def before(self, bound: np.ndarray) -> int:
-        """How many runs come before the run of hashes ``bound``."""
+        """How many runs come before the run of codes ``bound``."""
         low, high = 0, len(self)
         for level in range(LONGEST):
             column = self.ids[low:high, level]
@@ -166,21 +187,21 @@ class Runs:
 def _sorted(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # three words, then two, to a number: vocabularies of up to 2**21 words fit, larger ones are sorted word by word
     if len(ids) and int(ids.max()) >> 21:
-        order = np.lexsort(ids.T[::-1])
+        place = np.lexsort(ids.T[::-1])
     else:
         a, b, c, d, e = (ids[:, k].astype(U) for k in range(LONGEST))
-        order = np.lexsort(((d << U(21)) | e, (a << U(42)) | (b << U(21)) | c))
-    ids, weights = ids[order], weights[order]
+        place = np.lexsort(((d << U(21)) | e, (a << U(42)) | (b << U(21)) | c))
+    ids, weights = ids[place], weights[place]
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]).any(axis=1)
     at = np.flatnonzero(fresh)
     return ids[at], np.add.reduceat(weights, at) if len(at) else weights
 
 
-def runs_of(piece: np.ndarray, h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of five hashes (0 beyond the end) for every word with a word after it in its piece, up to a word that is not common."""
-    n = len(h)
-    fine = _common(h, table)
+def runs_of(piece: np.ndarray, h: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of five codes (0 beyond the end) for every word with a word after it in its piece, up to a word that is not common."""
+    n, h = len(h), codes(h)
+    fine = h != 0
     rows = np.zeros((n, LONGEST), U)
     alive = fine.copy()
     rows[:, 0] = np.where(alive, h, U(0))
@@ -194,49 +215,47 @@ def runs_of(piece: np.ndarray, h: np.ndarray, table: np.ndarray) -> tuple[np.nda
 
 
 def pack(runs: Runs) -> bytes:
-    """An automaton as bytes: of each run how many words it shares with the one before, the words that follow, and its weight."""
-    used, ids = np.unique(runs.ids, return_inverse=True)
-    ids = ids.reshape(runs.ids.shape)
-    if used[0] != 0:
-        used, ids = np.concatenate([np.zeros(1, used.dtype), used]), ids + 1
+    """An automaton as bytes: of each run how many words it shares with the one before, its size and weight, and the words that follow, byte by byte."""
+    ids = runs.ids
     same = np.zeros(ids.shape, bool)
     same[1:] = np.logical_and.accumulate(ids[1:] == ids[:-1], axis=1)
-    shared, size = same.sum(axis=1), (ids != 0).sum(axis=1)
-    shared = np.minimum(shared, size)
-    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+    size = (ids != 0).sum(axis=1)
+    shared = np.minimum(same.sum(axis=1), size)
     tail = (np.arange(LONGEST) >= shared[:, None]) & (np.arange(LONGEST) < size[:, None])
-    heavy = int(runs.weights.max()) >= 255
-    weight = np.minimum(runs.weights, 255).astype(np.uint8)
-    extra = runs.weights[runs.weights >= 255].astype(np.int64) if heavy else np.zeros(0, np.int64)
-    head = np.array([len(used), len(runs), int(tail.sum()), len(extra)], np.int64)
-    return b"".join(x.tobytes() for x in (head, runs.words[used].astype(U), (shared * 8 + size).astype(np.uint8), weight, extra, ids[tail].astype(kind)))
+    words = runs.words[ids[tail]]
+    hashed = words >= HASHED
+    small = np.where(hashed, U(0), words).astype(np.uint32)
+    extra = runs.weights[runs.weights >= 255].astype(np.int64)
+    head = np.array([len(runs), len(words), len(extra), int(hashed.sum())], np.int64)
+    planes = np.ascontiguousarray(small.view(np.uint8).reshape(-1, 4).T)
+    body = b"".join(x.tobytes() for x in (head, (shared * 8 + size).astype(np.uint8), np.minimum(runs.weights, 255).astype(np.uint8), planes, extra, words[hashed]))
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unpack(page: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of five hashes and weights."""
-    n_words, n, n_tail, n_extra = (int(x) for x in np.frombuffer(page, np.int64, 4))
+    """Rows of five codes and weights."""
+    body = pa.decompress(page[8:], decompressed_size=int.from_bytes(page[:8], "little"), codec="zstd", asbytes=True)
+    n, n_words, n_extra, n_hashed = (int(x) for x in np.frombuffer(body, np.int64, 4))
     at = 32
-    words = np.frombuffer(page, U, n_words, at)
-    at += 8 * n_words
-    shape = np.frombuffer(page, np.uint8, n, at)
-    at += n
-    weights = np.frombuffer(page, np.uint8, n, at).astype(np.int64)
-    at += n
-    weights[weights == 255] = np.frombuffer(page, np.int64, n_extra, at)
-    at += 8 * n_extra
-    tail = np.frombuffer(page, np.uint16 if n_words < 1 << 16 else np.uint32, n_tail, at)
+    shape = np.frombuffer(body, np.uint8, n, at)
+    weights = np.frombuffer(body, np.uint8, n, at + n).astype(np.int64)
+    at += 2 * n
+    words = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n_words, at).reshape(4, -1).T).view(np.uint32).reshape(-1).astype(U)
+    at += 4 * n_words
+    weights[weights == 255] = np.frombuffer(body, np.int64, n_extra, at)
+    words[words == 0] = np.frombuffer(body, U, n_hashed, at + 8 * n_extra)
     shared, size = shape >> 3, shape & 7
-    ids = np.zeros((n, LONGEST), np.int64)
+    runs = np.zeros((n, LONGEST), U)
     fresh = (np.arange(LONGEST) >= shared[:, None]) & (np.arange(LONGEST) < size[:, None])
-    ids[fresh] = tail
+    runs[fresh] = words
     for k in range(LONGEST):  # what is shared is what the last run with a word of its own there had
         own = fresh[:, k] | (size <= k)
-        ids[:, k] = ids[np.maximum.accumulate(np.where(own, np.arange(n), 0)), k]
-    return words[ids], weights
+        runs[:, k] = runs[np.maximum.accumulate(np.where(own, np.arange(n), 0)), k]
+    return runs, weights
 
 
 def prefix_sums(runs: Runs, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(hashes, counts, length) of the phrases of two to five words that reach ``least``, and of those that the first or the last run begins with."""
+    """(codes, counts, length) of the phrases of two to five words that reach ``least``, and of those that the first or the last run begins with."""
     if not len(runs):
         return
     ids = runs.ids
@@ -257,7 +276,7 @@ def _keys(bounds: np.ndarray) -> list[bytes]:
     return [row.astype(">u8").tobytes() for row in bounds]
 
 
-def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS) -> DataFrame:
+def pages(rows: DataFrame, codes: Codes, bounds: np.ndarray, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS) -> DataFrame:
     """(range, first, page): the automata of all shards, cut at ``bounds`` and after a number of runs; ``first`` is a page's first run."""
 
     def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +298,7 @@ def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray, shard_words: i
             offsets, data = B.texts(batch.column(1))
             for first, last in B.groups(offsets):
                 piece, h, _, _ = tokens(offsets, data, first, last, salts[first:last])
-                found = runs_of(piece, h, table)
+                found = runs_of(piece, h, codes)
                 if len(found[0]):
                     held.append(found)
                     n += len(found[0])
@@ -292,7 +311,7 @@ def pages(rows: DataFrame, table: np.ndarray, bounds: np.ndarray, shard_words: i
     return rows.mapInArrow(run, "range int, first binary, page binary")
 
 
-def sampled_bounds(rows: DataFrame, table: np.ndarray, ranges: int, total: int) -> np.ndarray:
+def sampled_bounds(rows: DataFrame, codes: Codes, ranges: int, total: int) -> np.ndarray:
     """At most ``ranges`` - 1 runs that cut the order into parts of about the same size, from a sample of texts of bounded size."""
     if ranges < 2:
         return np.zeros((0, LONGEST), U)
@@ -304,7 +323,7 @@ def sampled_bounds(rows: DataFrame, table: np.ndarray, ranges: int, total: int)
         offsets, data = B.texts(batch.column(1))
         for first, last in B.groups(offsets):
             piece, h, _, _ = tokens(offsets, data, first, last, salts[first:last])
-            found = runs_of(piece, h, table)[0][::stride]
+            found = runs_of(piece, h, codes)[0][::stride]
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(found), pa.binary())], ["run"])
 
@@ -360,16 +379,16 @@ def _part(phrase: str, start: Column, size: Column) -> Column:
 
 
 def score(words: DataFrame, phrases: DataFrame, totals: DataFrame, least: int, most: int) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score from counted words (h, lang, word, n), phrases (g, a) and words per language."""
+    """lang, rank, phrase, a, l, r, n, score from counted words (code, lang, word, n), phrases (g, a) and words per language."""
     # a part of a phrase is at least as frequent as the phrase, so it is among the counted ones
-    parts = phrases.select("g", "a").unionByName(words.select(F.array("h").alias("g"), F.col("n").alias("a")))
+    parts = phrases.select("g", "a").unionByName(words.select(F.array("code").alias("g"), F.col("n").alias("a")))
     cuts = phrases.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
     cuts = cuts.withColumns({"left": _part("g", F.lit(1), F.col("k")), "right": _part("g", F.col("k") + 1, F.size("g") - F.col("k"))})
     look = lambda side, name: parts.select(F.col("g").alias(side), F.col("a").alias(name))
     cuts = cuts.join(look("left", "l"), "left").join(look("right", "r"), "right")
-    languages = words.select(F.col("h").alias("h0"), "lang")
+    languages = words.select(F.col("code").alias("first"), "lang")
     # the sides of a cut repeat the first word; its language comes with the word
-    cuts = cuts.withColumn("h0", F.col("g")[0]).join(languages, "h0").join(F.broadcast(totals), "lang")
+    cuts = cuts.withColumn("first", F.col("g")[0]).join(languages, "first").join(F.broadcast(totals), "lang")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     cuts = cuts.withColumns({"top": wide("a") * wide("n") * F.lit(1000).cast("decimal(4,0)"), "under": wide("l") * wide("r")}).withColumn("score", F.expr("top div under"))
     lowest = cuts.groupBy("g").agg(
@@ -381,25 +400,27 @@ def score(words: DataFrame, phrases: DataFrame, totals: DataFrame, least: int, m
     inside = longer.select(F.explode(F.array_distinct(spots)).alias("g"), F.col("a").alias("held")).groupBy("g").agg(F.max("held").alias("held"))
     own = lowest.join(inside, "g", "left").where(F.col("held").isNull() | (100 * F.col("held") < 100 * F.col("a")))
     near = own.select("g", "lang", "a", "n", "x.*").withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= most)
-    spelt = near.select("g", F.posexplode("g").alias("i", "h")).join(words.select("h", "word"), "h").groupBy("g").agg(
+    spelt = near.select("g", F.posexplode("g").alias("i", "code")).join(words.select("code", "word"), "code").groupBy("g").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return near.join(spelt, "g").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    return near.join(spelt, "g").withColumn("rank", F.row_number().over(by_score).cast("long")).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def mine(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, most: int = 2000,
-    range_runs: int = RANGE_RUNS, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS, unite_runs: int = UNITE_RUNS, bits: int = BITS,
+    range_runs: int = RANGE_RUNS, shard_words: int = SHARD_WORDS, page_runs: int = PAGE_RUNS, unite_runs: int = UNITE_RUNS, bits: int = BITS, ranked: int = RANKED,
 ) -> DataFrame:
     """The ``most`` highest-scoring phrases of two to five words of each language among those that occur at least ``least`` times."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = settle(count_words(rows))
     totals = settle(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    common = settle(words.where(F.col("n") >= least))
+    common = settle(coded(words.where(F.col("n") >= least), ranked))
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = bit_table(common, bits)
+    # at most ``ranked`` numbers
+    first = common.where(F.col("place") < ranked).select("place", "h").toArrow().sort_by("place")
+    codes = Codes(bit_table(common, bits), first["h"].to_numpy().view(U) if first.num_rows else np.zeros(0, U))
     ranges = int(min(MOST_RANGES, max(1, -(-total // range_runs))))
-    bounds = sampled_bounds(rows, table, ranges, total)
-    counted = unite(pages(rows, table, bounds, shard_words, page_runs), least, unite_runs).groupBy("g").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    bounds = sampled_bounds(rows, codes, ranges, total)
+    counted = unite(pages(rows, codes, bounds, shard_words, page_runs), least, unite_runs).groupBy("g").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return score(common, settle(counted), totals, least, most)
