@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of, kinds, nan_to_null, text_of
 from tidegauge.functions.numeric import micros
+from tidegauge.operators.encoding import Encoded, encode, encoding, one_hot, tree_rows, typed
+from tidegauge.operators.forest import TASK_ROWS, Plan, forest
 from tidegauge.plans import order, stats
 from tidegauge.session import hold, rows, settle
 
@@ -41,9 +41,11 @@ class Config:
     trees: int = 100
     depth: int = 30
     iterations: int = 1000
-    one_hot_limit: int = 1000
+    task_rows: int = TASK_ROWS
 
 
+#: Features beyond which the linear model is solved by gradients.
+WIDE = 512
 SEASONS = {"MS": 12, "W": 52, "D": 7}
 BAND_80 = 1.2816
 
@@ -133,54 +135,6 @@ def select_features(df: DataFrame, target: str, moment: str | None = None, near_
     return hold(facts.select("position", "column", "distinct", reason.isNull().alias("kept"), reason.alias("reason"))).orderBy("position")
 
 
-@dataclass(frozen=True)
-class Encoding:
-    """Feature columns in the order they enter the vector."""
-
-    numeric: list[str]
-    one_hot: list[str]
-    hashed: list[str]
-
-
-def encoding(df: DataFrame, features: DataFrame, config: Config) -> Encoding:
-    by_kind = kinds(df)
-    kept = features.where("kept").orderBy("position").collect()
-    numeric = [r["column"] for r in kept if by_kind[r["column"]] == NUMERIC]
-    labelled = [r for r in kept if by_kind[r["column"]] != NUMERIC]
-    return Encoding(
-        numeric, [r["column"] for r in labelled if r["distinct"] <= config.one_hot_limit],
-        # labels of wide columns are hashed: an indexer would bring all of them to the driver
-        [r["column"] for r in labelled if r["distinct"] > config.one_hot_limit],
-    )
-
-
-def typed(df: DataFrame, enc: Encoding, *extra: str) -> DataFrame:
-    """Numbers as doubles, labels as text with ``__missing__`` for null."""
-    return df.select(
-        *extra, *[F.col(c).cast("double").alias(c) for c in enc.numeric],
-        *[F.coalesce(text_of(df, c), F.lit("__missing__")).alias(c) for c in (*enc.one_hot, *enc.hashed)],
-    )
-
-
-def encoder_stages(enc: Encoding) -> list:
-    """Fitted on the training rows only, as part of each fold's pipeline."""
-    stages, parts = [], []
-    if enc.numeric:
-        filled = [f"__f_{c}" for c in enc.numeric]
-        stages.append(Imputer(strategy="median", inputCols=enc.numeric, outputCols=filled))
-        parts += filled
-    if enc.one_hot:
-        index, hot = [f"__i_{c}" for c in enc.one_hot], [f"__h_{c}" for c in enc.one_hot]
-        stages.append(StringIndexer(inputCols=enc.one_hot, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False, handleInvalid="keep"))
-        parts += hot
-    if enc.hashed:
-        stages.append(FeatureHasher(inputCols=enc.hashed, outputCol="__hashed", numFeatures=1 << 16))
-        parts.append("__hashed")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return stages
-
-
 # -- folds -------------------------------------------------------------------------------------------
 
 def with_folds(df: DataFrame, k: int, seed: int = 0, label: str | None = None) -> DataFrame:
@@ -241,23 +195,15 @@ def gate(scores: DataFrame, metric: str, config: Config = Config()) -> DataFrame
     return top.select("*", F.when(reason.isNull(), "answered").otherwise("escalated").alias("decision"), reason.alias("reason"))
 
 
-def _associations(model, enc: Encoding, spark) -> DataFrame:
-    """Mean |coefficient| or importance per original column."""
-    stages, last = model.stages[:-1], model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        weights = [abs(w) for w in last.featureImportances.toArray()]
-    elif hasattr(last, "coefficientMatrix"):
-        matrix = last.coefficientMatrix.toArray()
-        weights = list(abs(matrix).mean(axis=0))
-    else:
-        weights = [abs(w) for w in last.coefficients.toArray()]
-    widths = [(c, 1) for c in enc.numeric]
-    if enc.one_hot:
-        sizes = next(s for s in stages if type(s).__name__ == "OneHotEncoderModel").categorySizes
-        # handleInvalid="keep" adds a slot for unseen labels in both steps
-        widths += [(c, size + 1) for c, size in zip(enc.one_hot, sizes)]
-    if enc.hashed:
-        widths.append((",".join(enc.hashed), 1 << 16))
+def _linear_weights(model) -> list[float]:
+    """|coefficient| of each feature, averaged over classes."""
+    if hasattr(model, "coefficientMatrix"):
+        return list(abs(model.coefficientMatrix.toArray()).mean(axis=0))
+    return [abs(w) for w in model.coefficients.toArray()]
+
+
+def _associations(spark, weights: list[float], widths: list[tuple[str, int]]) -> DataFrame:
+    """Mean weight per original column, the largest first."""
     found, at = [], 0
     for column, width in widths:
         block = weights[at : at + width]
@@ -266,44 +212,58 @@ def _associations(model, enc: Encoding, spark) -> DataFrame:
     return rows(spark, sorted(found, key=lambda f: (-f[1], f[0])), "column string, association double")
 
 
-def _cross_validate(data: DataFrame, k: int, enc: Encoding, families: dict, evaluator, baseline) -> dict[str, list[float]]:
-    scores: dict[str, list[float]] = {name: [] for name in (*families, "baseline")}
-    for i in range(k):
-        train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-        prepared = Pipeline(stages=encoder_stages(enc)).fit(train)
-        ready, held_out = settle(prepared.transform(train).select("label", "features")), prepared.transform(test).select("label", "features")
-        for name, make in families.items():
-            scores[name].append(evaluator.evaluate(make().fit(ready).transform(held_out)))
-        scores["baseline"].append(evaluator.evaluate(baseline(train, test)))
+def _families(e: Encoded, config: Config) -> tuple[str, Callable, Plan]:
+    """The linear model's name and maker, and the forest."""
+    plan = Plan(config.trees, config.depth, config.seed, e.classes, config.task_rows)
+    if e.classes:
+        return "logistic_regression", lambda wide: LogisticRegression(maxIter=config.iterations), plan
+    # the closed solution needs a square of the features; beyond a few hundred the gradients of it are cheaper
+    return "linear_regression", lambda wide: LinearRegression(solver="l-bfgs" if wide else "auto"), plan
+
+
+def _cross_validate(e: Encoded, evaluator, baseline: Column, config: Config) -> dict[str, list[float]]:
+    """Scores by family and fold; the forest's fits of all folds are one job."""
+    name, linear, plan = _families(e, config)
+    values, _ = forest(tree_rows(e, list(range(e.folds))), list(range(e.folds)), plan)
+    labelled = settle(values.join(e.rows.select("row", "label"), "row"))
+    scores: dict[str, list[float]] = {name: [], "random_forest": [], "baseline": []}
+    for fit in range(e.folds):
+        train, test, widths = one_hot(e, fit)
+        train = settle(train)
+        scores[name].append(evaluator.evaluate(linear(sum(w for _, w in widths) > WIDE).fit(train).transform(test)))
+        scores["random_forest"].append(evaluator.evaluate(labelled.where(F.col("fit") == fit).select("label", _decided(e.classes).alias("prediction"))))
+        constant = e.rows.where(F.col("fold") != fit).agg(baseline).first()[0]
+        scores["baseline"].append(evaluator.evaluate(e.rows.where(F.col("fold") == fit).select("label", F.lit(constant).alias("prediction"))))
     return scores
 
 
+def _decided(classes: int) -> Column:
+    """The number, or the class of the largest share, the first among equals."""
+    if not classes:
+        return F.col("value")[0]
+    return (F.array_position("value", F.array_max("value")) - 1).cast("double")
+
+
 def classify(df: DataFrame, target: str, features: DataFrame, config: Config = Config()) -> Outcome:
     """Logistic regression against a random forest, by weighted F1; the baseline is the majority class."""
-    spark = df.sparkSession
     known = df.where(F.col(target).isNotNull())
     classes = hold(class_distribution(df, target))  # fewer labels than the class ceiling
-    seen = classes.agg(F.sum("n").alias("n"), F.max("share").alias("majority"), F.min("n").alias("rarest")).first()
+    seen = classes.agg(F.sum("n").alias("n"), F.max("share").alias("majority"), F.min("n").alias("rarest"), F.count("*").alias("classes")).first()
     if (seen["n"] or 0) < config.min_rows:
         return Outcome(CLASSIFICATION, "escalated", f"{seen['n'] or 0} rows, needs {config.min_rows}", classes=classes, features=features)
     if seen["majority"] > config.majority_share:
         return Outcome(CLASSIFICATION, "escalated", f"one class holds {seen['majority']:.0%} of the rows", classes=classes, features=features)
-    enc = encoding(df, features, config)
+    if seen["classes"] > config.class_ceiling:
+        return Outcome(CLASSIFICATION, "escalated", f"{seen['classes']} classes, more than {config.class_ceiling}", classes=classes, features=features)
+    enc = encoding(df, features)
     k = max(2, min(config.splits, seen["rarest"]))
     named = typed(known.withColumn("__target", F.col(target).cast("string")), enc, "__target")
+    # numbered by size; the table of classes has at most the ceiling's rows
     order_of = {r["label"]: float(i) for i, r in enumerate(classes.orderBy(F.desc("n"), "label").collect())}
     label = F.create_map(*[F.lit(x) for pair in order_of.items() for x in pair])[F.col("__target")]
-    data = settle(with_folds(named.withColumn("label", label).drop("__target"), k, config.seed, "label"))
-    families = {
-        "logistic_regression": lambda: LogisticRegression(maxIter=config.iterations),
-        "random_forest": lambda: RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, seed=config.seed),
-    }
-
-    def majority(train: DataFrame, test: DataFrame) -> DataFrame:
-        return test.withColumn("prediction", F.lit(train.agg(F.mode("label")).first()[0]))
-
-    scores = _cross_validate(data, k, enc, families, MulticlassClassificationEvaluator(metricName="f1"), majority)
-    return _finish(CLASSIFICATION, "f1", spark, scores, data, enc, families, "majority_class", features, classes, config)
+    e = encode(with_folds(named.withColumn("label", label).drop("__target"), k, config.seed, "label"), enc, k, len(order_of))
+    scores = _cross_validate(e, MulticlassClassificationEvaluator(metricName="f1"), F.mode("label", True), config)
+    return _finish(CLASSIFICATION, "f1", scores, e, "majority_class", features, classes, config)
 
 
 def regress(df: DataFrame, target: str, features: DataFrame, config: Config = Config()) -> Outcome:
@@ -312,32 +272,34 @@ def regress(df: DataFrame, target: str, features: DataFrame, config: Config = Co
     n = known.count()
     if n < config.min_rows:
         return Outcome(REGRESSION, "escalated", f"{n} rows, needs {config.min_rows}", features=features)
-    enc = encoding(df, features, config)
+    enc = encoding(df, features)
     k = max(2, min(config.splits, n - 1))
     named = typed(known.withColumn("__target", F.col(target).cast("double")), enc, "__target").withColumnRenamed("__target", "label")
-    data = settle(with_folds(named, k, config.seed))
-    families = {
-        "linear_regression": lambda: LinearRegression(),
-        "random_forest": lambda: RandomForestRegressor(numTrees=config.trees, maxDepth=config.depth, seed=config.seed),
-    }
-
-    def mean(train: DataFrame, test: DataFrame) -> DataFrame:
-        return test.withColumn("prediction", F.lit(train.agg(F.avg("label")).first()[0]))
+    e = encode(with_folds(named, k, config.seed), enc, k)
+    scores = _cross_validate(e, RegressionEvaluator(metricName="rmse"), F.avg("label"), config)
+    return _finish(REGRESSION, "rmse", scores, e, "mean", features, None, config)
 
-    scores = _cross_validate(data, k, enc, families, RegressionEvaluator(metricName="rmse"), mean)
-    return _finish(REGRESSION, "rmse", df.sparkSession, scores, data, enc, families, "mean", features, None, config)
 
-
-def _finish(task, metric, spark, scores, data, enc, families, baseline_name, features, classes, config) -> Outcome:
+def _finish(task, metric, scores, e: Encoded, baseline_name, features, classes, config) -> Outcome:
+    spark = e.rows.sparkSession
     table = rows(
         spark,
         [(name if name != "baseline" else baseline_name, "baseline" if name == "baseline" else "candidate", metric, sum(s) / len(s)) for name, s in scores.items()],
         SCORES,
     )
     verdict = gate(table, metric, config).first()
-    final = Pipeline(stages=[*encoder_stages(enc), families[verdict["winner"]]()]).fit(data)
+    # the winner's weights come from a last fit on all rows
+    everything = e.folds
+    if verdict["winner"] == "random_forest":
+        _, gains = forest(tree_rows(e, [everything]), [everything], _families(e, config)[2])
+        weights = {r["feature"]: r["importance"] for r in gains.collect()}  # one row a feature
+        widths = [(c, 1) for c in e.enc.numeric] + [(c, e.sides) for c in e.enc.labels]
+        weights = [weights.get(i, 0.0) for i in range(sum(w for _, w in widths))]
+    else:
+        train, _, widths = one_hot(e, everything)
+        weights = _linear_weights(_families(e, config)[1](sum(w for _, w in widths) > WIDE).fit(settle(train)))
     return Outcome(
-        task, verdict["decision"], verdict["reason"], table, verdict["winner"], features, _associations(final, enc, spark), classes,
+        task, verdict["decision"], verdict["reason"], table, verdict["winner"], features, _associations(spark, weights, widths), classes,
         notes={"score": verdict["score"], "best_baseline": verdict["best_baseline"]},
     )
 
