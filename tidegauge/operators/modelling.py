@@ -354,6 +354,39 @@ def predictions(frame: DataFrame, by: Sequence[str], season: int) -> DataFrame:
     )
 
 
+def one_step(series: DataFrame, season: int) -> DataFrame:
+    """(t, value) and both candidates' forecasts of each period from all periods before it.
+
+    Every fit follows from running sums, over the whole past and over the past of the same place in the season, so a period is read once however
+    many fits it takes part in. The series has a row a period.
+    """
+    along = Window.orderBy("t")
+    past, own_past = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("place").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    t, v = F.col("t").cast("double"), F.col("value")
+    steps = series.select("t", "value", (F.col("t") % season).alias("place"), (v - F.lag("value").over(along)).alias("d")).withColumn("d1", F.lag("d").over(along))
+    d = F.when(F.col("d1").isNotNull(), F.col("d"))
+    total = lambda c: F.sum(c).over(past)
+    summed = steps.select(
+        "t", "value", "place", F.count("*").over(past).cast("double").alias("n"), total(t).alias("st"), total(v).alias("sv"), total(t * v).alias("stv"), total(t * t).alias("stt"),
+        F.count("*").over(own_past).cast("double").alias("pn"), F.sum(t).over(own_past).alias("pst"), F.sum(v).over(own_past).alias("psv"),
+        F.count(d).over(past).cast("double").alias("m"), total(d).alias("sd"), total("d1").alias("sd1"), total(d * F.col("d1")).alias("sdd"), total(F.col("d1") * F.col("d1")).alias("sd1d1"),
+        F.avg("d").over(past).alias("mean_d"), F.lag("value").over(along).alias("last"), F.lag("d").over(along).alias("last_d"),
+    )
+    slope = F.try_divide(F.col("n") * F.col("stv") - F.col("st") * F.col("sv"), F.col("n") * F.col("stt") - F.col("st") * F.col("st"))
+    phi = F.try_divide(F.col("m") * F.col("sdd") - F.col("sd") * F.col("sd1"), F.col("m") * F.col("sd1d1") - F.col("sd1") * F.col("sd1"))
+    fitted = summed.withColumns({"slope": slope, "phi": phi}).withColumns({
+        "intercept": (F.col("sv") - F.col("slope") * F.col("st")) / F.col("n"),
+        "drift": F.coalesce(F.try_divide(F.col("sd") - F.col("phi") * F.col("sd1"), F.col("m")), F.col("mean_d"), F.lit(0.0)),
+        "phi": F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.coalesce("phi", F.lit(0.0)))),
+    })
+    effect = F.when(F.col("n") >= 2 * season, F.try_divide(F.col("psv") - F.col("intercept") * F.col("pn") - F.col("slope") * F.col("pst"), F.col("pn")))
+    mean_step = F.col("drift") / (1 - F.col("phi"))
+    return fitted.select(
+        "t", "value", (F.col("intercept") + F.col("slope") * t + F.coalesce(effect, F.lit(0.0))).alias("trend_seasonal"),
+        (F.col("last") + mean_step + (F.coalesce("last_d", F.lit(0.0)) - mean_step) * F.col("phi")).alias("differenced_ar1"),
+    )
+
+
 FAMILIES, BASELINES = ("trend_seasonal", "differenced_ar1"), ("naive", "seasonal_naive")
 
 
@@ -381,10 +414,8 @@ def forecast_band(series: DataFrame, n: int, frequency: str, family: str, config
     )
     predicted = predictions(frame, ["g"], season).select("t", "ahead", F.col(family).alias("forecast"))
     # one-step errors over the second half of the series give the width of the band
-    halves = [(i, i + 1) for i in range(max(3, n // 2), n)]
-    folds = rows(spark, [(f, a, b) for f, (a, b) in enumerate(halves)], "fold int, start int, end int")
-    past = series.join(folds, F.col("t") < F.col("end")).withColumn("train", F.col("t") < F.col("start"))
-    error = predictions(past, ["fold"], season).agg(F.stddev_pop(F.col("value") - F.col(family))).first()[0] or 0.0
+    late = one_step(series, season).where(F.col("t") >= max(3, n // 2))
+    error = late.agg(F.stddev_pop(F.col("value") - F.col(family))).first()[0] or 0.0
     width = F.lit(BAND_80 * error) * F.sqrt(F.col("ahead").cast("double"))
     dated = predicted.withColumn("period", step(F.col("ahead").cast("int")))
     return dated.select("t", "period", F.col("forecast").alias("value"), (F.col("forecast") - width).alias("lower"), (F.col("forecast") + width).alias("upper"))

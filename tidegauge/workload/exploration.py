@@ -312,7 +312,16 @@ def role_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("role = 'item_id'").select(F.col("column").alias("c"), "score")
 
 
-@R.add()
+NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+# no text of these columns reads as a number, so they have neither fractions nor negatives
+OTHERS = ("l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@R.add(" UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", count({c}) AS non_null, count(DISTINCT {c}) AS "distinct", count(*) FILTER (WHERE {c} <> round_even({c}, 0)) AS fractions, count(*) FILTER (WHERE {c} < 0) AS negatives,
+    count({c}) > 0 AS numeric_like FROM lineitem""" for c in NUMBERS]
+    + [f"SELECT '{c}', count({c}), count(DISTINCT {c}), count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)), 0, count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) > 0 FROM lineitem" for c in OTHERS]
+))
 def role_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.column_facts(read(spark, sf_dir, "lineitem")).select("column", "non_null", "distinct", "fractions", "negatives", "numeric_like")
 

@@ -54,24 +54,45 @@ def forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("fold").agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("test"))
 
 
-@R.add(CHAINED + """, fit AS (SELECT fold, regr_slope(v, t) AS slope, regr_intercept(v, t) AS icept, count(*) AS k, arg_max(v, t) AS last, max(t) AS lt FROM y JOIN w ON t < a GROUP BY 1),
-eff AS (SELECT w.fold, t % 12 AS place, avg(v - icept - slope * t) AS e FROM y JOIN w ON t < a JOIN fit USING (fold) WHERE k >= 24 GROUP BY 1, 2),
-tail AS (SELECT w.fold, (t - lt + 11) % 12 AS slot, v AS sn FROM y JOIN w ON t < a JOIN fit USING (fold) WHERE t > lt - 12 AND k >= 12),
-p AS (SELECT w.fold, y.t, v, icept + slope * y.t + coalesce(e, 0) AS ts, last AS nv, sn FROM y JOIN w ON y.t >= a AND y.t < b JOIN fit ON fit.fold = w.fold LEFT JOIN eff ON eff.fold = w.fold AND eff.place = y.t % 12
-  LEFT JOIN tail ON tail.fold = w.fold AND tail.slot = (y.t - lt - 1) % 12),
-r AS (SELECT fold, sqrt(avg((ts - v) ** 2)) AS ts, sqrt(avg((nv - v) ** 2)) AS nv, sqrt(avg((sn - v) ** 2)) AS sn FROM p GROUP BY 1)
-SELECT 'trend_seasonal' AS model, 'candidate' AS role, round_even(avg(ts), 1) AS score FROM r UNION ALL SELECT 'naive', 'baseline', round_even(avg(nv), 1) FROM r UNION ALL SELECT 'seasonal_naive', 'baseline', round_even(avg(sn), 1) FROM r""")
+def _predicted_sql(name: str, folds: str) -> str:
+    """Both candidates and the naive forecasts of every period from a to b of each fold (fold, a, b), from all periods before a."""
+    return f"""{name}_past AS (SELECT w.fold, y.t, v, v - lag(v) OVER s AS d FROM y JOIN {folds} w ON y.t < a WINDOW s AS (PARTITION BY w.fold ORDER BY y.t)),
+{name}_steps AS (SELECT *, lag(d) OVER (PARTITION BY fold ORDER BY t) AS d1 FROM {name}_past),
+{name}_fit AS (SELECT fold, regr_slope(v, t) AS slope, regr_intercept(v, t) AS icept, count(*) AS k, arg_max(v, t) AS last, max(t) AS lt, coalesce(arg_max(d, t) FILTER (WHERE d IS NOT NULL), 0) AS last_d,
+  greatest(-0.99, least(0.99, coalesce(regr_slope(d, d1), 0))) AS phi, coalesce(regr_intercept(d, d1), avg(d), 0) AS drift FROM {name}_steps GROUP BY 1),
+{name}_eff AS (SELECT p.fold, t % 12 AS place, avg(v - icept - slope * t) AS e FROM {name}_past p JOIN {name}_fit USING (fold) WHERE k >= 24 GROUP BY 1, 2),
+{name}_tail AS (SELECT p.fold, (t - lt + 11) % 12 AS slot, v AS sn FROM {name}_past p JOIN {name}_fit USING (fold) WHERE t > lt - 12 AND k >= 12),
+{name} AS (SELECT w.fold, g.t, y.v, icept + slope * g.t + coalesce(e, 0) AS ts, last AS nv, sn, drift / (1 - phi) AS step,
+  last + drift / (1 - phi) * (g.t - lt) + (last_d - drift / (1 - phi)) * phi * (1 - phi ** (g.t - lt)) / (1 - phi) AS ar
+  FROM {folds} w, LATERAL (SELECT unnest(range(w.a, w.b)) AS t) g JOIN {name}_fit f ON f.fold = w.fold LEFT JOIN y ON y.t = g.t LEFT JOIN {name}_eff ef ON ef.fold = w.fold AND ef.place = g.t % 12
+  LEFT JOIN {name}_tail tl ON tl.fold = w.fold AND tl.slot = (g.t - lt - 1) % 12)"""
+
+
+FORECAST = CHAINED + ", " + _predicted_sql("p", "w") + """,
+r AS (SELECT fold, sqrt(avg((ts - v) ** 2)) AS ts, sqrt(avg((ar - v) ** 2)) AS ar, sqrt(avg((nv - v) ** 2)) AS nv, sqrt(avg((sn - v) ** 2)) AS sn FROM p GROUP BY 1),
+score AS (SELECT 'trend_seasonal' AS model, 'candidate' AS role, avg(ts) AS score FROM r UNION ALL SELECT 'differenced_ar1', 'candidate', avg(ar) FROM r
+UNION ALL SELECT 'naive', 'baseline', avg(nv) FROM r UNION ALL SELECT 'seasonal_naive', 'baseline', avg(sn) FROM r)"""
+
+
+@R.add(FORECAST + " SELECT model, role, round_even(score, 1) AS score FROM score WHERE score IS NOT NULL")
 def forecast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-sample error of the seasonal trend and the naive forecasts over forward-chained folds."""
+    """Out-of-sample error of both candidates and the naive forecasts over forward-chained folds."""
     series = modelling.time_series(read(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "MS")
-    found = modelling.forecast_scores(series, series.count(), "MS")
-    return found.where("model != 'differenced_ar1'").select("model", "role", rounded("score", 1).alias("score"))
+    return modelling.forecast_scores(series, series.count(), "MS").select("model", "role", rounded("score", 1).alias("score"))
 
 
-@R.add()
+@R.add(FORECAST + """, best AS (SELECT arg_min(model, score) AS model FROM score WHERE role = 'candidate'),
+late AS (SELECT t AS fold, t AS a, t + 1 AS b FROM y, n WHERE t >= greatest(3, n.n // 2)), """ + _predicted_sql("o", "late") + """,
+whole AS (SELECT 0 AS fold, n AS a, n + least(12, greatest(1, n // 2)) AS b FROM n), """ + _predicted_sql("q", "whole") + """,
+width AS (SELECT 1.2816 * stddev_pop(v - CASE WHEN best.model = 'trend_seasonal' THEN ts ELSE ar END) AS width FROM o, best),
+ahead AS (SELECT t, CASE WHEN best.model = 'trend_seasonal' THEN ts ELSE ar END AS value, t - (SELECT max(t) FROM y) AS ahead, width FROM q, best, width)
+SELECT CAST(t AS INTEGER) AS t, strftime((SELECT max(p) FROM y) + to_months(CAST(ahead AS INTEGER)), '%Y-%m-%d') AS period,
+  round_even(value / 1000, 2) AS thousands, round_even((value - width * sqrt(ahead)) / 1000, 2) AS lower, round_even((value + width * sqrt(ahead)) / 1000, 2) AS upper FROM ahead""")
 def forecast_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next months of revenue with their band."""
-    return modelling.forecast(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate").forecast
+    """The next months of revenue with their band, in thousands."""
+    found = modelling.forecast(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate").forecast
+    thousands = lambda c: rounded(F.col(c) / 1000, 2)
+    return found.select("t", F.date_format("period", "yyyy-MM-dd").alias("period"), thousands("value").alias("thousands"), thousands("lower").alias("lower"), thousands("upper").alias("upper"))
 
 
 def leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
