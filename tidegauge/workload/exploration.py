@@ -326,12 +326,74 @@ def role_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.column_facts(read(spark, sf_dir, "lineitem")).select("column", "non_null", "distinct", "fractions", "negatives", "numeric_like")
 
 
-@R.add()
+def _named(pattern: str) -> str:
+    return f"regexp_matches(c, '(?i){pattern}')"
+
+
+def _by_name(role: str) -> str:
+    return _named(roles.NAME_PATTERNS[role])
+
+
+def _role_sql() -> dict[str, tuple[str, str]]:
+    """role -> (what refuses a column, its score otherwise) over facts u(c, kind, n, d, fractions, negatives, low, high, skew, span)."""
+    measure, money, metric = "(kind = 'number' AND fractions > 0)", _by_name("monetary"), _named(roles.AD_METRIC)
+    dated, number, like = "kind = 'date'", "kind <> 'number'", "NOT numeric_like"
+    year = f"({_by_name('crop_year')} OR (numeric_like AND fractions = 0 AND low >= 1900 AND high <= 2100))"
+    bonus = lambda role, w: f"CASE WHEN {_by_name(role)} THEN {w} ELSE 0.0 END"
+    counter = f"CASE WHEN {_named(roles.ROW_COUNTER)} THEN 0.3 ELSE 0.0 END"
+    found = {
+        "entity_id": (f"{metric} OR n = 0 OR {dated} OR {measure} OR d < 2 OR uq > 0.95", f"greatest(0.0, CASE WHEN uq BETWEEN 0.001 AND 0.7 THEN 0.6 ELSE 0.35 END - {counter} + {bonus('entity_id', 0.2)})"),
+        "transaction_id": (f"{metric} OR n = 0 OR {dated} OR {measure} OR (uq < 0.9 AND (grp NOT BETWEEN 1.2 AND 50 OR d < 5))", f"greatest(0.0, CASE WHEN uq >= 0.9 THEN 0.6 ELSE 0.45 END - {counter} + {bonus('transaction_id', 0.2)})"),
+        "event_date": ("kind <> 'date' OR n = 0 OR d < 2", f"least(1.0, CASE WHEN span >= 1 THEN 0.75 ELSE 0.5 END + {bonus('event_date', 0.2)})"),
+        "monetary": (f"{number} OR n = 0 OR negatives * 1.0 / n > 0.05 OR high <= 0", f"""greatest(0.0, 0.4 + CASE WHEN NOT {money} AND fractions = 0 AND high <= 100 THEN -0.2 WHEN skew > 0.2 THEN 0.15 ELSE 0.0 END
+          + CASE WHEN {_named(roles.REVENUE)} THEN 0.3 WHEN {_named(roles.COST)} THEN 0.1 WHEN {money} THEN 0.2 ELSE 0.0 END)"""),
+        "quantity": (f"{number} OR n = 0 OR fractions > 0 OR negatives > 0 OR high > 1000 OR {_named(roles.IDENTIFIER)} OR {money} OR d > 50", f"least(1.0, 0.5 + {bonus('quantity', 0.2)})"),
+        "campaign_id": (f"{dated} OR {measure} OR n = 0 OR d < 2 OR uq > 0.9", f"0.3 + {bonus('campaign_id', 0.4)}"),
+        "ctr": (f"{like} OR low < 0 OR high > 100", f"0.3 + {bonus('ctr', 0.4)}"),
+        "frequency": (f"{like} OR low < 0 OR high > 50", f"0.3 + {bonus('frequency', 0.4)}"),
+        "crop_year": (f"NOT {year} OR n = 0", f"0.3 + {bonus('crop_year', 0.5)}"),
+    }
+    for role in ("impressions", "clicks", "conversions"):
+        value = f"{_by_name('conversion_value')} OR " if role == "conversions" else ""
+        found[role] = (f"{value}{like} OR negatives > 0 OR fractions > 0 OR {_named(roles.IDENTIFIER)}", f"0.3 + {bonus(role, 0.4)}")
+    for role in ("spend", "conversion_value"):
+        found[role] = (f"{like} OR negatives > 0 OR {_named(roles.IDENTIFIER)} OR high = 0", f"0.3 + {bonus(role, 0.4)}")
+    for role in ("season", "district", "crop"):
+        found[role] = (f"NOT {_by_name(role)} OR n = 0 OR {dated} OR {measure} OR d <= 1", f"0.3 + {bonus(role, 0.5)}")
+    for role in ("area_cultivated", "production_quantity", "crop_yield", "rainfall", "market_price"):
+        found[role] = (f"{like} OR {year} OR {_named(roles.IDENTIFIER)} OR negatives > 0 OR NOT {_by_name(role)}", f"0.3 + {bonus(role, 0.5)}")
+    return found
+
+
+def _detected_sql(source: str, numbers: tuple[str, ...], texts: tuple[str, ...], dates: tuple[str, ...]) -> str:
+    """CTEs up to best(role, c, score, band) and candidate(c, role, score, band), from the table or subquery ``source``; no text reads as a number."""
+    facts = [f"""SELECT '{c}' AS c, 'number' AS kind, count({c}) AS n, count(DISTINCT {c}) AS d, count(*) FILTER (WHERE {c} <> round_even({c}, 0)) AS fractions, count(*) FILTER (WHERE {c} < 0) AS negatives,
+      CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, CASE WHEN min({c}) = max({c}) THEN 0.0 ELSE skewness({c}) END AS skew, NULL AS span, true AS numeric_like FROM src""" for c in numbers]
+    facts += [f"SELECT '{c}', 'text', count({c}), count(DISTINCT {c}), 0, 0, NULL, NULL, 0.0, NULL, false FROM src" for c in texts]
+    facts += [f"SELECT '{c}', 'date', count({c}), count(DISTINCT {c}), 0, 0, NULL, NULL, 0.0, date_diff('day', CAST(min({c}) AS DATE), CAST(max({c}) AS DATE)), false FROM src" for c in dates]
+    scored = " UNION ALL ".join(f"SELECT c, '{r}' AS role, CASE WHEN coalesce({refused}, false) THEN 0.0 ELSE {score} END AS score FROM u" for r, (refused, score) in _role_sql().items())
+    columns = (*numbers, *texts, *dates)
+    pairs = " UNION ALL ".join(f"SELECT '{c}' AS c, '{t}' AS t, count(DISTINCT ({t}, {c})) FILTER (WHERE {t} IS NOT NULL AND {c} IS NOT NULL) * 1.0 / count(DISTINCT {t}) AS mean FROM src" for c in columns for t in numbers if t != c)
+    return f"""src AS (SELECT * FROM {source}), facts AS ({" UNION ALL ".join(facts)}), u AS (SELECT *, d * 1.0 / n AS uq, n * 1.0 / greatest(d, 1) AS grp FROM facts),
+first AS (SELECT c, role, CAST(round(score, 3) AS DOUBLE) AS score FROM ({scored})),
+chosen AS (SELECT c AS t FROM first WHERE role = 'transaction_id' AND score >= 0.5 ORDER BY score DESC, c LIMIT 1),
+pairs AS ({pairs}), candidate AS (SELECT *, {BAND_SQL} FROM (SELECT * FROM first
+  UNION ALL SELECT u.c, 'item_id', CAST(CASE WHEN n = 0 OR kind = 'date' OR d < 2 OR mean <= 1 THEN 0.0 ELSE 0.6 + CASE WHEN {_by_name('item_id').replace('(c,', '(u.c,')} THEN 0.2 ELSE 0.0 END END AS DOUBLE) FROM u JOIN pairs ON pairs.c = u.c JOIN chosen ON chosen.t = pairs.t)),
+best AS (SELECT role, c, score, band FROM candidate WHERE band <> 'low' QUALIFY row_number() OVER (PARTITION BY role ORDER BY score DESC, c) = 1)"""
+
+
+@R.add("WITH " + _detected_sql("lineitem", NUMBERS, OTHERS[:2], OTHERS[2:]) + ' SELECT role, c AS "column", score, band FROM best')
 def assigned_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.detect(read(spark, sf_dir, "lineitem")).assigned_frame().select("role", "column", "score", "band")
 
 
-@R.add()
+NEEDS_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS analysis, '{r}' AS role, '{need}' AS need" for a, (required, optional) in roles.REQUIREMENTS.items() for need, names in (("required", required), ("optional", optional)) for r in names
+)
+
+
+@R.add("WITH " + _detected_sql("orders", ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority"), ("o_orderdate",)) + f""", needs AS ({NEEDS_SQL})
+SELECT analysis, role, need, coalesce(c, '') AS resolved, NOT bool_or(need = 'required' AND c IS NULL) OVER (PARTITION BY analysis) AS applicable FROM needs LEFT JOIN best USING (role)""")
 def analysis_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(roles.applicability(roles.detect(read(spark, sf_dir, "orders"))).select("analysis", "role", "need", "resolved", "applicable"), resolved="")
 
@@ -343,7 +405,9 @@ def confirmed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assigned_frame().where(F.col("role").isin("entity_id", "event_date")).select("role", "column", "band")
 
 
-@R.add()
+@R.add("WITH " + _detected_sql("(SELECT p_partkey, p_retailprice AS unit_price, CAST(p_size AS DOUBLE) + 0.5 AS weight_number FROM part)", ("p_partkey", "unit_price", "weight_number"), (), ()) + f"""
+SELECT c AS "column", role, score FROM candidate WHERE role = 'quantity' AND band = 'low' AND (SELECT c FROM best WHERE role = 'monetary') = 'unit_price' AND NOT EXISTS (FROM best WHERE role = 'quantity')
+ORDER BY NOT {_by_name("quantity")}, score DESC, c LIMIT 3""")
 def quantity_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit price without a quantity: which columns come closest."""
     parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("unit_price"), F.col("p_size").cast("double").alias("weight_number"))
