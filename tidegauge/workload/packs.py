@@ -117,15 +117,15 @@ def adset_fatigue_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _band_sql(column: str, label: str) -> str:
-    return f"""SELECT 'spend_concentration' AS rule, 'key_value' AS severity, '{label} share of band A' AS metric, round_even(sum(x) / any_value(total), 6) AS observed, count(*) AS campaigns FROM (
-    SELECT x, sum(x) OVER () AS total, row_number() OVER w AS i, sum(x) OVER (ORDER BY x DESC, campaign ROWS UNBOUNDED PRECEDING) / sum(x) OVER () AS cum FROM (SELECT campaign, sum({column}) AS x FROM f GROUP BY 1) WINDOW w AS (ORDER BY x DESC, campaign))
+    return f"""SELECT 'spend_concentration' AS rule, 'key_value' AS severity, '{label} share of band A' AS metric, array_to_string(list(campaign ORDER BY x DESC, campaign)[1:10], ', ') AS scope, round_even(sum(x) / any_value(total), 6) AS observed, count(*) AS campaigns FROM (
+    SELECT campaign, x, sum(x) OVER () AS total, row_number() OVER w AS i, sum(x) OVER (ORDER BY x DESC, campaign ROWS UNBOUNDED PRECEDING) / sum(x) OVER () AS cum FROM (SELECT campaign, sum({column}) AS x FROM f GROUP BY 1) WINDOW w AS (ORDER BY x DESC, campaign))
     WHERE i = 1 OR cum <= 0.8"""
 
 
 @R.add(AD_SQL + " " + _band_sql("spend", "spend") + " UNION ALL " + _band_sql("value", "return"))
 def spend_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = marketing.spend_concentration(prepared(spark, sf_dir), CONFIG)
-    return findings.select("rule", "severity", "metric", "observed", F.col("observations").alias("campaigns"))
+    return findings.select("rule", "severity", "metric", "scope", "observed", F.col("observations").alias("campaigns"))
 
 
 @R.add(AD_SQL + """, c AS (SELECT campaign, avg(cpa) AS cpa, avg(roas) AS roas FROM f GROUP BY 1), m AS (SELECT quantile_cont(cpa, 0.5) AS mc, quantile_cont(roas, 0.5) AS mr FROM c)
@@ -135,14 +135,23 @@ def adset_efficiency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad_rule(spark, sf_dir, marketing.adset_efficiency_rank, 3)
 
 
-@R.add()
+def _all_rules_sql(names: tuple[str, ...], columns: str) -> str:
+    """What the rules' own SQL finds, put together."""
+    return " UNION ALL ".join(f"SELECT {columns}, scope FROM ({R.oracles[name]})" for name in names)
+
+
+AD_RULES = ("account_totals", "cpa_above_baseline", "ctr_decline", "frequency_fatigue", "budget_mispacing", "roas_below_target", "adset_underperforming",
+            "adset_period_movement", "adset_fatigue_trend", "spend_concentration", "adset_efficiency_rank")
+
+
+@R.add(_all_rules_sql(AD_RULES, "rule, severity, metric"))
 def marketing_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles detected from the export itself, then every rule."""
     detection = roles.detect(advertising(spark, sf_dir))
     verdict = marketing.qualification(detection)
     frame = marketing.prepare(advertising(spark, sf_dir), detection.assigned if verdict.applies else AD_ROLES, CONFIG).frame
     findings, _ = marketing.run(frame, CONFIG)
-    return findings.select("finding_id", "rule", "severity", "metric", "scope")
+    return filled(findings.select("rule", "severity", "metric", "scope"), scope="")
 
 
 @R.add(AD_SQL + " SELECT strftime(day, '%Y-%m-%d') AS day, round_even(sum(spend), 2) AS figure FROM f GROUP BY 1")
@@ -251,13 +260,16 @@ def high_yield_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crop_rule(spark, sf_dir, agriculture.high_yield_variance, 6)
 
 
-@R.add()
+CROP_RULES = ("season_totals", "yield_collapse", "production_drop", "area_fall", "rainfall_outside_range", "below_median_yield", "high_yield_variance")
+
+
+@R.add(_all_rules_sql(CROP_RULES, "rule, metric"))
 def agriculture_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     detection = roles.detect(harvests(spark, sf_dir))
     verdict = agriculture.qualification(detection)
     frame = agriculture.prepare(harvests(spark, sf_dir), detection.assigned if verdict.applies else CROP_ROLES, CROP_CONFIG).frame
     findings, _ = agriculture.run(frame, CROP_CONFIG)
-    return findings.select("finding_id", "rule", "severity", "metric", "scope")
+    return filled(findings.select("rule", "metric", "scope"), scope="")
 
 
 @R.add(CROP_SQL + " SELECT year, round_even(avg(yield), 3) AS yield FROM f GROUP BY 1")
