@@ -438,11 +438,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids last). Rows without words are components of their own unless they are equal in id."""
-    # rows are told apart by id and text; what is equal in both is one document
-    named = docs.withColumn("jaccard_row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")))
-    found = settle(near_duplicates(named, "jaccard_row", text_col, k, percent))
+    # rows are told apart by id and text; what is equal in both is one document. The row itself travels packed, so its columns' names are free
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("jaccard_doc"), key.alias("jaccard_row"), F.col(text_col).alias("jaccard_text"))
+    found = settle(near_duplicates(named, "jaccard_row", "jaccard_text", k, percent))
     kept = found.where(F.col("jaccard_row") == F.col("component_id")).groupBy("jaccard_row").agg(F.count("*").alias("times"))
     out = named.join(kept.select("jaccard_row"), "jaccard_row", "left_semi")
     if kept.where("times > 1").limit(1).count():
         out = out.dropDuplicates(["jaccard_row"])
-    return out.select(*docs.columns)
+    return out.select("jaccard_doc.*")

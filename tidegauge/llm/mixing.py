@@ -37,12 +37,12 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds the source as a key, the size, and a number that is fixed for each row."""
-    return docs.withColumns({
-        "mix_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(NULL_MARK)), "mix_size": words_in(F.col(text_col)),
-        "mix_hash": F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), 64 - _HASH_BITS),
-    })
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *kept: Column) -> DataFrame:
+    """``kept``, the source as a key, the size, and a number that is fixed for each row; all read from the columns of ``docs`` as they are, whatever their names."""
+    return docs.select(
+        *kept, F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(NULL_MARK)).alias("mix_key"), words_in(F.col(text_col)).alias("mix_size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), 64 - _HASH_BITS).alias("mix_hash"),
+    )
 
 
 def targets(sources: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -129,7 +129,7 @@ def _turn(cap: float) -> Column:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(measured rows, one row per source with everything that fixes its documents' copies)."""
-    rows = settle(_measured(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).select(F.col(id_col).alias("id"), "mix_key", "mix_size", "mix_hash"))
+    rows = settle(_measured(docs, id_col, text_col, source_col, F.col(id_col).alias("id")))
     counts = settle(rows.groupBy("mix_key", "mix_size").agg(F.count("*").alias("n")))
     sources = counts.groupBy("mix_key").agg(F.sum(F.col("mix_size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
     sources = balance(counts, targets(sources, cap, weights).select("mix_key", "size", "n", "target"), cap)
@@ -190,6 +190,6 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; nothing but the source's few numbers is joined to the texts."""
     _, sources = plan(docs, id_col, text_col, source_col, cap, weights)
-    packed = _measured(docs, id_col, text_col, source_col).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), "mix_key", "mix_size", "mix_hash")
+    packed = _measured(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
     copies = _with_source(packed, sources).withColumn("copies", _copies(cap))
     return copies.where("copies > 0").select("mix_row", F.explode(F.expr("sequence(1L, copies)")).alias("mix_copy")).select("mix_row.*")

@@ -1,14 +1,15 @@
 """Personal data by boosted candidates.
 
 Exact shapes give the base spans. Generators with looser shapes propose further spans, which may overlap. Gradient-boosted trees score every proposal from its
-format (length, digits, groups, separators, variety) and its context (characters beside it, words before it). They learn from the shapes
-themselves: proposals that a check accepts (or, for secrets, that stand quoted after an assignment) against all others. For each kind the least
+format (length, digits, groups, separators, variety) and its context (characters beside it, words before it). They learn from checks
+outside the shapes of the generators: octets, Luhn's sum, an address once its written-out signs are put back, a number announced as a phone's, a secret
+assigned to a name; all other proposals stand against these. For each kind the least
 probability at which proposals set aside from the fitting reach the wanted precision is its threshold. Base spans always stay.
 
 Only fitting uses a sample: about ``sample`` proposals, dealt evenly over kinds and labels, drawn by hash and weighed by how many they stand for.
 Everything else, the thresholds included, reads all proposals of all whole texts; a text's proposals are numbered by the row they come from, so a frequent text or id is no hot key.
 
-A null or empty text has no spans; null ids and repeated rows are rows like others; without proposals of both kinds of label only base spans
+A null or empty text has no spans, a very long number is read once; of overlapping proposals the likeliest stays, of equally likely ones the first, then the longest; null ids and repeated rows are rows like others; without proposals of both kinds of label only base spans
 are returned; an empty table gives an empty table; other columns are ignored (``redact`` keeps them).
 """
 
@@ -43,7 +44,15 @@ _LOOSE_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\])\s?[A-Za-
 _LOOSE_NUMBER = re.compile(r"\+?\(?[0-9][0-9 ().-]{6,30}[0-9]")
 _LOOSE_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGN = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|key|auth)\s*[=:]\s*[\"']$", re.I)
+_SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|key|auth)"
+_ASSIGN = re.compile(_SECRET_WORD + r"\s{0,4}[=:]\s{0,4}[\"']?$", re.I)
+_ASSIGNED = re.compile(_SECRET_WORD + r"\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>(){}\[\],;]{6,})", re.I)
+
+# What the proposals beyond the exact shapes are judged by
+_AT, _DOT = re.compile(r"\s?(?:\(at\)|\[at\])\s?", re.I), re.compile(r"\s?(?:\(dot\)|\[dot\])\s?", re.I)
+_PLAIN_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_CALLED = re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax)\b[^0-9+]{0,12}$", re.I)
+_GROUPS = re.compile(r"\+?(?:\([0-9]{1,4}\)|[0-9]{2,5})(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,5}))*")
 
 TREES, DEPTH = 10, 3
 SAMPLE = 20_000
@@ -107,8 +116,24 @@ def _features(text: str, start: int, end: int, kind: int) -> list[float]:
 N_FEATURES = 29
 
 
+def _checked(text: str, start: int, kind: int, end: int) -> bool:
+    """Whether a proposal that no exact shape accepts is personal data all the same, told by what the trees are not shown as such.
+
+    An address must read as one once its written-out signs are put back (a sign with blanks beside it is prose), a number must be announced as a phone's and be grouped
+    as one, a secret must be assigned and mix letters with digits.
+    """
+    span, before = text[start:end], text[max(0, start - CONTEXT) : start]
+    if kind == 0:
+        return _PLAIN_MAIL.fullmatch(_DOT.sub(".", _AT.sub("@", span))) is not None
+    if kind == 3:
+        return bool(_CALLED.search(before) and _GROUPS.fullmatch(span)) and 7 <= sum(c.isdigit() for c in span) <= 15
+    if kind == 4:
+        return bool(_ASSIGN.search(before)) and any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
+    return False
+
+
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, kind, end, label, features): everything that any generator proposes; the label is 1 where a check accepts it."""
+    """(start, kind, end, label, features): everything that any generator proposes; the label is 1 where an exact shape or a check accepts it."""
     found = {(s, k, e) for s, k, e in base}
     if "@" in text or "(at)" in text or "[at]" in text:
         found |= {(m.start(), 0, m.end()) for m in _LOOSE_MAIL.finditer(text)}
@@ -117,11 +142,11 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         found |= {(m.start(), 2, m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 12}
         found |= {(m.start(), 3, m.end()) for m in _LOOSE_NUMBER.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 15}
         found |= {(m.start(), 4, m.end()) for m in _LOOSE_SECRET.finditer(text) if _DIGIT.search(m.group())}
+        found |= {(m.start(1), 4, m.end(1)) for m in _ASSIGNED.finditer(text) if _DIGIT.search(m.group(1))}
     held = set(base)
     out = []
     for s, k, e in sorted(found):
-        good = (s, k, e) in held or k == 4 and bool(_ASSIGN.search(text, max(0, s - CONTEXT), s))
-        out.append((s, k, e, float(good), _features(text, s, e, k)))
+        out.append((s, k, e, float((s, k, e) in held or _checked(text, s, k, e)), _features(text, s, e, k)))
     return out
 
 
@@ -213,11 +238,6 @@ def find(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     return found.select("row", "base").join(grouped, "row", "left").select("row", "base", _apart(F.col("base"), F.coalesce("extra", none)).alias("spans"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, kept in the shared folder so that it never changes."""
-    return settle(docs.withColumn("pii_row", F.monotonically_increasing_id()))
-
-
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -236,21 +256,35 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; ``length_col`` is set to the new number of characters."""
-    rows = _numbered(docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = find(rows.select(F.col("pii_row").alias("row"), text.alias("text")), sample, precision).where(F.size("spans") > 0)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), s["start"] - acc["at"]).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.get(names, s["kind"])).otherwise("")
-        return F.struct(F.concat(acc["out"], kept, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    cleaned = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc["out"], F.col(text_col).substr((acc["at"] + 1).cast("int"), F.length(F.col(text_col)))))
-    held = rows.join(found.select(F.col("row").alias("pii_row"), F.col("spans").alias("pii_spans")), "pii_row", "left")
-    new = F.when(F.col("pii_spans").isNotNull(), cleaned).otherwise(F.col(text_col))
-    out = held.withColumn(text_col, new)
-    if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("pii_spans").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    # the row travels packed beside its number, so its columns' names are free; the number is kept in the shared folder and never changes
+    rows = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    text = F.col("doc").getField(text_col)
+    found = find(rows.select("row", F.coalesce(text, F.lit("")).alias("text")), sample, precision).where(F.size("spans") > 0)
+    held = rows.join(found.select("row", "spans"), "row", "left")
+    cleaned = F.arrow_udf(_masked, "string")(text, F.col("spans"))
+    hit = F.col("spans").isNotNull()
+    held = held.withColumn("cleaned", F.when(hit, cleaned).otherwise(text))
+
+    def value(c: str) -> Column:
+        if c == text_col:
+            return F.col("cleaned")
+        old = F.col("doc").getField(c)
+        return F.when(hit, F.length("cleaned")).otherwise(old).cast(docs.schema[c].dataType) if c == length_col else old
+
+    return held.select(*[value(c).alias(c) for c in docs.columns])
+
+
+def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Each text with its spans replaced by their kind; of overlapping spans the later ones only lengthen the cut. One walk along the text."""
+    out = []
+    for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+        if text is None or not found:
+            out.append(text)
+            continue
+        parts, at = [], 0
+        for s in found:
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
+            at = max(at, s["end"])
+        out.append("".join(parts) + text[at:])
+    return pa.array(out, pa.string())
