@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tidegauge.llm import decontaminate, jaccard_join, mixing, pii, toxicity
+from tidegauge.llm import decontaminate, jaccard_join, licenses, mixing, pii, toxicity
 from tests.llm.test_operators import DOC, corpus, frame
 
 CLASHING = DOC + ", row long, spans string, doc string, text_ string, score double, mix_key string, mix_size long, mix_hash long, mix_row string, jaccard_row string, jaccard_doc string, jaccard_text string, pii_row long, pii_spans string, id long, key string, size long, copies long, target double"
@@ -132,3 +132,47 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         took[i % 3] += taken[i] * len((t or "").split())
     total = sum(sizes.values())
     assert all(abs(took[s] - min(3 * sizes[s], total * (s + 1) / 6)) < 0.1 * total for s in sizes)
+
+
+def covered_by_hand(words, template, slack=3, cover=0.8):
+    """Most of a template's three-word runs within a stretch of the text of about its length."""
+    runs = {" ".join(template[i : i + 3]): i for i in range(len(template) - 2)}
+    best, size = 0, len(template) + 2 * slack
+    for at in range(max(len(words) - 2, 0)):
+        seen = {runs[g] for g in (" ".join(words[j : j + 3]) for j in range(at, min(at + size, len(words)) - 2)) if g in runs}
+        best = max(best, len(seen))
+    return best / len(runs)
+
+
+def test_license_labels_of_planted_notices(spark):
+    """Whole notices and notices with a changed, missing or added word, in prose; a notice that differs in a word gets its own label only."""
+    draw = random.Random(9)
+    prose = lambda n: [draw.choice(["alpha", "beta", "gamma", "delta", "of", "the", "a"]) for _ in range(n)]
+    texts, want = [], []
+    for label, text in licenses.TEMPLATES:
+        for edit in (None, "change", "drop", "add"):
+            words = text.split()
+            if edit and len(words) < 15:
+                continue
+            at = len(words) // 2
+            words[at : at + (edit in ("change", "drop"))] = [] if edit in (None, "drop") and edit else ["word"] if edit else words[at:at]
+            texts.append(" ".join([*prose(30), *words, *prose(30)]))
+            want.append(label)
+    texts += [" ".join(prose(200)), "cc by nc " * 500, "under the mit license and apache license version 2", ""]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, label in enumerate(want):
+        # what a shorter notice within says may stand beside it only under its own words
+        assert label in got[i].labels.split(","), (texts[i], got[i].labels)
+        others = set(got[i].labels.split(",")) - {label}
+        assert all(any(covered_by_hand(texts[i].split(), t.split()) >= 0.8 for name, t in (*licenses.TEMPLATES, *licenses.PHRASES) if name == o) for o in others)
+    n = len(want)
+    assert got[n].labels == "" and got[n].score < 0.8
+    assert (got[n + 1].n_base, got[n + 1].base_labels, got[n + 1].first_word, got[n + 1].last_word) == (500, "cc-by-nc", 0, 1497)
+    assert got[n + 2].base_labels == "apache-2,mit" and (got[n + 3].labels, got[n + 3].n_words) == ("", 0)
+
+
+def test_a_lesser_license_is_not_the_general_one(spark):
+    text = "this library is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published"
+    plain = text.replace("Lesser ", "").replace("library", "program")
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, [text, plain, text + " . " + plain])).collect()}
+    assert got == {0: "lgpl", 1: "gpl", 2: "gpl,lgpl"}

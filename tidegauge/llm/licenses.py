@@ -1,11 +1,12 @@
 """License scans by diagonal voting.
 
 All rolling three-word hashes of every text are joined by Spark to the places where they stand in the license templates. A hit votes for the
-diagonal (place in the text minus place in the template). Votes are summed per diagonal, neighbouring diagonals of a template are merged into
-one span (a few words may be missing or added), and a span counts only if it covers enough of the template's hashes. A diagonal that holds
-all of a phrase's hashes is a place where its words stand consecutively.
+diagonal (place in the text minus place in the template). Votes are collected per diagonal, neighbouring diagonals of a template are merged into
+one span (a few words may be missing or added), and a span is verified by the template's places it holds, each counted once: it counts only if these are enough. Of
+spans that share words the one that holds most of its template wins, so a notice is not also taken for one that differs in a word. A diagonal that holds
+all of a phrase's hashes is a place where its words stand consecutively; these places always count.
 
-Null and empty texts have no words and no labels; null ids and repeated rows are returned as they come; an empty table gives an empty table;
+Null and empty texts have no words and no labels; of equally good spans that of the template listed first stays; null ids and repeated rows are returned as they come; an empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -23,6 +24,8 @@ GRAM = 3
 SLACK = 3
 #: Share of a template's hashes that a span must cover.
 COVER = 0.8
+#: Template places in one number of a bit set.
+PLACES = 60
 #: A template list of at most this many hashes is broadcast (24 bytes each); a longer one is joined as Spark decides.
 BROADCAST_GRAMS = 100_000
 
@@ -38,6 +41,9 @@ TEMPLATES = (
     ("gpl", "licensed under the gnu general public license version"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "gnu lesser general public license version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
@@ -92,30 +98,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     hits = each.join(F.broadcast(places) if size <= BROADCAST_GRAMS else places, "gram").select(
         "id", "key", "n_words", "template", "label", "base", "n_grams", "at", (F.col("pos") - 1 - F.col("at")).cast("long").alias("diagonal"),
     )
-    # all that follows stays within one text, so it needs no further shuffle
-    text_of = ["id", "key", "n_words"]
-    of = [*text_of, "template", "label", "base", "n_grams"]
-    votes = hits.repartition("id", "key").groupBy(*of, "diagonal").agg(
-        F.count_distinct("at").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows"),
-    )
+    of = ["id", "key", "n_words", "template", "label", "base", "n_grams"]
+    text_of = of[:3]
+    sets = range(1 + max(r["at"] for r in places.agg(F.max("at").alias("at")).collect()) // PLACES)
+    held = lambda i: F.when(F.floor(F.col("at") / PLACES) == i, F.expr(f"shiftleft(1L, at % {PLACES})")).otherwise(F.lit(0).cast("long"))
+    many = lambda prefix: sum((F.bit_count(f"{prefix}{i}") for i in sets), F.lit(0))
+    # summed where the hits are, so copies of a text meet as one row a task
+    votes = hits.groupBy(*of, "diagonal").agg(*[F.bit_or(held(i)).alias(f"b{i}") for i in sets], F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows"))
+    votes = votes.withColumn("votes", many("b"))
     along = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     cut = votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(along)).withColumn(
         "span", F.sum(F.when(F.col("gap") <= slack, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)),
     )
     exact = (F.col("votes") == F.col("n_grams")) & F.col("base")
     spans = cut.groupBy(*of, "span").agg(
-        F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("covered"), F.min(F.col("diagonal") + F.col("low")).alias("from"),
+        *[F.bit_or(f"b{i}").alias(f"s{i}") for i in sets], F.min(F.col("diagonal") + F.col("low")).alias("from"),
         (F.max(F.col("diagonal") + F.col("high")) + gram).alias("until"), F.count_if(exact).alias("places"), F.min(F.when(exact, F.col("diagonal"))).alias("first"),
         F.max(F.when(exact, F.col("diagonal"))).alias("last"), F.max("rows").alias("rows"),
-    )
+    ).withColumn("got", many("s")).withColumn("covered", F.col("got") / F.col("n_grams"))
     is_text = F.col("template") < 0
     good = ~is_text & ((F.col("covered") >= cover) & ((F.col("until") - F.col("from")) <= F.col("n_grams") + gram - 1 + 2 * slack) | (F.col("places") > 0))
+    # spans that share words form an island; its best one stays
+    before = Window.partitionBy("id", "key").orderBy("from", "until", "template", "span")
+    reach = F.max(F.when(good, F.col("until"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("fresh", F.when(reach.isNull() | (F.col("from") >= reach), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.when(good, F.struct("got", "covered", -F.col("template")))
+    spans = apart.withColumn("wins", good & ((F.col("places") > 0) | (rank == F.max(rank).over(Window.partitionBy("id", "key", "island")))))
     found = spans.groupBy(*text_of).agg(
         F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(good, F.col("label")))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("wins"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(~is_text, F.when(F.col("places") > 0, F.lit(1.0)).otherwise(F.col("covered"))).otherwise(F.lit(0.0))).alias("score"),
-        F.array_sort(F.collect_list(F.when(good, F.struct("from", "until", "label")))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("wins"), F.struct("from", "until", "label")))).alias("spans"),
         F.max(F.when(is_text, F.col("rows"))).alias("copies"),
     )
     return found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(
