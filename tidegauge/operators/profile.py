@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +66,36 @@ def column_summary(df: DataFrame) -> DataFrame:
 def seeded_sample(df: DataFrame, columns: list[str], size: int = SAMPLE_VALUES, seed: int = SAMPLE_SEED) -> DataFrame:
     """Up to ``size`` values per numeric column; the same ones whatever the partitioning.
 
-    Distinct values enter with their multiplicity: copy i of a value is ordered by hash(value, i), and
-    only the first ``size`` copies of a value can ever be needed.
+    A row's place in a column's order is a hash of the row, the column and the seed. Every task keeps the ``size`` smallest of each column while it reads, so
+    no more than that leaves it, and of all these the smallest are kept again. Rows of one hash are equal rows, whose values are equal too.
     """
-    copies = stats.number_counts(df, columns).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(size)).cast("int")))
-    )
-    ranked = Window.partitionBy("column").orderBy(F.xxhash64("value", "copy", F.lit(seed)), "value", "copy")
-    return copies.withColumn("position", F.row_number().over(ranked)).where(F.col("position") <= size).select(
-        "column", "value"
-    )
+    if not columns:
+        return rows(df.sparkSession, [], "column string, value double")
+    whole = F.xxhash64(F.lit(seed), *[stats._hashable(df, c) for c in df.columns])
+    numbers = df.select(whole.alias("h"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.uint64), np.zeros(0)) for _ in columns]
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            for i in range(len(columns)):
+                v = batch.column(i + 1).to_numpy(zero_copy_only=False)
+                there = ~np.isnan(v)
+                own = (h[there] ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                own ^= own >> np.uint64(29)
+                own, v = np.concatenate([held[i][0], own]), np.concatenate([held[i][1], v[there]])
+                first = np.lexsort((v, own))[:size]
+                held[i] = own[first], v[first]
+        for i, (own, v) in enumerate(held):
+            if len(v):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(own.view(np.int64)), pa.array(v)], ["i", "h", "value"])
+
+    found = numbers.mapInArrow(smallest, "i int, h long, value double")
+    # unsigned order, as in the tasks
+    order = Window.partitionBy("i").orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), "value")
+    names = F.array(*[F.lit(c) for c in columns])
+    kept = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= size)
+    return kept.select(F.get(names, F.col("i")).alias("column"), "value")
 
 
 def looks_like_identifier(rows, distinct):

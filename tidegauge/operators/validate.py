@@ -7,8 +7,11 @@ columns); everything after that works on a few rows per column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,27 +163,15 @@ def psi_scores(df: DataFrame, baseline: Baseline, columns: list[str]) -> DataFra
 def ks_scores(df: DataFrame, baseline: Baseline, columns: list[str]) -> DataFrame:
     """(column, score): two-sample Kolmogorov-Smirnov statistic against the stored sample.
 
-    Only the share of current values below, and at or below, each sample point matters. Each value is
-    placed among the (at most 1000) sorted sample points of its column and counted per place.
+    Only the share of current values below, and at or below, each sample point matters. A task places each value among the (at most 1000) sorted sample points of
+    its column by bisection, for all columns in one reading, and gives out one count per place.
     """
     points = (
         baseline.sample.where(F.col("column").isin(columns))
         .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("s"))
     )
-    sample = {r["column"]: r["s"] for r in points.collect()}
-    placed = []
-    for c in sample:
-        distinct = sorted(set(sample[c]))
-        # 2*i for a value strictly before point i, 2*i+1 for a value equal to it
-        value = F.col(c).cast("double")
-        literal = F.array(*[F.lit(float(v)) for v in distinct])
-        below = F.array_position(literal, value)
-        place = F.when(below > 0, 2 * (below - 1) + 1).otherwise(2 * _points_below(literal, value))
-        placed.append(F.when(value.isNotNull(), place.cast("bigint")).alias(c))
-    counted = (
-        df.select(*placed).unpivot([], list(sample), "column", "place").where("place is not null")
-        .groupBy("column", "place").agg(F.count("*").alias("n"))
-    )
+    sample = {r["column"]: r["s"] for r in points.collect()}  # at most a thousand values a column
+    counted = _places(df, sample).groupBy("column", "place").agg(F.sum("n").alias("n"))
     steps = []
     for c, values in sample.items():
         distinct = sorted(set(values))
@@ -203,21 +194,27 @@ def ks_scores(df: DataFrame, baseline: Baseline, columns: list[str]) -> DataFram
     return joined.groupBy("column").agg(F.max(gap).alias("score"))
 
 
-def _points_below(sorted_points: Column, value: Column) -> Column:
-    """How many of the sorted points lie below the value: ten halving steps."""
-    size = F.size(sorted_points)
-    step = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = (acc["lo"] < acc["hi"]) & (F.element_at(sorted_points, F.least(mid + 1, size)) < value)
-        return F.struct(
-            F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    steps = F.sequence(F.lit(1), F.lit(11))
-    return F.aggregate(steps, step, halve)["lo"]
+def _places(df: DataFrame, sample: dict[str, list[float]]) -> DataFrame:
+    """(column, place, n): 2 * i for a value strictly before sample point i, 2 * i + 1 for a value equal to it; one row a task, column and place."""
+    columns = list(sample)
+    grids = [np.unique(np.array(sample[c], float)) for c in columns]
+    numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(2 * len(g) + 1, np.int64) for g in grids]
+        for batch in batches:
+            for i, grid in enumerate(grids):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                v = v[~np.isnan(v)]
+                low = np.searchsorted(grid, v, "left")
+                equal = np.append(grid, np.nan)[low] == v
+                counts[i] += np.bincount(2 * low + equal, minlength=len(counts[i]))
+        for i, held in enumerate(counts):
+            at = np.flatnonzero(held)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([columns[i]] * len(at)), pa.array(at), pa.array(held[at])], ["column", "place", "n"])
+
+    return numbers.mapInArrow(place, "column string, place long, n long")
 
 
 def drift_rules(df: DataFrame, pair: DataFrame, baseline: Baseline, rules: Rules) -> DataFrame:

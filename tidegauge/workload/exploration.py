@@ -249,15 +249,18 @@ def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- roles -------------------------------------------------------------------------------------------
 
 ROLE_TABLES = {
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"),
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
 }
+DATES = ("o_orderdate", "l_shipdate")
 TEXTS = ("o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "c_name", "c_mktsegment")
 
 
 def _facts_sql(table: str, column: str) -> str:
-    if column in TEXTS:
+    if column in DATES:  # neither an identifier nor a number: refused like a measure that is not above zero
+        shape = "CAST(1 AS DOUBLE) AS fractions, CAST(0 AS DOUBLE) AS negatives, CAST(0 AS DOUBLE) AS high, CAST(0 AS DOUBLE) AS skew, true AS numeric"
+    elif column in TEXTS:
         shape = "CAST(0 AS DOUBLE) AS fractions, CAST(0 AS DOUBLE) AS negatives, CAST(0 AS DOUBLE) AS high, CAST(0 AS DOUBLE) AS skew, false AS numeric"
     else:
         shape = f"CAST(count(*) FILTER (WHERE {column} <> floor({column})) AS DOUBLE), CAST(count(*) FILTER (WHERE {column} < 0) AS DOUBLE), CAST(max({column}) AS DOUBLE), CAST(skewness({column}) AS DOUBLE), true"
@@ -305,7 +308,8 @@ ITEM_COLUMNS = [c for c in ROLE_TABLES["lineitem"] if c != "l_orderkey"]
 
 @R.add(" UNION ALL ".join(
     f"""SELECT '{c}' AS c, CASE WHEN (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, {c} FROM lineitem)) * 1.0 / (SELECT count(DISTINCT l_orderkey) FROM lineitem) <= 1 THEN CAST(0 AS DOUBLE)
-    ELSE CAST(0.6 + CASE WHEN regexp_matches('{c}', '(?i){roles.NAME_PATTERNS["item_id"]}') THEN 0.2 ELSE 0.0 END AS DOUBLE) END AS score""" for c in ITEM_COLUMNS))
+    ELSE CAST(0.6 + CASE WHEN regexp_matches('{c}', '(?i){roles.NAME_PATTERNS["item_id"]}') THEN 0.2 ELSE 0.0 END AS DOUBLE) END AS score""" for c in ITEM_COLUMNS if c not in DATES)
+    + " UNION ALL SELECT 'l_shipdate', CAST(0 AS DOUBLE)")
 def role_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns with several values per order."""
     found = roles.detect(read(spark, sf_dir, "lineitem").select(*ROLE_TABLES["lineitem"])).candidates

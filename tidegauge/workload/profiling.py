@@ -52,9 +52,12 @@ def _bins_sql(table: str, columns, bins: int) -> str:
     )
 
 
-@R.add(_bins_sql("lineitem", MEASURES, 10))
+NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[c for c in MEASURES])
+
+
+@R.add(_bins_sql("lineitem", NUMBERS, 10))
 def profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram(read(spark, sf_dir, "lineitem"), MEASURES, 10).select("column", "bin", "n")
+    return stats.histogram(read(spark, sf_dir, "lineitem"), NUMBERS, 10).select("column", "bin", "n")
 
 
 def _top_sql(table: str, columns, k: int = 10) -> str:
@@ -77,11 +80,9 @@ def profile_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(read(spark, sf_dir, "customer")).excluded.select("column")
 
 
-@R.add("""SELECT 'l_quantity' AS "column", least(1000, count(l_quantity)) AS sampled, true AS all_known FROM lineitem
-UNION ALL SELECT 'l_extendedprice', least(1000, count(l_extendedprice)), true FROM lineitem
-UNION ALL SELECT 'l_tax', least(1000, count(l_tax)), true FROM lineitem""")
+@R.add(" UNION ALL ".join(f"""SELECT '{c}' AS "column", least(1000, count({c})) AS sampled, true AS all_known FROM lineitem""" for c in NUMBERS))
 def profile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_tax")
+    items = read(spark, sf_dir, "lineitem")
     known = stats.number_counts(items).select("column", "value", F.lit(True).alias("known"))
     return profile(items).sample.join(known, ["column", "value"], "left").groupBy("column").agg(
         F.count("*").alias("sampled"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known")
