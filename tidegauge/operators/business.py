@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numeric import half_even, whole_days
+from tidegauge.operators import kmeans
 from tidegauge.plans import order, stats
 from tidegauge.session import hold, rows, settle
 
@@ -374,35 +375,27 @@ class Segmentation:
 def behavioural_segments(
     features: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), floor: float = 0.25, seed: int = 42, starts: int = 10
 ) -> Segmentation:
-    """k-means on standardised recency, frequency and monetary value; k by silhouette.
+    """k-means on standardised recency, frequency and monetary value; k by silhouette over squared distances.
 
-    Silhouette is the squared-Euclidean one of ``ClusteringEvaluator``.
+    All starts of all k are iterated together (``kmeans.fit``). Clusters are numbered by their centres, the smallest recency first.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
     features = settle(features)
     n = features.count()
     if n < MIN_ENTITIES:
         return Segmentation(None, {}, None, f"entities: {n}, needs {MIN_ENTITIES}")
-    assembled = VectorAssembler(inputCols=list(BEHAVIOUR), outputCol="raw").transform(features)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(assembled).transform(assembled)
-    scaled = settle(scaled.drop("raw"))
-    judge = ClusteringEvaluator()
-    models, scores = {}, {}
-    for k in (k for k in ks if k < n):
-        fitted = [KMeans(k=k, seed=seed + i).fit(scaled) for i in range(starts)]
-        model = min(fitted, key=lambda m: m.summary.trainingCost)
-        predicted = model.transform(scaled)
-        if predicted.select("prediction").distinct().count() > 1:
-            models[k], scores[k] = model, judge.evaluate(predicted)
+    spread = features.agg(*[F.struct(F.avg(c).alias("m"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("s")).alias(c) for c in BEHAVIOUR]).first()
+    axes = [f"z_{c}" for c in BEHAVIOUR]
+    scaled = settle(features.withColumns({
+        z: (F.col(c).cast("double") - F.lit(float(spread[c]["m"]))) / F.lit(float(spread[c]["s"])) if spread[c]["s"] else F.lit(0.0) for z, c in zip(axes, BEHAVIOUR)
+    }))
+    found = kmeans.fit(scaled, axes, [k for k in ks if k < n], starts, seed)
+    scores = kmeans.silhouettes(scaled, axes, found)
     if not scores:
         return Segmentation(None, {}, None, "all entities fall into one cluster")
     best = max(sorted(scores), key=scores.get)
     if scores[best] < floor:
         return Segmentation(None, scores, best, f"silhouette {scores[best]:.3f} (k={best}) < {floor}")
-    labelled = models[best].transform(scaled)
+    labelled = kmeans.assign(scaled, axes, found[best])
     value, count = labelled.agg(F.sum("monetary")).scalar(), F.lit(n)
     profile = labelled.groupBy("prediction").agg(
         F.count("*").alias("entity_count"), F.sum("monetary").alias("value"), *[half_even(F.avg(c), 3).alias(f"mean_{c}") for c in BEHAVIOUR]

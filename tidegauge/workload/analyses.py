@@ -165,6 +165,20 @@ def behavioural_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business.behavioural_segments(features(spark, sf_dir)).profile
 
 
+@R.add("""WITH f AS (SELECT c_custkey % 3 AS g, 100.0 * (c_custkey % 3) + abs(c_acctbal) / 1000 AS recency, 5.0 * (c_custkey % 3 = 1)::INT + c_nationkey / 100.0 AS frequency, 1000.0 * (c_custkey % 3) + c_acctbal / 100 AS monetary FROM customer),
+t AS (SELECT g, count(*) AS n, sum(monetary) AS v, avg(recency) AS r, avg(frequency) AS q FROM f GROUP BY 1)
+SELECT 'cluster ' || (row_number() OVER (ORDER BY r) - 1) AS segment, n AS entity_count, round_even(v, 2) AS value_total, round_even(r, 3) AS mean_recency_days, round_even(q, 3) AS mean_frequency FROM t""")
+def planted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups of customers, far apart: the segments are these groups, and three is the number chosen."""
+    g = F.col("c_custkey") % 3
+    people = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("entity"), (100.0 * g + F.abs("c_acctbal") / 1000).alias("recency_days"), (5.0 * (g == 1).cast("int") + F.col("c_nationkey") / 100.0).alias("frequency"),
+        (1000.0 * g + F.col("c_acctbal") / 100).alias("monetary"),
+    )
+    found = business.behavioural_segments(people).profile
+    return found.select("segment", "entity_count", rounded("value_total", 2).alias("value_total"), *[rounded(c, 3).alias(c) for c in ("mean_recency_days", "mean_frequency")])
+
+
 BASKET_SQL = """WITH p AS (SELECT DISTINCT l_orderkey AS t, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT count(DISTINCT t) AS n FROM p), one AS (SELECT i, count(*) AS n FROM p GROUP BY 1),
 two AS (SELECT a.i AS a, b.i AS b, count(*) AS n FROM p a JOIN p b ON a.t = b.t AND a.i < b.i GROUP BY 1, 2)"""
