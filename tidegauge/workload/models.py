@@ -157,4 +157,29 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(outcome.scores.withColumn("status", F.lit(outcome.status)).withColumn("winner", F.lit(outcome.winner)), winner="")
 
 
+@R.add("""WITH f AS (SELECT CAST(c_custkey % 17 AS DOUBLE) AS a, c_acctbal AS b, 40.0 * (c_custkey % 17) + c_acctbal / 20 AS y FROM customer),
+m AS (SELECT covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, stddev_pop(y) AS spread FROM f)
+SELECT 'turn' AS "column", round_even(abs((ay * bb - byy * ab) / (aa * bb - ab * ab)), 4) AS association, spread > 0 AS beats_baseline, 'linear_regression' AS winner, 'answered' AS status FROM m
+UNION ALL SELECT 'c_acctbal', round_even(abs((byy * aa - ay * ab) / (aa * bb - ab * ab)), 4), spread > 0, 'linear_regression', 'answered' FROM m""")
+def planted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that is linear in two columns: the linear model wins, beats the mean, and its associations are the coefficients that least squares gives."""
+    turn = (F.col("c_custkey") % 17).cast("double")
+    people = read(spark, sf_dir, "customer").select(turn.alias("turn"), "c_acctbal", (40.0 * turn + F.col("c_acctbal") / 20).alias("y"))
+    outcome = modelling.predict(people, "y", config=modelling.Config(trees=20, depth=10))
+    beats = F.lit(outcome.notes["score"] < outcome.notes["best_baseline"])
+    return outcome.associations.select("column", rounded("association", 4).alias("association"), beats.alias("beats_baseline"), F.lit(outcome.winner).alias("winner"), F.lit(outcome.status).alias("status"))
+
+
+@R.add("""WITH f AS (SELECT CASE WHEN c_custkey % 17 >= 8 THEN 'late' ELSE 'early' END AS label FROM customer), n AS (SELECT label, count(*) AS n FROM f GROUP BY 1)
+SELECT label, n, round_even(n * 1.0 / (SELECT sum(n) FROM n), 6) AS share, (SELECT max(n) * 1.0 / sum(n) FROM n) <= 0.9 AS modelled, 'answered' AS status, true AS learned FROM n""")
+def planted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that a cut in one column tells: the classes, that they are balanced enough to model, and that held-out rows are told apart."""
+    turn = (F.col("c_custkey") % 17).cast("double")
+    people = read(spark, sf_dir, "customer").select(turn.alias("turn"), "c_acctbal", "c_mktsegment", F.when(turn >= 8, "late").otherwise("early").alias("label"))
+    outcome = modelling.predict(people, "label", config=modelling.Config(trees=20, depth=10))
+    known = outcome.classes.select("label", "n", rounded("share").alias("share"))
+    learned = outcome.notes["score"] > 0.95 > outcome.notes["best_baseline"]
+    return known.withColumns({"modelled": F.col("share").isNotNull(), "status": F.lit(outcome.status), "learned": F.lit(learned)})
+
+
 QUERIES, ORACLES = R.queries, R.oracles
