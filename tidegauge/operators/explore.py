@@ -154,7 +154,12 @@ def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cardinality_notes(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    distinct = stats.distinct_counts(stats.text_counts(df))
+    """Text columns whose values are nearly all different. Values are counted by their prints, so no text is moved."""
+    texts = columns_of(df, CATEGORICAL)
+    if not texts:
+        return rows(df.sparkSession, [], "column string, cardinality bigint, row_count bigint, unique_ratio double, note string")
+    present = stats.per_column(df, texts, lambda c: {"non_null": F.count(c)})
+    distinct = present.join(stats.distinct_per_column(df, texts).withColumnRenamed("distinct", "cardinality"), "column")
     ratio = F.col("cardinality") / F.col("non_null")
     return distinct.where((F.col("non_null") >= settings.cardinality_min_rows) & (ratio >= settings.high_cardinality)).select(
         "column", "cardinality", F.col("non_null").alias("row_count"), ratio.alias("unique_ratio"),

@@ -118,7 +118,7 @@ def select_features(df: DataFrame, target: str, moment: str | None = None, near_
             "later": F.coalesce(F.bool_or(later), F.lit(False)),
         }
 
-    distinct = stats.distinct_counts(stats.text_counts(df, columns)).select("column", F.col("cardinality").alias("distinct"))
+    distinct = stats.distinct_per_column(df, columns)
     facts = stats.per_column(df, columns, measures).join(distinct, "column", "left").fillna(0, ["distinct"])
     facts = facts.join(F.broadcast(stats.declared_columns(df).select("column", "position", "kind")), "column")
     share = F.try_divide(F.col("nulls"), F.col("rows"))
