@@ -241,15 +241,15 @@ def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float],
         return {"prior": prior}
     # a group of near copies would make its words look typical: one of each fits
     coded = [_apart([Coded(_spread(t, sample_chars)) for t in texts]) for texts in (toxic, ordinary)]
-    # one half trains the dictionaries, the other weighs and calibrates
-    learn, check = [c[::2] for c in coded], [c[1::2] or c for c in coded]
-    plain = [w for t in learn[1] for w in t.windows()]
-    model = {"prior": prior, "ordinary": _dictionary(plain[:: max(1, len(plain) // 20_000)], ORDINARY_BYTES)}
-    marked = _marked(*learn)
-    passages = [p for t in learn[0] for p in t.beginnings(marked)]
-    model["toxic"] = _content(passages, TOXIC_BYTES) if passages else _dictionary([w for t in learn[0] for w in t.windows()], TOXIC_BYTES)
-    meter = Meter(model["ordinary"], model["toxic"])
-    cells = [[meter.cells(t.windows()) for t in texts] for texts in check]
+    # each half is weighed by dictionaries of the other, so that no text is judged by what was learned from itself; the model keeps those of all texts
+    cells: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        learn, check = [c[half::2] or c for c in coded], [c[1 - half :: 2] for c in coded]
+        meter = Meter(*_dictionaries(*learn))
+        for held, texts in zip(cells, check):
+            held += [meter.cells(t.windows()) for t in texts]
+    model = {"prior": prior}
+    model["ordinary"], model["toxic"] = _dictionaries(*coded)
     model["weights"] = _weights(cells, (MOST_TOXIC + 1) * (MOST_ORDINARY + 1))
     found = np.array([evidence(model["weights"][c]) for texts in cells for c in texts])
     label = np.repeat([1.0, 0.0], [len(c) for c in cells])
@@ -259,6 +259,15 @@ def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float],
     return model
 
 
+def _dictionaries(toxic: list[Coded], ordinary: list[Coded]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    plain = [w for t in ordinary for w in t.windows()]
+    marked = _marked(toxic, ordinary)
+    passages = [p for t in toxic for p in t.beginnings(marked)]
+    telling = _content(passages, TOXIC_BYTES) if passages else _dictionary([w for t in toxic for w in t.windows()], TOXIC_BYTES)
+    return _dictionary(plain[:: max(1, len(plain) // 20_000)], ORDINARY_BYTES), telling
+
+
 def _apart(texts: list[Coded]) -> list[Coded]:
     """Texts that do not share half of their smallest run hashes with texts before them; runs are three words, or all words of a shorter text."""
     seen: set[int] = set()
