@@ -21,6 +21,7 @@ rejected; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,8 @@ SAMPLE = 1500
 SAMPLE_CHARS = 20_000
 #: Beginnings that mark toxic passages: characters of the shortest, bytes of the longest, least share of toxic texts, least ratio of their rate to that in ordinary texts.
 ROOT, MOST_BYTES, SHARE, RATIO = 4, 16, 0.01, 5.0
+#: Share of toxic texts from which a beginning counts whatever its first characters say.
+OFTEN = 0.05
 #: Cells of the table: bytes saved by the toxic and by the ordinary dictionary, beyond which nothing is told apart.
 MOST_TOXIC, MOST_ORDINARY, ORDINARY_STEP = 32, 4, 12
 FEW = 20
@@ -149,14 +152,15 @@ def _marked(toxic: list[Coded], ordinary: list[Coded]) -> np.ndarray:
     # one and a half standard deviations on either side, so that rare ones need a clearer ratio
     low, high = np.maximum(times - 1.5 * np.sqrt(times), 0) / words[0], (rest + 1.5 * np.sqrt(rest) + 0.5) / words[1]
     least = min(5, max(2, len(toxic) // 20))
-    marked = keys[(n >= least) & (n >= SHARE * len(toxic)) & (low > RATIO * high)]
-    # a longer beginning counts only where the shortest one tells already: else the dictionary would shorten common words
-    rooted = []
+    telling = (n >= least) & (n >= SHARE * len(toxic)) & (low > RATIO * high)
+    marked = keys[telling]
+    # a longer beginning of a few texts counts only where the shortest one tells already: else the dictionary would shorten common words
+    rooted = [keys[telling & (n >= OFTEN * len(toxic))]]
     for t in toxic:
         at, size, root = t.marks()
         hit = np.isin(t.upto[at], marked) & np.isin(t.upto[at - size + root], marked)
         rooted.append(np.unique(t.upto[at[hit]]))
-    return np.unique(np.concatenate(rooted)) if rooted else marked
+    return np.unique(np.concatenate(rooted))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -218,16 +222,18 @@ def evidence(weights: np.ndarray) -> float:
 
 def _weights(cells: list[np.ndarray], size: int) -> np.ndarray:
     """Log ratio of each cell's share among toxic and ordinary windows. A line (the bytes that the toxic dictionary saves) with few windows is judged
-    together with the lines above it, and a cell with few windows leans on its line."""
+    together with the next lines above it, the last lines no lower than those before them, and a cell with few windows leans on its line."""
     counts = [np.bincount(np.concatenate(c) if len(c) else np.zeros(0, np.int64), minlength=size).reshape(MOST_TOXIC + 1, -1) for c in cells]
     lines = [c.sum(axis=1) for c in counts]
-    out, totals = np.zeros(counts[0].shape), [max(line.sum(), 1) for line in lines]
+    upto = np.concatenate([[0], np.cumsum(lines[0] + lines[1])])
+    out, totals, before = np.zeros(counts[0].shape), [max(line.sum(), 1) for line in lines], -np.inf
     for i in range(len(out)):
-        last = i + 1 if lines[0][i] + lines[1][i] >= FEW else len(out)
+        last = min(max(int(np.searchsorted(upto, upto[i] + FEW)), i + 1), len(out))
         here = [c[i:last].sum(axis=0) for c in counts]
         by_line = np.log(((here[0].sum() + 0.5) / totals[0]) / ((here[1].sum() + 0.5) / totals[1]))
-        if last > i + 1 and i:  # more bytes saved never speak for less
-            by_line = max(by_line, out[i - 1].max())
+        if upto[last] - upto[i] < FEW:
+            by_line = max(by_line, before)
+        before = by_line
         both = (here[0] + here[1] + 1) / (here[0] + here[1] + 1).sum()
         within = [h + FEW * both for h in here]
         out[i] = by_line + np.log((within[0] / within[0].sum()) / (within[1] / within[1].sum()))
@@ -240,7 +246,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float],
     if not toxic or not ordinary:
         return {"prior": prior}
     # a group of near copies would make its words look typical: one of each fits
-    coded = [_apart([Coded(_spread(t, sample_chars)) for t in texts]) for texts in (toxic, ordinary)]
+    # and in an order of their own, so that the halves below do not follow the order of ids
+    coded = [_apart([Coded(_spread(t, sample_chars)) for t in sorted(texts, key=lambda t: (zlib.crc32(t), t))]) for texts in (toxic, ordinary)]
     # each half is weighed by dictionaries of the other, so that no text is judged by what was learned from itself; the model keeps those of all texts
     cells: list[list[np.ndarray]] = [[], []]
     for half in (0, 1):
