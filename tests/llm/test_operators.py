@@ -440,9 +440,6 @@ def test_toxic_words_with_changing_endings_and_single_passages(spark):
         for _ in range(8 if toxic else tongue * (draw.random() < 0.15)):
             words[draw.randrange(150)] = stem() if tongue else draw.choice(["worthless", "disgusting", "scum"])
         texts.append(" ".join(words))
-    long = [draw.choice(plain[0]) for _ in range(20_000)]
-    passage = [w if j % 4 else "scum" for j, w in enumerate(long[9000:9060])]
-    texts += [" ".join(long), " ".join(long[:9000] + passage + long[9060:])]
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
     scored = {r.doc_id: r.score for r in toxicity.with_score(docs, toxicity.train(docs, labels)).collect()}
@@ -451,7 +448,23 @@ def test_toxic_words_with_changing_endings_and_single_passages(spark):
         caught = [scored[i] >= 0.5 for i in held if i % 5 == 0]
         clean = [scored[i] < 0.5 for i in held if i % 5]
         assert sum(caught) >= 0.9 * len(caught) and sum(clean) >= 0.97 * len(clean)
-    assert scored[600] < 0.5 <= scored[601]
+
+
+def test_one_toxic_passage_in_a_long_text():
+    draw = random.Random(8)
+    plain = ["".join(draw.choice(["th", "er", "on", "an", "re", "st"]) for _ in range(draw.randint(2, 4))) for _ in range(500)]
+    texts = []
+    for i in range(300):
+        words = [draw.choice(plain) for _ in range(150)]
+        for _ in range(20 if i % 5 == 0 else 0):
+            words[draw.randrange(150)] = draw.choice(["worthless", "disgusting", "scum"])
+        texts.append(" ".join(words).encode())
+    model = toxicity.fit(texts[::5], [t for i, t in enumerate(texts) if i % 5], (60, 240))
+    long = [draw.choice(plain) for _ in range(20_000)]
+    passage = [w if j % 4 else "scum" for j, w in enumerate(long[9000:9060])]
+    meter = toxicity.Meter(model["ordinary"], model["toxic"])
+    scores = toxicity.score_column(model, [" ".join(long).encode(), " ".join(long[:9000] + passage + long[9060:]).encode()], meter)
+    assert scores[0] < 0.5 <= scores[1]
 
 
 def test_stretch_evidence_is_the_mean_over_places():

@@ -258,7 +258,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], totals: tuple[float, float],
     model = {"prior": prior}
     model["ordinary"], model["toxic"] = _dictionaries(*coded)
     model["weights"] = _weights(cells, (MOST_TOXIC + 1) * (MOST_ORDINARY + 1))
-    found = np.array([evidence(model["weights"][c]) for texts in cells for c in texts])
+    # on a scale that narrows outwards: between a text without any evidence and one full of it, little of it is told apart from much
+    found = np.arcsinh([evidence(model["weights"][c]) for texts in cells for c in texts])
     label = np.repeat([1.0, 0.0], [len(c) for c in cells])
     # sampled labels stand for all of theirs
     weight = np.where(label == 1, totals[0] / len(coded[0]), totals[1] / len(coded[1]))
@@ -323,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_column(model: dict, texts: list[bytes], meter: Meter | None) -> np.ndarray:
     if meter is None:
         return np.full(len(texts), model["prior"])
-    return calibrate.apply(model["knots"], np.array([evidence(model["weights"][meter.cells(Coded(t).windows())]) for t in texts], float))
+    return calibrate.apply(model["knots"], np.arcsinh(np.array([evidence(model["weights"][meter.cells(Coded(t).windows())]) for t in texts], float)))
 
 
 def with_score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
