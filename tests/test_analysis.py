@@ -275,3 +275,13 @@ def test_registered_models_run_the_default_config(monkeypatch):
     models.quality_model(None, "")
     models.price_model(None, "")
     assert all(c is None or c == models.modelling.Config() for c in seen) and len(seen) == 2
+
+
+def test_a_table_without_rules_gives_no_rows(spark, tmp_path):
+    from tidegauge.workload import analyses
+
+    # every order holds every brand, so no pair meets more often than chance
+    spark.createDataFrame([(i, f"Brand#{i}") for i in range(4)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, p) for o in range(30) for p in range(4)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = analyses.association_rules(spark, str(tmp_path))
+    assert found.collect() == [] and found.columns == ["antecedent", "consequent", "support", "confidence", "lift"]
