@@ -285,3 +285,27 @@ def test_a_table_without_rules_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([(o, p) for o in range(30) for p in range(4)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = analyses.association_rules(spark, str(tmp_path))
     assert found.collect() == [] and found.columns == ["antecedent", "consequent", "support", "confidence", "lift"]
+
+
+def test_item_candidates_count_pairs(spark):
+    """One column open by its floor (few orders hold many values), one of the order itself, one with a value a line, one empty."""
+    cells = [(o, o % 7 if o >= 4 else None, i, f"v{i}" if o == 0 else None, None, float(i) if o % 2 else None, o * 0.5, f"v{i}" if o == 0 and i < 4 else None) for o in range(12) for i in range(14)]
+    df = spark.createDataFrame(cells + [(None, 1, 2, "x", None, 1.0, 2.0, "x")], "t long, own long, line long, few string, empty string, half double, name_of double, rare string")
+    facts = roles.hold(roles.column_facts(df))
+    got = {r["column"]: r["score"] for r in roles.item_candidates(df, facts, "t").collect()}
+    want = {}
+    for i, c in enumerate(df.columns[1:], 1):
+        pairs = len({(r[0], r[i]) for r in cells if r[i] is not None})
+        want[c] = pairs / 12 > 1
+    assert {c: s > 0 for c, s in got.items()} == want
+    assert want == {"own": False, "line": True, "few": True, "empty": False, "half": True, "name_of": False, "rare": False}
+    floors = roles._pair_floors(df.where("t is not null"), "t", df.columns[1:])
+    assert floors == {"own": 8, "line": 24, "few": 2, "empty": 0, "half": 12, "name_of": 12, "rare": 2}
+
+
+def test_a_spread_input_has_bounded_tasks(spark, monkeypatch):
+    from tidegauge import session
+
+    df = spark.range(1000)
+    monkeypatch.setattr(session, "TASK_BYTES", 500)
+    assert session.spread(df).rdd.getNumPartitions() == 16
