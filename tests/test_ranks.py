@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators import explore
 from tidegauge.plans import ranks
@@ -49,3 +51,28 @@ def test_spearman_of_every_pair(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "a double, b double")
     assert ranks.average_ranks(empty, ["a", "b"]).collect() == []
+
+
+def test_whole_columns_are_ranked_by_value(spark, monkeypatch):
+    from tidegauge.operators import explore
+    from tidegauge.plans import skew
+
+    draw = np.random.default_rng(5)
+    data = pd.DataFrame({"a": draw.integers(0, 7, 500).astype(float), "b": draw.normal(size=500), "c": [0.0, -0.0] * 250})
+    data["d"], data["e"] = data["a"] * 2 + data["b"], np.where(draw.random(500) < 0.5, 3.0, data["b"])
+    data["f"] = data["e"].where(draw.random(500) < 0.8)
+    df = spark.createDataFrame(data).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in data]).repartition(3)
+    pairs = [("a", "b"), ("a", "d"), ("a", "e"), ("b", "e"), ("d", "e"), ("b", "f"), ("e", "f"), ("a", "c")]
+    asked = []
+    cells = ranks.average_ranks
+    monkeypatch.setattr(ranks, "average_ranks", lambda df, columns, holed=(): asked.append(list(columns)) or cells(df, columns, holed))
+    for broadcast, looked_up in ((200_000, 8), (10, 8), (10, 0)):
+        for module in (skew, ranks, explore):
+            monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(explore, "LOOKED_UP", looked_up)
+        got = explore.rank_correlations(df, pairs)
+        for x, y in pairs[:-1]:
+            assert got[x, y] == pytest.approx(data[[x, y]].dropna().corr(method="spearman").iloc[0, 1], abs=1e-12)
+        assert np.isnan(got["a", "c"])
+    # only pairs with holes, or many wide columns, are ranked cell by cell
+    assert asked == [["b", "e", "f"], ["b", "e", "f"], ["a", "b", "c", "d", "e"], ["b", "e", "f"]]

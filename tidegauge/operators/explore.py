@@ -7,6 +7,7 @@ aggregation, quantiles from narrowing histograms, ranks of all columns from one
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of
 from tidegauge.functions.numeric import micros
 from tidegauge.functions.pvalues import correlation_p, k_squared
 from tidegauge.plans import order, ranks, select, stats
+from tidegauge.plans.skew import BROADCAST_ROWS
 from tidegauge.session import hold, rows, settle
 
 
@@ -48,6 +50,8 @@ IQR_FACTOR = 1.5
 NORMAL_P = 0.05
 PEAK_SHARE, VALLEY_SHARE = 0.05, 0.4
 PAIRS_PER_PASS = 40
+#: Columns of many distinct values whose ranks are looked up by shuffling the rows.
+LOOKED_UP = 8
 
 
 # -- summaries ---------------------------------------------------------------------------------------
@@ -282,25 +286,52 @@ def pair_figures(numbers: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple
     return [(p, figures[p]) for p in pairs]
 
 
+def _whole_rank_correlations(numbers: DataFrame, pairs: list[tuple[str, str]], n: int) -> dict[tuple[str, str], float]:
+    """Spearman coefficients of columns without holes in a table of ``n`` rows."""
+    used = sorted({c for p in pairs for c in p})
+    by_value, middle = ranks.value_ranks(numbers, used), F.lit((n + 1) / 2)
+    spread = F.sum(F.col("n") * F.pow(F.col("rank") - middle, F.lit(2.0)))
+    known = {r["column"]: r for r in by_value.groupBy("column").agg(F.count("*").alias("size"), spread.alias("spread")).collect()}
+    sizes = {c: known[c]["size"] for c in used}
+    if sum(size > BROADCAST_ROWS for size in sizes.values()) > LOOKED_UP:
+        # each lookup moves whole rows: for a wide table it is cheaper to move cells
+        ranked = ranks.average_ranks(numbers, used).select(*[F.col(f"r{i}")[0].alias(c) for i, c in enumerate(used)])
+    else:
+        ranked = ranks.with_value_ranks(numbers, used, by_value, sizes)
+    chunks = list(_chunks(pairs, PAIRS_PER_PASS))
+    ranked = ranked if len(chunks) == 1 else settle(ranked)
+    result: dict[tuple[str, str], float] = {}
+    for chunk in chunks:
+        # ranks are centred before they are multiplied, as their mean is known
+        together = ranked.agg(*[F.sum((F.col(a) - middle) * (F.col(b) - middle)).alias(f"p{i}") for i, (a, b) in enumerate(chunk)]).first()
+        for (a, b), s in zip(chunk, together):
+            scale = math.sqrt(known[a]["spread"]) * math.sqrt(known[b]["spread"])
+            result[a, b] = s / scale if scale else math.nan
+    return result
+
+
 def rank_correlations(numbers: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
     """Spearman coefficients over the rows where both columns are present.
 
-    All columns are ranked in one pass over their cells, and once more for each column with holes among the rows where that one is present, so a
+    Columns without holes are ranked by their distinct values, and the ranks are looked up by value. Pairs with holes (and tables of many columns with many distinct
+    values) are ranked in one pass over their cells, and once more for each column with holes among the rows where that one is present, so a
     pair with holes takes its two ranks from there. The number of jobs does not depend on the number of pairs but for passes of ``PAIRS_PER_PASS``.
     """
     if not pairs:
         return {}
     used = sorted({c for p in pairs for c in p})
-    holes = [r["column"] for r in stats.per_column(numbers, used, lambda c: {"nulls": F.count_if(F.col(c).isNull())}).where("nulls > 0").orderBy("column").collect()]
-    ranked = settle(ranks.average_ranks(numbers, used, holes))
-    at, among = {c: F.col(f"r{i}") for i, c in enumerate(used)}, {c: i + 1 for i, c in enumerate(holes)}
+    facts = stats.per_column(numbers, used, lambda c: {"n": F.count(c), "nulls": F.count_if(F.col(c).isNull())}).collect()
+    holes = sorted(r["column"] for r in facts if r["nulls"])
     result: dict[tuple[str, str], float] = {}
     whole = [p for p in pairs if not set(holes) & set(p)]
     if whole:
-        steady = sorted({c for p in whole for c in p})
-        coefficients = pearson_matrix(ranked.select(*[at[c][0].alias(c) for c in steady]), steady)
-        result = {p: coefficients[tuple(sorted(p))] for p in whole}
-    for chunk in _chunks([p for p in pairs if set(holes) & set(p)], PAIRS_PER_PASS):
+        result = _whole_rank_correlations(numbers, whole, max(r["n"] for r in facts))
+    rest = [p for p in pairs if set(holes) & set(p)]
+    if rest:
+        used = sorted({c for p in rest for c in p})
+        ranked = settle(ranks.average_ranks(numbers, used, holes))
+        at, among = {c: F.col(f"r{i}") for i, c in enumerate(used)}, {c: i + 1 for i, c in enumerate(holes)}
+    for chunk in _chunks(rest, PAIRS_PER_PASS):
         found = ranked.agg(*[stats.correlation(at[a][among.get(b, 0)], at[b][among.get(a, 0)]).alias(f"p{i}") for i, (a, b) in enumerate(chunk)]).first()
         result.update(dict(zip(chunk, found)))
     return result

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.plans import order, stats
+from tidegauge.plans.skew import BROADCAST_ROWS, salted_lookup
 from tidegauge.session import settle
 
 #: (part, column, rows, first value, rows of its run, last value, rows of its run); rows are counted once in all and once for each column with holes.
@@ -110,3 +112,19 @@ def average_ranks(df: DataFrame, columns: Sequence[str], holed: Sequence[str] =
 
     back = dealt.mapInArrow(ranked, "row long, c int, r array<double>")
     return back.groupBy("row").agg(*[F.any_value(F.when(F.col("c") == i, F.col("r")), ignoreNulls=True).alias(f"r{i}") for i in range(len(columns))])
+
+
+def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n, rank) of every distinct value: its rows, and the mean rank they share. Rows are counted before anything is sorted."""
+    counted = order.cumulative_counts(stats.number_counts(df, columns))
+    return settle(counted.select("column", "value", "n", order.average_rank().alias("rank")))
+
+
+def with_value_ranks(df: DataFrame, columns: Sequence[str], ranked: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """``columns`` of ``df``, none with holes, replaced by their ranks. ``sizes`` are the distinct values of each; the smallest columns are looked up without a shuffle."""
+    out, room = df.select(*columns), BROADCAST_ROWS
+    for c in sorted(columns, key=lambda c: (sizes[c], c)):
+        lookup = ranked.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias("__rank"), F.col("n").alias("__n"))
+        room -= sizes[c]
+        out = salted_lookup(out, c, lookup, "__n", "inner", sizes[c] if room >= 0 else None).select(*[x for x in columns if x != c], F.col("__rank").alias(c))
+    return out
