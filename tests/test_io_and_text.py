@@ -1,5 +1,6 @@
 """Files, pages, the store, personal data, texts, questions, streams and comparisons."""
 
+import re
 import datetime as dt
 import json
 
@@ -177,3 +178,18 @@ def test_previous_run(spark):
     runs = rows(spark, [("a", 1, "s", "completed", at[0], at[0], 1, "v"), ("b", 2, "s", "failed", at[1], None, 1, "v"), ("c", 3, "s", "completed", at[2], at[2], 1, "v")], SCHEMAS["runs"])
     assert {r["run_id"]: r["previous_run_id"] for r in history.previous_runs(runs).collect()} == {"a": None, "c": "a"}
     assert history.find_run(runs, "#3").first()["run_id"] == "c"
+
+
+def test_lexicon_is_looked_for_by_its_letters(spark):
+    letters = {p: textchecks._letters(p) for p in textchecks.CAUSAL_LEXICON}
+    assert letters[r"\bthe\s+reason\s+(for|why|behind|that)\b"] == ["the", "reason"] and letters[r"\bresults?\s+in\b"] == ["result", "in"]
+    assert all(letters.values())
+    # what is no plain word is not narrowed
+    assert [textchecks._letters(p) for p in ("a|b", "[ab]c", "ab*", "a{2}", "(a(b)c)d", r"\d+x", "a.b")] == [[]] * 7
+    texts = ["The CAUSE led   to effects; causes, because. thus THUS", "nothing", "the\treason WHY results in result in", None, "", "reasoned thelead to due\u00a0to", "\u212a influences"]
+    got = {r["pattern"]: (r["texts"], r["hits"]) for r in textchecks.causal_counts(spark.createDataFrame([(t,) for t in texts], "body string"), "body", (*textchecks.CAUSAL_LEXICON, "a|e", r"\bthus\b")).collect()}
+    for p in (*textchecks.CAUSAL_LEXICON, "a|e"):
+        n = [len(re.findall(p, t or "", re.I | re.A)) for t in texts]
+        assert got[p] == (sum(x > 0 for x in n), sum(n)), p
+    none = textchecks.causal_counts(spark.createDataFrame([], "body string"), "body").collect()
+    assert len(none) == len(textchecks.CAUSAL_LEXICON) and {(r["texts"], r["hits"]) for r in none} == {(0, 0)}
