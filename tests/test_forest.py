@@ -107,6 +107,42 @@ def test_forest_predicts_held_out_rows(spark, task_rows):
     assert shares.sum(axis=1).tolist() == pytest.approx([1, 1, 1]) and (shares[1] < 0.1).all()
 
 
+def test_a_large_table_of_few_columns_grows_whole_in_tasks(spark, monkeypatch):
+    """Rows beyond 2^18 with one feature; cuts lie between the values that training holds."""
+    monkeypatch.setattr(forest, "_grown_apart", None)
+    turn = F.col("id") % 7
+    rows = spark.range(0, 280_000, 1, 4).select(
+        F.lit(3).alias("fit"), F.col("id").alias("row"), (F.col("id") % 5 != 0).alias("train"), F.when(turn > 3, 5.0).otherwise(-5.0).alias("label"),
+        F.array(F.when(F.col("id") % 5 != 0, turn.cast("double")).otherwise(turn + 0.4)).alias("x"),
+    )
+    values, gains = forest.forest(rows, [3], forest.Plan(trees=3, depth=2, batches=3))
+    seen = values.join(rows.select("row", "label"), "row").groupBy((F.col("value")[0] - F.col("label")).alias("off"), "label").count()
+    assert {(r["off"], r["label"]): r["count"] for r in seen.collect()} == {(0.0, 5.0): 24_000, (0.0, -5.0): 32_000}
+    assert [tuple(r) for r in gains.collect()] == [(3, 0, 1.0)]
+
+
+def test_batches_of_trees_are_tasks_of_their_own(spark):
+    from pyspark import TaskContext
+
+    found = []
+    whole = forest._batch
+    try:
+        # the worker's partition stands in for the number of trees
+        def told(group, plan):
+            list(group)
+            yield from forest._answer(0, np.zeros(0, np.int64), np.zeros((0, 1)), TaskContext.get().partitionId(), np.zeros(1))
+
+        forest._batch = told
+        rows = spark.range(400).select(F.explode(F.array(F.lit(0), F.lit(2))).alias("fit"), F.col("id").alias("row"), F.lit(True).alias("train"), F.lit(1.0).alias("label"), F.array(F.lit(1.0)).alias("x"))
+        held = forest.settle
+        forest.settle = lambda df: found.append(df) or held(df)
+        forest.forest(rows, [0, 2], forest.Plan(trees=10))
+    finally:
+        forest._batch, forest.settle = whole, held
+    places = [r["trees"] for r in found[0].collect()]
+    assert len(places) == 20 == len(set(places))
+
+
 def test_forest_does_not_hang_on_the_dealing(spark):
     e = encoded(spark, table(5, 200))
     rows = encoding.tree_rows(e, [0])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.kinds import CATEGORICAL, DATETIME, NUMERIC, columns_of, kinds, nan_to_null, text_of
 from tidegauge.functions.numeric import micros
 from tidegauge.operators.encoding import Encoded, encode, encoding, one_hot, tree_rows, typed
-from tidegauge.operators.forest import TASK_ROWS, Plan, forest
+from tidegauge.operators.forest import Plan, forest
 from tidegauge.plans import order, stats
 from tidegauge.session import hold, rows, settle
 
@@ -41,7 +41,7 @@ class Config:
     trees: int = 100
     depth: int = 30
     iterations: int = 1000
-    task_rows: int = TASK_ROWS
+    task_rows: int | None = None
 
 
 #: Features beyond which the linear model is solved by gradients.
