@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -406,6 +407,33 @@ def test_long_text_contexts_equal_those_of_one_slice(monkeypatch):
     assert len(sliced) > 1 and sum(map(list, whole), []) == sum(map(list, sliced), [])
 
 
+def test_context_counting_holds_little_at_a_time():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc de " * 10_000] * 60)], ["text"])
+    work, begin, finish = ctw._gather(5)
+    state = begin()
+    tracemalloc.start()
+    list(work(batch, state))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    assert sum(b.column("n").to_numpy().sum() for b in finish(state)) == 60 * (70_001 + 20_001)
+
+
+@pytest.mark.parametrize("met", [1 << 20, 7, 0])
+def test_unseen_contexts_are_worked_out_once(monkeypatch, met):
+    monkeypatch.setattr(ctw, "MET", met)
+    draw, levels = np.random.default_rng(3), [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))] * 4
+    predictor, asked = ctw.Predictor(draw.uniform(0.1, 0.4, (2, 1 << 16)), 0, 1, levels, 5), []
+    plain = predictor._unseen
+    predictor._unseen = lambda keys: asked.append(len(keys)) or plain(keys)
+    for low in (100, 95, 103, 90, 100):
+        keys = draw.integers(low, low + 12, 50) << 9
+        assert (predictor.log10(keys) == plain(keys)).all()
+    assert met < 1 << 20 or sum(asked) <= 25
+
+
 def test_toxic_passages_are_found(spark):
     draw = random.Random(4)
     plain = ["".join(draw.choice(["th", "er", "on", "an", "re", "st"]) for _ in range(draw.randint(1, 3))) for _ in range(400)]

@@ -36,19 +36,26 @@ PART_ENTRIES = 1 << 19
 HEAD = 8192
 #: Table entries that one pass holds (about 20 bytes each in a task).
 BLOCK_ENTRIES = 1 << 21
+#: Pairs that training never saw whose logs a worker keeps (16 bytes each).
+MET = 1 << 20
 END = 0xFF
 END_TOKEN = 1
 WORD, CONTEXT = 0, 1
 _PENDING = 1 << 21
 
 
+def _slice() -> int:
+    """Bytes of text that are worked on at a time: every byte takes about 60 while its contexts are counted or looked up."""
+    return max(B.GROUP // 4, 1)
+
+
 def contexts(offsets: np.ndarray, data: np.ndarray, first: int, last: int, depth: int):
     """(row counted from ``first``, key) of every byte and end: the key's lowest byte is what follows the others, latest lowest."""
     for low in range(first, last):
-        if offsets[low + 1] - offsets[low] > B.GROUP:  # one long text, a slice at a time
+        if offsets[low + 1] - offsets[low] > _slice():  # one long text, a slice at a time
             begin, end = int(offsets[low]), int(offsets[low + 1])
-            for at in range(begin, end + 1, B.GROUP):
-                stop = min(at + B.GROUP, end + 1)
+            for at in range(begin, end + 1, _slice()):
+                stop = min(at + _slice(), end + 1)
                 body = B.LOWER[data[max(begin, at - depth) : min(stop, end)]]
                 lead = np.full(depth - (at - max(begin, at - depth)), END, np.uint8)
                 run = np.concatenate([lead, body, np.full(int(stop > end), END, np.uint8)])
@@ -113,7 +120,7 @@ def _gather(depth: int):
     def work(batch: pa.RecordBatch, state):
         tokens, trees = state
         offsets, data = B.texts(batch.column(0))
-        for first, last in B.groups(offsets):
+        for first, last in B.groups(offsets, _slice()):
             _, hashes = B.words(offsets, data, first, last, B.NON_SPACE)
             yield from tokens.add(np.concatenate([B.signed(hashes), np.full(last - first, END_TOKEN)]))
             for _, keys in contexts(offsets, data, first, last, depth):
@@ -297,6 +304,7 @@ class Predictor:
         self.here = block_of(np.arange(1 << 16), blocks) == block
         self.keys, self.logs, times = levels[0]
         self.index = pd.Index(self.keys)
+        self.met = np.zeros(0, np.int64), np.zeros(0)
         self.upto = np.concatenate([[0.0], np.cumsum(times, dtype=np.float64)])
 
     def _times(self, low: np.ndarray, n: int) -> np.ndarray:
@@ -323,6 +331,21 @@ class Predictor:
             log += np.log10(np.where(bit == 1, one, 1 - one))
         return log
 
+    def _remembered(self, odd: np.ndarray) -> np.ndarray:
+        """``_unseen`` of distinct sorted pairs; those of earlier slices, up to ``MET`` of them, are kept."""
+        keys, logs = self.met
+        at = np.minimum(np.searchsorted(keys, odd), max(len(keys) - 1, 0))
+        old = keys[at] == odd if len(keys) else np.zeros(len(odd), bool)
+        out, new = np.zeros(len(odd)), odd[~old]
+        out[old], out[~old] = logs[at[old]], self._unseen(new)
+        if len(keys) + len(new) > MET:
+            self.met = odd[:MET], out[:MET]
+        elif len(new):
+            keys, logs = np.concatenate([keys, new]), np.concatenate([logs, out[~old]])
+            order = np.argsort(keys, kind="stable")
+            self.met = keys[order], logs[order]
+        return out
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         mine = self.here[(keys >> 8) & 0xFFFF]
@@ -334,7 +357,7 @@ class Predictor:
             got[known] = self.logs[at[known]]
         if not known.all():
             odd, back = np.unique(wanted[~known], return_inverse=True)
-            got[~known] = self._unseen(odd)[back]
+            got[~known] = self._remembered(odd)[back]
         out[mine] = got
         return out
 
@@ -359,7 +382,7 @@ def _score(model, head, depth: int):
             ready.append(_predictor(model, name, depth))
             ready.append(head.value if head is not None else None)
         offsets, data = B.texts(batch.column("text"))
-        for first, last in B.groups(offsets):
+        for first, last in B.groups(offsets, _slice()):
             n = last - first
             logs = np.zeros(n)
             for rows, keys in contexts(offsets, data, first, last, depth):
