@@ -55,6 +55,21 @@ def test_left_out_items_are_told(spark):
     assert whole.dropped == 0
 
 
+def test_baskets_packed_first_equal_counted_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(t), f"p{int(p):03d}") for t, p in zip(rng.integers(0, 400, 3000), np.minimum(rng.geometric(0.12, 3000), 90))]
+    df = spark.createDataFrame([*rows, *rows[:50], (None, "p001"), (1, None)], "t int, p string").repartition(4)
+
+    def found(**limits):
+        b = business.market_basket(df, "t", "p", 0.05, 0.1, **limits)
+        return b.reason, b.transactions, round(b.mean_size, 9), b.items, b.dropped, sorted(map(repr, b.rules.collect()))
+
+    packed = found(), found(max_items=6)
+    monkeypatch.setattr(business, "FEW_ITEMS", 0)
+    assert packed == (found(), found(max_items=6))
+    assert len(packed[0][5]) > len(packed[1][5]) > 0 and packed[1][4] > 0
+
+
 def test_triples_in_several_passes(spark, monkeypatch):
     rows = [(i, f"p{j}") for i in range(60) for j in range(5) if (i + j) % 3]
     patterns, items = business.basket_patterns(spark.createDataFrame(rows, "t int, p string"), "t", "p")
@@ -112,6 +127,23 @@ def test_gaps_of_a_hot_entity(spark):
     assert got == {1: 199, 0: 5}
 
 
+def test_gaps_equal_neighbours_in_order(spark):
+    rng = np.random.default_rng(3)
+    # seconds around the epoch: several events a day, the same instant twice, midnights, years without any
+    seconds = [*rng.integers(-400_000, 400_000, 300).tolist(), *[86_400 * int(d) for d in rng.integers(-9, 9, 40)], 2_000_000_000, -2_000_000_000]
+    rows = [(f"e{i % 3}", dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s, microseconds=int(rng.integers(2)))) for i, s in enumerate(seconds)]
+    want = {}
+    for e in ("e0", "e1", "e2"):
+        at = sorted(t for who, t in rows if who == e)
+        for earlier, later in zip(at, at[1:]):
+            want[(later - earlier).days] = want.get((later - earlier).days, 0) + 1
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), ("e0", None)], "e string, t timestamp_ntz").repartition(5)
+    gaps = business.gap_counts(df, "e", "t")
+    assert {r["gap"]: r["n"] for r in gaps.collect()} == want
+    # events are grouped, not laid out by range, which takes another reading of them
+    assert "rangepartitioning" not in gaps._jdf.queryExecution().toString()
+
+
 def test_value_basis():
     assert business.value_basis("unit_price", "qty").label == "unit_price x qty"
     assert business.value_basis("line_total", "qty").label == "line_total"
@@ -236,6 +268,22 @@ def test_run_all_says_why_not(spark):
     assert findings.where("analysis = 'abc_pareto'").count() > 0
 
 
+def test_run_all_reads_its_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(value):
+        read.add(1)
+        return value
+
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=7 * (i % 11) + i // 40 * 90) for i in range(120)]
+    df = spark.createDataFrame([(f"c{i // 14}", f"o{i // 3}", f"p{i % 4}", d, 10.0 + i * 1.5) for i, d in enumerate(days)], "customer string, order_id string, product string, order_date timestamp, amount double")
+    findings, status = analytics.run_all(df.withColumn("amount", seen("amount")), {"transaction_id": "order_id", "item_id": "product"})
+    ran = {r["analysis"] for r in status.collect() if r["ran"]}
+    assert {"abc_pareto", "rfm", "cohort_retention", "retention_churn", "historical_clv"} <= ran and findings.count()
+    assert read.value == 120
+
+
 # -- modelling -------------------------------------------------------------------------------------------
 
 def test_learnable_class_beats_the_majority(spark):
