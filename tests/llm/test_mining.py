@@ -4,9 +4,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -159,6 +161,44 @@ def test_automata_keep_their_runs():
         assert runs.before(np.array(bound, np.uint64)) == sum(r < tuple(bound) for r in rows)
 
 
+def test_joined_runs_equal_those_united_at_once_and_hold_little():
+    draw = np.random.default_rng(8)
+    n = 1 << 18
+    codes = draw.integers(1, 50_000, (n, 5)).astype(np.uint64)
+    codes[codes > 40_000] |= collocations.HASHED
+    codes[draw.random(n) < 0.3, 3:] = 0
+    codes[n // 2 :: 3] = codes[: len(codes[n // 2 :: 3])]
+    weights = draw.integers(1, 400, n)
+    tracemalloc.start()
+    whole = collocations.Runs.united(codes, weights)
+    united = tracemalloc.get_traced_memory()[1] / n
+    parts = [collocations.Runs.united(codes[at : at + 20_000], weights[at : at + 20_000]) for at in range(0, n, 20_000)]
+    del whole
+    tracemalloc.reset_peak()
+    joined = collocations.Runs.joined(parts)
+    most = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    assert united < 140 and most < 140  # bytes a run
+    whole = collocations.Runs.united(codes, weights)
+    assert not parts and (joined.words[joined.ids] == whole.words[whole.ids]).all() and (joined.weights == whole.weights).all()
+    rest = joined.slice(1000, 3000).own()
+    assert (rest.words[rest.ids] == joined.words[joined.ids[1000:3000]]).all() and len(rest.words) <= 2000 * 5 + 1
+
+
+def test_words_of_a_shard_are_counted_in_parts():
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(20_000)}" for _ in range(1000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 1000), pa.array(texts)], ["lang", "text"])
+    list(collocations._words_of(batch.slice(0, 10)))
+    tracemalloc.start()
+    found = list(collocations._words_of(batch))
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert len(found) == 1  # a shard's words once each
+    got = {(r["lang"], r["word"]): r["n"] for r in found[0].to_pylist()}
+    assert got == Counter((("en", "de")[i % 2], w) for i, t in enumerate(texts) for w in t.split())
+
+
 RULES = queries.URL_RULES
 
 

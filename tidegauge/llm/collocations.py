@@ -99,14 +99,22 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     languages = batch.column(0).to_pylist()
     offsets, data = B.texts(batch.column(1))
     salts = _salts(languages)
-    for first, last in B.groups(offsets, 4 * B.GROUP):
-        _, h, begin, end = tokens(offsets, data, first, last, salts[first:last])
+    names = pa.array(languages, pa.string())
+    for low, high in B.groups(offsets, 4 * B.GROUP):
+        # only distinct words of a shard stand side by side, all words of a part of it
+        held = []
+        for first, last in B.groups(offsets[low : high + 1], B.GROUP // 2):
+            _, h, begin, end = tokens(offsets, data, low + first, low + last, salts[low + first : low + last])
+            found, at, n = np.unique(h, return_index=True, return_counts=True)
+            held.append((found, n, begin[at], end[at]))
+        h, n, begin, end = (np.concatenate(x) for x in zip(*held))
         if not len(h):
             continue
-        found, at, n = np.unique(h, return_index=True, return_counts=True)
+        found, at, back = np.unique(h, return_index=True, return_inverse=True)
         row = np.searchsorted(offsets, begin[at], "right") - 1
-        named = pa.array(languages, pa.string()).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), named, _strings(data, begin[at], end[at]), pa.array(n.astype(np.int64))], ["h", "lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.view(np.int64)), names.take(pa.array(row)), _strings(data, begin[at], end[at]), pa.array(np.bincount(back, n).astype(np.int64))], ["h", "lang", "word", "n"],
+        )
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -159,14 +167,28 @@ class Runs:
     @classmethod
     def united(cls, hashes: np.ndarray, weights: np.ndarray) -> Runs:
         """From any rows of five codes; the weights of equal ones are added up."""
-        words, ids = np.unique(hashes, return_inverse=True)
-        ids = ids.reshape(hashes.shape).astype(np.uint32)
+        words = np.unique(hashes)
         if not len(words) or words[0] != 0:
-            words, ids = np.concatenate([np.zeros(1, U), words]), ids + np.uint32(1)
+            words = np.concatenate([np.zeros(1, U), words])
+        # column by column: only the ids, a half of the codes' size, stand beside them
+        ids = np.empty(hashes.shape, np.uint32)
+        for k in range(LONGEST):
+            ids[:, k] = np.searchsorted(words, hashes[:, k])
         return cls(words, *_sorted(ids, weights))
 
-    def hashes(self) -> np.ndarray:
-        return self.words[self.ids]
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        """All runs of ``parts``, which is emptied; the weights of equal ones are added up."""
+        words = np.unique(np.concatenate([p.words for p in parts]))
+        ids = np.empty((sum(len(p) for p in parts), LONGEST), np.uint32)
+        weights = np.empty(len(ids), np.int64)
+        at = len(ids)
+        while parts:
+            part = parts.pop()
+            at -= len(part)
+            ids[at : at + len(part)] = np.searchsorted(words, part.words).astype(np.uint32)[part.ids]
+            weights[at : at + len(part)] = part.weights
+        return cls(words, *_sorted(ids, weights))
 
     def before(self, bound: np.ndarray) -> int:
         """How many runs come before the run of codes ``bound``."""
@@ -183,6 +205,13 @@ class Runs:
     def slice(self, low: int, high: int) -> Runs:
         return Runs(self.words, self.ids[low:high], self.weights[low:high])
 
+    def own(self) -> Runs:
+        """A copy that holds its own words only, so that the runs it was cut from can go."""
+        used = np.zeros(len(self.words), bool)
+        used[0] = True
+        used[self.ids] = True
+        return Runs(self.words[used], (np.cumsum(used) - 1).astype(np.uint32)[self.ids], self.weights.copy())
+
 
 def _sorted(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # three words, then two, to a number: vocabularies of up to 2**21 words fit, larger ones are sorted word by word
@@ -191,9 +220,13 @@ def _sorted(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     else:
         a, b, c, d, e = (ids[:, k].astype(U) for k in range(LONGEST))
         place = np.lexsort(((d << U(21)) | e, (a << U(42)) | (b << U(21)) | c))
+        del a, b, c, d, e
     ids, weights = ids[place], weights[place]
+    del place
     fresh = np.ones(len(ids), bool)
-    fresh[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+    fresh[1:] = False
+    for k in range(LONGEST):
+        fresh[1:] |= ids[1:, k] != ids[:-1, k]
     at = np.flatnonzero(fresh)
     return ids[at], np.add.reduceat(weights, at) if len(at) else weights
 
@@ -296,7 +329,7 @@ def pages(rows: DataFrame, codes: Codes, bounds: np.ndarray, shard_words: int =
         for batch in batches:
             salts = _salts(batch.column(0).to_pylist())
             offsets, data = B.texts(batch.column(1))
-            for first, last in B.groups(offsets):
+            for first, last in B.groups(offsets, B.GROUP // 4):
                 piece, h, _, _ = tokens(offsets, data, first, last, salts[first:last])
                 found = runs_of(piece, h, codes)
                 if len(found[0]):
@@ -340,7 +373,8 @@ def unite(paged: DataFrame, least: int, unite_runs: int = UNITE_RUNS) -> DataFra
     """(g, n): counts of phrases, in parts where a phrase reaches over a cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        # by their own words' ids, half as large as codes
+        held: list[Runs] = []
         n, now = 0, None
 
         def give(runs: Runs) -> Iterator[pa.RecordBatch]:
@@ -350,25 +384,23 @@ def unite(paged: DataFrame, least: int, unite_runs: int = UNITE_RUNS) -> DataFra
                     lists = B.lists(np.ascontiguousarray(part).view(np.int64).reshape(-1), np.full(len(part), k))
                     yield pa.RecordBatch.from_arrays([lists, pa.array(counts[i : i + (1 << 16)])], ["g", "n"])
 
-        def joined() -> Runs:
-            return Runs.united(np.concatenate([h for h, _ in held]), np.concatenate([w for _, w in held]))
-
         limit = unite_runs
         for batch in batches:
             for r, first, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (r != now or n >= limit):
-                    runs = joined()
+                    runs = Runs.joined(held)
                     # pages come in the order of their first runs: nothing before this one's can follow
                     done = runs.before(np.frombuffer(first, ">u8").astype(U)) if r == now else len(runs)
                     yield from give(runs.slice(0, done))
                     rest = runs.slice(done, len(runs))
-                    held, n = [(rest.hashes(), rest.weights)] if len(rest) else [], len(rest)
+                    held, n = [rest.own()] if len(rest) else [], len(rest)
+                    del runs, rest
                     limit = unite_runs if r != now else max(unite_runs, 2 * n)
                 now = r
-                held.append(unpack(page))
-                n += len(held[-1][1])
+                held.append(Runs.united(*unpack(page)))
+                n += len(held[-1])
         if held:
-            yield from give(joined())
+            yield from give(Runs.joined(held))
 
     dealt = paged.repartition("range").sortWithinPartitions("range", "first")
     return dealt.mapInArrow(run, "g array<long>, n long")
