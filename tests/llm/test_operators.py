@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from tidegauge.llm import batches, ctw, decontaminate, jaccard_join, licenses, mixing, pii, quality, spotsigs, tokens, toxicity
@@ -399,6 +400,26 @@ def test_context_trees_match_the_recursion(spark, depth, block):
         assert got[i].score == pytest.approx(tree_by_force(training, text, depth), rel=1e-5)
 
 
+def test_driver_lets_go_of_blocks_whose_pass_is_through(spark, monkeypatch):
+    texts = ["abra cadabra", "the cat sat", "the cat sat", None]
+    alive, most = set(), []
+    begin, end = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def made(context, value):
+        out = begin(context, value)
+        if len(value) == 4:
+            alive.add(id(out))
+            most.append(len(alive))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: alive.discard(id(self)) or end(self, *a))
+    scored = ctw.score(frame(spark, texts), frame(spark, texts), depth=3, block_entries=60)
+    assert len(most) > 2 and max(most) == 2 and len(alive) == 1
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert all(got[i] == pytest.approx(tree_by_force(texts, t, 3), rel=1e-5) for i, t in enumerate(texts))
+
+
 def test_long_text_contexts_equal_those_of_one_slice(monkeypatch):
     offsets, data = batches.texts(pa.array(["ab " * 400, "c"], pa.string()))
     whole = [k for _, k in ctw.contexts(offsets, data, 0, 1, 3)]

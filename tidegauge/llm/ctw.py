@@ -6,7 +6,8 @@ Texts are lowered (A-Z) and end with a byte that no UTF-8 text holds, so the sco
 
 Training counts every (context, byte) and every word in one pass over all training rows; both tables grow with the corpus. Trees are dealt out by
 the two bytes just before the predicted one and weighted where they lie. The weighted table is then worked through in blocks of a bounded number of
-entries: each is a bounded broadcast and one narrow pass over the texts, and the parts of a text's score are added. Word counts grow with the corpus, so the words of a text
+entries: each is a bounded broadcast and one narrow pass over the texts, and the parts of a text's score are added. One block after another is kept by the driver,
+let go when its pass is through, so that the driver holds two blocks however many there are. Word counts grow with the corpus, so the words of a text
 are joined to them in a shuffle; only a fixed number of the most frequent words, which every text holds, is looked up from a bounded broadcast.
 
 Null and empty texts consist of their end alone; a null id counts as empty text when rows are dealt to training; repeated rows are returned as often as
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import batches as B
-from tidegauge.session import settle
+from tidegauge.session import settle, shelve
 
 DEPTH = 5
 #: Trees are dealt out by so many preceding bytes; shorter contexts are few (65,280 decisions) and weighted on the driver.
@@ -205,9 +206,8 @@ def _shallow(trees: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     parts = trees.mapInArrow(work, "id long, zeros double, ones double, below double")
     # one row per preceding byte and decision, 65,280 at most
-    rows = parts.groupBy("id").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()
-    ids = np.array([r[0] for r in rows], np.int64)
-    zeros, ones, below = (np.array([r[i] for r in rows], float) for i in (1, 2, 3))
+    rows = parts.groupBy("id").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow()
+    ids, zeros, ones, below = (c.to_numpy() for c in rows.columns)
     level = _mixed(zeros, ones, below)
     node = ids & 255
     counts = [np.bincount(node, weights=x, minlength=256) for x in (zeros, ones, level["weighted"])] if len(ids) else [np.zeros(256)] * 3
@@ -271,28 +271,18 @@ def block_of(latest, blocks: int):
     return latest * 40_503 % 65_521 % blocks
 
 
-def _packed(batches):
-    """(level, keys, values, more) of whole batches as bytes."""
-    for batch in batches:
-        level = batch.column("level").to_numpy()
-        for d in np.unique(level):
-            mine = level == d
-            held = [batch.column(n).to_numpy()[mine].tobytes() for n in ("key", "value", "more")]
-            yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), *(pa.array([h], pa.binary()) for h in held)], ["level", "key", "value", "more"])
-
-
 def _held(table: DataFrame, block: int, blocks: int, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The entries of one block, about ``BLOCK_ENTRIES``: per level, sorted keys and the two values."""
     mine = table.where(block_of(F.col("latest").cast("long"), blocks) == block) if blocks > 1 else table
-    parts: dict = {level: ([], [], []) for level in (0, *range(SPLIT, depth))}
-    for row in mine.select("level", "key", "value", "more").mapInArrow(_packed, "level int, key binary, value binary, more binary").collect():
-        for column, kind, name in zip(parts[row["level"]], (np.int64, np.float32, np.float32), ("key", "value", "more")):
-            column.append(np.frombuffer(row[name], kind))
+    held = mine.select("level", "key", "value", "more").toArrow()
+    level = held["level"].to_numpy()
     out = []
-    for columns in parts.values():
-        keys, values, more = (np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, (np.int64, np.float32, np.float32)))
+    for d in (0, *range(SPLIT, depth)):
+        at = np.flatnonzero(level == d)
+        keys = held["key"].to_numpy()[at]
         order = np.argsort(keys)
-        out.append((keys[order], values[order], more[order]))
+        at = at[order]
+        out.append((keys[order], *(held[name].to_numpy()[at] for name in ("value", "more"))))
     return out
 
 
@@ -434,7 +424,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("key"), text.alias("text"), F.octet_length(text).alias("n_bytes"))
     kind = source.schema["id"].dataType.simpleString()
     blocks = table.count() // block_entries + 1
-    first, *others = [context.broadcast((shallow, i, blocks, _held(table, i, blocks, depth))) for i in range(blocks)]
+    first = context.broadcast((shallow, 0, blocks, _held(table, 0, blocks, depth)))
     scored = B.over_text(source, "text", f"id {kind}, key long, score double, n_tokens long, known long, logs double, words array<struct<word: long, times: long>>", _score(first, common, depth))
     each = scored.select("id", "key", "score", "n_tokens", "known", "logs", F.posexplode("words").alias("pos", "entry")).select(
         "id", "key", F.when(F.col("pos") == 0, F.struct("score", "n_tokens", "known", "logs")).alias("own"), F.col("entry.word").alias("word"), F.col("entry.times").alias("times"),
@@ -444,13 +434,17 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     summed = joined.groupBy("id", "key").agg(
         F.max("own").alias("own"), F.count("own").alias("copies"), F.sum(F.log10(c + 0.5) * F.col("times")).alias("rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    if others:
+    if blocks > 1:
         parts = None
-        for i, model in enumerate(others):
-            part = B.over_text(source, "text", f"id {kind}, key long, score double", _score(model, None, depth)).withColumn("block", F.lit(i))
+        for i in range(1, blocks):
+            model = context.broadcast((shallow, i, blocks, _held(table, i, blocks, depth)))
+            part = shelve(B.over_text(source, "text", f"id {kind}, key long, score double", _score(model, None, depth)))
+            # the driver keeps a copy of what it broadcasts
+            model.destroy()
             parts = part if parts is None else parts.unionByName(part)
-        parts = parts.groupBy("id", "key", "block").agg(F.max("score").alias("score")).groupBy("id", "key").agg(F.sum("score").alias("more")).withColumnsRenamed({"id": "id2", "key": "key2"})
-        summed = summed.join(parts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")))
+        # equal rows have equal parts, and as many of them as ``copies`` says
+        parts = parts.groupBy("id", "key").agg(F.sum("score").alias("more")).withColumnsRenamed({"id": "id2", "key": "key2"})
+        summed = summed.join(parts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))).withColumn("more", F.col("more") / F.col("copies"))
     else:
         summed = summed.withColumn("more", F.lit(0.0))
     norm = math.log10(total + 0.5 * (distinct + 1)) if total else math.log10(0.5)
