@@ -327,6 +327,17 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs).count() == sum(r.copies for r in rows)
 
 
+def test_mix_of_few_sources_writes_no_step_by_step_files(spark, monkeypatch):
+    docs = frame(spark, [" ".join(["w"] * (i * 7 % 23)) for i in range(200)]).select("doc_id", "text", "source")
+    settled = []
+    monkeypatch.setattr(mixing, "settle", lambda df, settle=mixing.settle: settled.append(1) or settle(df))
+    few = {tuple(r) for r in mixing.taken_words(docs).collect()}
+    # the measured rows, the counts and the order of the sources; not every step's state
+    assert len(settled) <= 3
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in mixing.taken_words(docs).collect()} == few and len(settled) > 6
+
+
 def test_mix_keeps_whole_rates_whole(spark):
     draw = random.Random(3)
     texts = [" ".join(["w"] * draw.randint(1, 60)) for _ in range(400)]
@@ -476,6 +487,16 @@ def test_toxic_passages_are_found(spark):
     assert not [i for i in held if i % 4 and i not in {r.doc_id for r in toxicity.remove(docs, labels).collect()}]
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    texts = ["you worthless thing here" if i % 3 == 0 else f"the cat {i} sat on a mat" for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    want = toxicity.fit([texts[0].encode()], [t.encode() for i, t in enumerate(texts) if i % 3], (20, 40))
+    monkeypatch.setattr(toxicity, "Coded", None)  # the driver codes no text
+    got = toxicity.train(frame(spark, texts), labels)
+    assert got.keys() == want.keys() and got["toxic"] == want["toxic"] and got["ordinary"] == want["ordinary"] and (got["weights"] == want["weights"]).all()
+    assert toxicity.train(frame(spark, texts), labels.limit(0)) == {"prior": 0.0}
+
+
 def test_toxic_words_with_changing_endings_and_single_passages(spark):
     """One language has toxic words, the other toxic stems with changing endings that also turn up once by chance in ordinary text."""
     draw = random.Random(8)

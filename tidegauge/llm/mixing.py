@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.batches import NULL_MARK
 from tidegauge.plans.order import global_index
 from tidegauge.plans.skew import salted_lookup
-from tidegauge.session import settle
+from tidegauge.session import hold, settle
 
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
@@ -28,7 +28,7 @@ STEPS = 40
 TOLERANCE = 1e-10
 BINS = 4096
 FILLS = 12
-#: Source rows of at most this many bytes in all are broadcast; more are joined in a shuffle with hot sources salted.
+#: Source rows of at most this many bytes in all are held as a local relation and broadcast; more are kept in the shared folder and joined in a shuffle with hot sources salted.
 BROADCAST_BYTES = 4 << 20
 _HASH_BITS = 53
 
@@ -68,13 +68,23 @@ def _rate(cap: float) -> Column:
     return F.least(F.lit(cap), F.exp(F.col("a") + F.col("b") * x))
 
 
-def balance(counts: DataFrame, sources: DataFrame, cap: float = CAP, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def _few(sources: DataFrame) -> bool:
+    """Whether the rows of all sources together are small; what is added to them later is of fixed size."""
+    return (sources.agg(F.sum(F.octet_length("mix_key") + F.lit(200))).head()[0] or 0) <= BROADCAST_BYTES
+
+
+def _kept(sources: DataFrame, few: bool) -> DataFrame:
+    """One row per source, computed once: every step is a plan of its own, and a held one needs one job and no files."""
+    return hold(sources) if few else settle(sources)
+
+
+def balance(counts: DataFrame, sources: DataFrame, few: bool, cap: float = CAP, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds the dual solution ``a``, ``b`` to the sources. ``counts``: (mix_key, mix_size, n)."""
     state = sources.withColumns({
         "mean": F.when(F.col("n") > 0, F.col("size") / F.col("n")).otherwise(0.0), "a": F.lit(0.0), "b": F.lit(0.0),
     })
     fixed = (F.col("size") == 0) | (F.col("target") >= F.col("size") * F.lit(cap) * (1 - 1e-12))
-    state = settle(state.withColumn("a", F.when(F.col("size") == 0, 0.0).when(fixed, F.lit(50.0)).otherwise(0.0)).withColumn("open", ~fixed))
+    state = _kept(state.withColumn("a", F.when(F.col("size") == 0, 0.0).when(fixed, F.lit(50.0)).otherwise(0.0)).withColumn("open", ~fixed), few)
     for _ in range(steps):
         of = state.select("mix_key", "mean", "a", "b")
         s, n = F.col("mix_size"), F.col("n")
@@ -95,19 +105,18 @@ def balance(counts: DataFrame, sources: DataFrame, cap: float = CAP, steps: int
         stepped = state.join(sums, "mix_key")
         error = F.when(c("open"), F.abs(rest) / c("target")).otherwise(0.0)
         moves = c("open") & (error > tolerance)
-        state = settle(stepped.select(
+        state = _kept(stepped.select(
             *sources.columns, "mean", "open", F.when(moves, c("a") + damp * da).otherwise(c("a")).alias("a"), F.when(moves, c("b") + damp * db).otherwise(c("b")).alias("b"), error.alias("error"),
-        ))
+        ), few)
         if (state.agg(F.max("error")).head()[0] or 0.0) <= tolerance:
             break
         state = state.drop("error")
     return state.select(*sources.columns, "mean", "a", "b")
 
 
-def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def _with_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """Joins the row of its source to every row."""
-    size = sources.agg(F.sum(F.octet_length("mix_key") + F.lit(200))).head()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if few:
         return rows.join(F.broadcast(sources), "mix_key")
     return salted_lookup(rows, "mix_key", sources.withColumn("rows", F.col("n")), "rows", "inner")
 
@@ -127,18 +136,19 @@ def _turn(cap: float) -> Column:
     return F.when(fraction > 1e-9, v / (1 + v))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """(measured rows, one row per source with everything that fixes its documents' copies)."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, bool]:
+    """(measured rows, one row per source with everything that fixes its documents' copies, whether these are few)."""
     rows = settle(_measured(docs, id_col, text_col, source_col, F.col(id_col).alias("id")))
     counts = settle(rows.groupBy("mix_key", "mix_size").agg(F.count("*").alias("n")))
     sources = counts.groupBy("mix_key").agg(F.sum(F.col("mix_size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
-    sources = balance(counts, targets(sources, cap, weights).select("mix_key", "size", "n", "target"), cap)
-    sources = settle(sources.withColumns({"cut": F.lit(0.0), "picks": F.array().cast("array<long>")}))
+    few = _few(sources)
+    sources = _kept(targets(sources, cap, weights).select("mix_key", "size", "n", "target"), few)
+    sources = _kept(balance(counts, sources, few, cap).withColumns({"cut": F.lit(0.0), "picks": F.array().cast("array<long>")}), few)
     base = F.floor(_rate(cap) + 1e-9)
     # two rounds of bins: the second divides the bin in which the first one's words pass the target
     width = 1.0 / BINS
     for _ in range(2):
-        held = _with_source(rows, sources).withColumn("turn", _turn(cap))
+        held = _with_source(rows, sources, few).withColumn("turn", _turn(cap))
         place = F.floor((F.col("turn") - F.col("cut")) / F.lit(width))
         inside = (F.col("turn") < 1) & (place >= 0) & (place < BINS)
         words = held.groupBy("mix_key", F.when(inside, place).alias("bin")).agg(
@@ -158,30 +168,30 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         moved = sources.join(steps, "mix_key").withColumn("room", F.col("target") - F.col("whole") - F.col("before")).withColumn("reached", reached)
         # all bins up to the last that fits; a bin that does not fit is divided in the next round
         cut = F.col("cut") + F.when(F.col("reached.going"), F.lit(float(BINS))).otherwise(F.expr("element_at(filter(bins, b -> b.bin > reached.last), 1).bin")) * F.lit(width)
-        sources = settle(moved.select(*[c for c in sources.columns if c != "cut"], F.when(F.col("size") > 0, F.least(cut, F.lit(1.0))).otherwise(0.0).alias("cut")))
+        sources = _kept(moved.select(*[c for c in sources.columns if c != "cut"], F.when(F.col("size") > 0, F.least(cut, F.lit(1.0))).otherwise(0.0).alias("cut")), few)
         width /= BINS
     for _ in range(FILLS):
-        held = _with_source(rows, sources).withColumn("copies", _copies(cap))
+        held = _with_source(rows, sources, few).withColumn("copies", _copies(cap))
         gap = F.col("target") - F.col("taken")
         taken = held.groupBy("mix_key").agg(F.sum(F.col("copies") * F.col("mix_size")).alias("taken"))
         short = sources.join(taken, "mix_key").withColumn("gap", gap)
-        open_ = settle(short)
+        open_ = _kept(short, few)
         if not open_.where(F.col("gap") > 0.0005 * F.col("target")).limit(1).count():
             break
-        wanted = _with_source(rows, open_).withColumn("copies", _copies(cap))
+        wanted = _with_source(rows, open_, few).withColumn("copies", _copies(cap))
         useful = wanted.where((F.col("mix_size") > 0) & (F.col("copies") + 1 <= cap) & ~F.array_contains("picks", F.col("mix_hash")) & (F.abs(F.col("gap") - F.col("mix_size")) < F.col("gap")))
-        best = useful.groupBy("mix_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("mix_size")).alias("miss"), "mix_hash")).alias("best"))
+        best = _kept(useful.groupBy("mix_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("mix_size")).alias("miss"), "mix_hash")).alias("best")), few)
         if not best.limit(1).count():
             break
         more = F.when(F.col("best").isNotNull(), F.array_append("picks", F.col("best.mix_hash"))).otherwise(F.col("picks"))
-        sources = settle(open_.join(best, "mix_key", "left").select(*[c for c in sources.columns if c != "picks"], more.alias("picks")))
-    return rows, sources
+        sources = _kept(open_.join(best, "mix_key", "left").select(*[c for c in sources.columns if c != "picks"], more.alias("picks")), few)
+    return rows, sources, few
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(id, size, source_size, target, copies, taken) for every row."""
-    rows, sources = plan(docs, id_col, text_col, source_col, cap, weights)
-    held = _with_source(rows, sources).withColumn("copies", _copies(cap))
+    rows, sources, few = plan(docs, id_col, text_col, source_col, cap, weights)
+    held = _with_source(rows, sources, few).withColumn("copies", _copies(cap))
     return held.select(
         F.col("id").alias(id_col), F.col("mix_size").alias("size"), F.col("size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"),
     )
@@ -189,7 +199,7 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; nothing but the source's few numbers is joined to the texts."""
-    _, sources = plan(docs, id_col, text_col, source_col, cap, weights)
+    _, sources, few = plan(docs, id_col, text_col, source_col, cap, weights)
     packed = _measured(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
-    copies = _with_source(packed, sources).withColumn("copies", _copies(cap))
+    copies = _with_source(packed, sources, few).withColumn("copies", _copies(cap))
     return copies.where("copies > 0").select("mix_row", F.explode(F.expr("sequence(1L, copies)")).alias("mix_copy")).select("mix_row.*")

@@ -21,8 +21,10 @@ rejected; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,24 +303,35 @@ def _spread(text: bytes, most: int) -> bytes:
     return b" ".join(w for i in range(0, len(words), step) for w in words[i : i + WINDOW_WORDS])
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_chars: int) -> tuple[list[bytes], list[bytes], tuple[float, float]]:
-    """Distinct texts of either label for fitting, at most ``sample`` of each and of ``sample_chars`` bytes each, and how many training rows have each label."""
+def sample_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_chars: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(label, text) of distinct texts for fitting, at most ``sample`` of each label and of ``sample_chars`` bytes each, and how many training rows have each label."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect() if row["label"] in (0, 1)}
     spread = F.arrow_udf(lambda texts: pa.array([_spread(t, sample_chars) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
-    texts: list[list[bytes]] = [[], []]
+    texts = []
     for label in (0, 1):
         # at most ``sample`` ids, so this side of the join is small by construction
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
         chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").where(F.length("text") > 0)
         once = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"))
-        keep = chosen.join(F.broadcast(once.select("id")), "id").select("id", spread("text").alias("text")).orderBy("id", "text").limit(sample).select("text")
-        texts[label] = [bytes(row["text"]) for row in keep.collect()]
-    return texts[1], texts[0], (counts.get(1, 0), counts.get(0, 0))
+        keep = chosen.join(F.broadcast(once.select("id")), "id").select("id", spread("text").alias("text")).orderBy("id", "text").limit(sample)
+        texts.append(keep.select(F.lit(label).alias("label"), "text"))
+    return texts[0].unionByName(texts[1]), (counts.get(1, 0), counts.get(0, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> dict:
-    return fit(*sample_texts(docs, labels, id_col, text_col, label_col, sample, sample_chars), sample_chars)
+    texts, totals = sample_texts(docs, labels, id_col, text_col, label_col, sample, sample_chars)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[], []]
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                held[label].append(text)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held[1], held[0], totals, sample_chars))], pa.binary())], ["model"])
+
+    # one task holds the bounded sample and everything coded from it; the driver gets the model alone
+    made = texts.coalesce(1).mapInArrow(work, "model binary").head()
+    return pickle.loads(made["model"]) if made else fit([], [], totals, sample_chars)
 
 
 def score_column(model: dict, texts: list[bytes], meter: Meter | None) -> np.ndarray:
