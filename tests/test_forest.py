@@ -87,6 +87,48 @@ def test_tree_equals_trying_every_cut(depth, features):
     assert (gains >= 0).all() and gains.sum() > 0
 
 
+@pytest.mark.parametrize("classes", [0, 2, 4])
+@pytest.mark.parametrize("held,counted", [(2000, 40), (100, 1 << 16), (100, 3)])
+def test_columns_in_files_give_the_same_trees(monkeypatch, classes, held, counted):
+    """Labels whose sums are exact, so that no tie is broken by rounding; chunks end within runs of equal values."""
+    draw = np.random.default_rng(classes)
+    n = 1500
+    x = np.column_stack([draw.permutation(n), draw.integers(0, 5, n), np.where(draw.random(n) < 0.1, np.nan, np.round(draw.normal(size=n), 1)), np.zeros(n)])
+    y = draw.integers(0, classes, n).astype(float) if classes else np.round((x[:, 1] + draw.normal(size=n)) * 64) / 64
+    train = draw.random(n) < 0.8
+    weight = np.where(train, forest.bootstrap(np.arange(n), 0, 1), 0)
+    want, gains = forest.Grower(x, forest._targets(y, classes), 4, 12).tree(weight, ~train, np.random.default_rng(0))
+    for name, value in (("HELD_CELLS", held), ("COUNTED", counted), ("CHUNK", 61), ("SUMMED_CELLS", 20)):
+        monkeypatch.setattr(forest, name, value)
+    stored = forest.Stored(iter(np.ascontiguousarray(x.T)), y, classes, 4, 12)
+    got, found = stored.tree(weight.astype(np.uint8), ~train, np.random.default_rng(0))
+    assert got == pytest.approx(want, abs=1e-12) and found == pytest.approx(gains)
+    again, _ = stored.tree(weight.astype(np.uint8), ~train, np.random.default_rng(0))
+    assert (again == got).all()
+
+
+def test_a_batch_of_trees_holds_few_bytes_a_row():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, part, draw = 600_000, 10_000, np.random.default_rng(8)
+
+    def batches():
+        for at in draw.permutation(range(0, n, part)):
+            rows = np.arange(at, at + part)
+            x = np.column_stack([rows, draw.integers(0, 320, part), draw.integers(0, 50, part), draw.random(part), rows % 7]).astype(float)
+            lists = pa.ListArray.from_arrays(np.arange(part + 1, dtype=np.int32) * 5, x.ravel())
+            yield pa.RecordBatch.from_pydict({"fit": pa.array(np.zeros(part, np.int32)), "batch": pa.array(np.zeros(part, np.int32)), "row": rows, "train": pa.array(rows % 5 != 0), "label": x[:, 4] + x[:, 2], "x": lists})
+
+    tracemalloc.start()
+    answers = list(forest._batch(batches(), forest.Plan(trees=1, depth=8, batches=1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(a.num_rows for a in answers) == n // 5 + 1
+    assert peak < 100 * n  # it was 171
+
+
 def test_bootstrap_is_poisson():
     w = forest.bootstrap(np.arange(200_000), 3, 5)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and (w == forest.bootstrap(np.arange(200_000), 3, 5)).all()
